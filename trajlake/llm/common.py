@@ -26,8 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fold_ascii(text: Column) -> Column:
-    """Lower-case A-Z only. Pure ASCII texts take the fast path of ``lower``, which is the same function there."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    """Lower-case A-Z only."""
+    return F.translate(text, _UPPER, _LOWER)
 
 
 def word_count(text: Column) -> Column:
