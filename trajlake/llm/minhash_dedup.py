@@ -54,7 +54,11 @@ def _similar(threshold: int, k: int):
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(a), 500):
-            for x, y in zip(shingle_sets(a.iloc[at : at + 500].tolist(), k), shingle_sets(b.iloc[at : at + 500].tolist(), k), strict=True):
+            left, right = a.iloc[at : at + 500].tolist(), b.iloc[at : at + 500].tolist()
+            texts = list(dict.fromkeys(left + right))  # rows come sorted by centre
+            sets = dict(zip(texts, shingle_sets(texts, k), strict=True))
+            for x, y in zip(left, right, strict=True):
+                x, y = sets[x], sets[y]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
@@ -67,43 +71,105 @@ def _fits(x: Column, y: Column, threshold: int) -> Column:
     return 100 * F.least(x, y) >= threshold * F.greatest(x, y)
 
 
-def _across(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
-    """Pairs of a block pair's members in different components that agree in enough minhashes.
-
-    Rows come sorted by (key, i, j); a unit has at most two blocks of about BLOCK rows, and the last one of a batch waits
-    for the next batch.
-    """
-
-    def pairs(unit: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(unit["signature"]), dtype=np.uint8).reshape(len(unit), MINHASHES)
-        ids, n, component, block = (unit[c].to_numpy() for c in ("id", "n", "component", "block"))
-        i, j = unit["i"].iloc[0], unit["j"].iloc[0]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
-        for x in left:
-            y = right if i != j else right[ids[right] > ids[x]]
-            y = y[(component[y] != component[x]) & (100 * np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
-            y = y[(sig[y] == sig[x]).sum(1) >= AGREE]
-            found_a.append(np.minimum(ids[x], ids[y]))
-            found_b.append(np.maximum(ids[x], ids[y]))
-        return np.concatenate(found_a or [ids[:0]]), np.concatenate(found_b or [ids[:0]])
-
-    def all_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pairs(unit) for _, unit in rows.groupby(["key", "i", "j"], sort=False)]
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])}).drop_duplicates()
-
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The units (key, i, j) of rows sorted by them; the last one of a batch waits for the next batch."""
     rest = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         if not len(rows):
             continue
-        last = rows.iloc[-1]
-        open_unit = (rows["key"] == last["key"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"])
-        rest, done = rows[open_unit], rows[~open_unit]
-        if len(done):
-            yield all_pairs(done)
+        unit = rows[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]).any(1))))
+        for start, stop in zip(starts[:-1], starts[1:], strict=True):
+            yield rows.iloc[start:stop]
+        rest = rows.iloc[starts[-1] :]
     if rest is not None and len(rest):
-        yield all_pairs(rest)
+        yield rest
+
+
+#: The table of two collections.
+_TABLE = np.zeros((COLLECTIONS, COLLECTIONS), dtype=np.int64)
+for _t, (_i, _j) in enumerate(combinations(range(COLLECTIONS), 2)):
+    _TABLE[_i, _j] = _t
+
+
+def _candidates(unit: pd.DataFrame, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left rows, right rows, mask) of the pairs of a unit that need verification.
+
+    Those are pairs of its two blocks in different components, of sizes that fit, with ``AGREE`` equal minhashes, for
+    which this table is the first that they share: another unit has the others.
+    """
+    signature = np.frombuffer(b"".join(unit["signature"]), dtype=np.uint8).reshape(len(unit), MINHASHES)
+    bands = np.stack(unit["bands"])
+    ids, n, component, block = (unit[c].to_numpy() for c in ("id", "n", "component", "block"))
+    i, j, table = unit["i"].iloc[0], unit["j"].iloc[0], unit["table"].iloc[0]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    step = max(1, (1 << 16) // max(len(right), 1))
+    for at in range(0, len(left), step):
+        x = left[at : at + step, None]
+        ok = (component[x] != component[right]) & (100 * np.minimum(n[x], n[right]) >= threshold * np.maximum(n[x], n[right]))
+        if i == j:
+            ok &= ids[right] > ids[x]
+        p, q = np.nonzero(ok)
+        if len(p):
+            same = signature[x[p, 0]] == signature[right[q]]
+            near = same.sum(1) >= AGREE
+            p, q = p[near], q[near]
+            shared = bands[x[p, 0]] == bands[right[q]]
+            first = shared.argmax(1)
+            shared[np.arange(len(p)), first] = False
+            own = _TABLE[first, shared.argmax(1)] == table
+            ok[:] = False
+            ok[p[own], q[own]] = True
+            if ok.any():
+                yield x[:, 0], right, ok
+
+
+def _wanted(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
+    """The rows of units that have a pair to verify."""
+    out, size = [], 0
+    for unit in _units(batches):
+        need = np.zeros(len(unit), dtype=bool)
+        for left, right, ok in _candidates(unit, threshold):
+            need[left[ok.any(1)]] = True
+            need[right[ok.any(0)]] = True
+        if need.any():
+            out.append(unit[need])
+            size += len(out[-1])
+        if size > 5000:
+            yield pd.concat(out)
+            out, size = [], 0
+    if out:
+        yield pd.concat(out)
+
+
+def _linked(batches: Iterator[pd.DataFrame], threshold: int, k: int) -> Iterator[pd.DataFrame]:
+    """Verified links of units whose rows have their texts: as many as connect what is linked, not all pairs."""
+    for unit in _units(batches):
+        sets = list(shingle_sets(unit["text"].tolist(), k))
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(s) for s in sets])
+        codes = np.split(codes, ends[:-1])
+        n = np.array([len(s) for s in sets])
+        ids = unit["id"].to_numpy()
+        group = np.arange(len(unit))
+        links = []
+        for left, right, ok in _candidates(unit, threshold):
+            for x, row in zip(left, ok, strict=True):
+                y = right[row]
+                y = y[group[y] != group[x]]
+                if not len(y):
+                    continue
+                flag = np.zeros(len(values), dtype=bool)
+                flag[codes[x]] = True
+                for at in range(0, len(y), 64):
+                    own = y[at : at + 64]
+                    both = np.add.reduceat(flag[np.concatenate([codes[t] for t in own])].astype(np.int64), np.concatenate(([0], np.cumsum(n[own])[:-1])))
+                    for t in own[(both > 0) & (100 * both >= threshold * (n[x] + n[own] - both))]:
+                        if group[t] != group[x]:
+                            links.append((ids[x], ids[t]))
+                            group[group == group[t]] = group[x]
+        yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -114,9 +180,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
     2. In each bucket (table key) a random member is paired with all others: a line per member, never all pairs.
        Different tables have different such centres. Candidates whose sizes fit are verified on the full sets of whole
        texts, and verified links give components.
-    3. Buckets that still hold several components are compared across components, in blocks: pairs of one component
-       need no link any more, and of the others only those with ``AGREE`` equal minhashes are verified. So every pair
-       that shares a bucket is settled, without a cap.
+    3. Buckets that still hold several components are compared across components, in pairs of blocks: pairs of one
+       component need no link any more, and of the others those with ``AGREE`` equal minhashes are verified within
+       the task, once, in the first table that they share. So every pair that shares a bucket is settled without a
+       cap, and what is shuffled are members and their texts, never pairs.
 
     Defined results: null ids, texts without words and null texts link with nothing and stay; repeated rows are copies; a doc_id
     stands for one text (of several, the first in order is what links are verified on);
@@ -130,31 +197,29 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
     reps = usable.join(smallest, ["doc_id", "n_shingles", "print"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "print"])
     reps = cut(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "bands", "signature"))
     keys = F.array(*[F.xxhash64(F.lit(COLLECTIONS * i + j), F.col("bands")[i], F.col("bands")[j]) for i, j in combinations(range(COLLECTIONS), 2)])
-    members = reps.select("id", "n", F.explode(keys).alias("key"))
+    members = reps.select("id", "n", F.posexplode(keys).alias("table", "key"))
     centre = F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id"), F.col("n")))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), centre.alias("c")).where("size > 1")
     members = cut(members.join(buckets.select("key", "size", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "key"))
-    pairs = members.where((F.col("id") != F.col("centre")) & _fits(F.col("n"), F.col("centre_n"), threshold)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    similar = _similar(threshold, k)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(similar("text_a", "text_b")).select("a", "b"))
+    pairs = members.where((F.col("id") != F.col("centre")) & _fits(F.col("n"), F.col("centre_n"), threshold)).select("centre", "id").distinct()
+    pairs = cut(pairs)
+    texts = lambda wanted, name: docs.join(wanted.withColumnRenamed(name, "doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", name)
+    text = texts(pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))), "id")
+    both = pairs.join(text, "id").join(text.select(F.col("id").alias("centre"), F.col("text").alias("centre_text")), "centre")
+    links = cut(both.where(_similar(threshold, k)("centre_text", "text")).select(F.col("centre").alias("a"), F.col("id").alias("b")))
 
-    links = verified(pairs)
     component = connected_components(links)
-    labelled = members.join(component, "id", "left").select("key", "id", "n", "size", F.coalesce("component_id", "id").alias("component"))
+    labelled = members.select("key", "table", "id", "n", "size").join(component, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_members = labelled.join(mixed, "key", "left_semi").join(reps.select("id", "signature"), "id")
     blocks = F.ceil(F.col("size") / BLOCK)
-    open_members = open_members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = open_members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "component", "block", "signature")
-    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = units.mapInPandas(lambda it: _across(it, threshold), "a long, b long").distinct()
-    links = links.unionByName(verified(more))
+    units = labelled.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("size", "other").join(reps.select("id", "bands", "signature"), "id")
+    sort = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    units = units.select("key", "i", "j", "table", "id", "n", "component", "block", "bands", "signature")
+    units = cut(sort(units).mapInPandas(lambda it: _wanted(it, threshold), units.schema))
+    more = sort(units.join(texts(units.select("id"), "id"), "id")).mapInPandas(lambda it: _linked(it, threshold, k), "a long, b long")
+    links = cut(links.unionByName(more))
     component = connected_components(links)
     classes = reps.select("n", "print", "id").join(component, "id", "left").select(F.col("n").alias("n_shingles"), "print", F.coalesce("component_id", "id").alias("_component"))
     out = signed.select("doc_id", "n_shingles", "print").join(classes, ["n_shingles", "print"], "left")
