@@ -22,7 +22,7 @@ MINHASHES = COLLECTIONS * ROWS
 #: similarity of 0.85 fewer than 18 of 33 are equal with probability 2e-5, at 0.8 with 5e-4.
 AGREE = 18
 #: Members of a bucket that are compared with one another at a time.
-BLOCK = 512
+BLOCK = 1024
 _SIGNATURE_RNG = np.random.default_rng(66)
 _XOR = _SIGNATURE_RNG.integers(1, 2**63, size=(MINHASHES, 1), dtype=np.uint64)
 _MULTIPLY = _SIGNATURE_RNG.integers(1, 2**63, size=(MINHASHES, 1), dtype=np.uint64) | np.uint64(1)
