@@ -88,7 +88,7 @@ def _placed(docs: DataFrame, stats: DataFrame, weights, share, cap, block, seed)
     }).withColumn("taken", F.col("_rounds") * F.col("_size") + F.greatest(F.col("_b") - F.col("_a"), F.lit(0)) + F.greatest("_c", F.lit(0)))
 
 
-def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shards: int = 256, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
     """How many words of each document the mix takes: doc_id, size, source_size, target, taken.
 
     A seeded hash deals documents over ``shards`` and orders them there; in a shard, a source's words form a stream of
@@ -104,7 +104,7 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: floa
     return _placed(rows, rows, weights, share, cap, block, seed).select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shards: int = 256, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``: a document repeats as often as it is taken.
 
     A document at the end of its stream's run of blocks is taken in part: that row's text is the span of its words

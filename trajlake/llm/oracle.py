@@ -30,7 +30,7 @@ src4 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, rk ROWS BETW
 lvl AS (SELECT arg_min(level, (ratio, rk)) AS l FROM src4 WHERE ratio > level),
 src5 AS (SELECT src, source_size, CASE WHEN ratio > level THEN l * w ELSE cap END AS target FROM src4, lvl),
 st0 AS (SELECT src, shard, CAST(sum(size) AS BIGINT) AS words FROM rows_ GROUP BY src, shard),
-st1 AS (SELECT *, greatest((words + 32) // 64, 1) AS n FROM st0 JOIN src5 USING (src)),
+st1 AS (SELECT *, greatest((words + 8) // 16, 1) AS n FROM st0 JOIN src5 USING (src)),
 st2 AS (SELECT *, CASE WHEN words > 0 THEN CAST(floor(target / greatest(source_size, 1) * n * 1048576) AS BIGINT) ELSE 0 END AS v FROM st1),
 seats AS (SELECT shard, CAST(floor(sum(v) / 1048576 + 0.5) AS BIGINT) AS seats FROM st2 GROUP BY shard),
 won AS (SELECT shard, src, count(*) AS q FROM (
