@@ -59,7 +59,7 @@ def sampling_params(validate: Column, do_sample: Column, rollout: Column, val: C
 
 
 def task_rows(instances: DataFrame, *, source: str, prompt: Column, metadata: list[str]) -> DataFrame:
-    """Nested task rows: data_source, prompt messages and tools_kwargs (PF1, PF2, PF4)."""
+    """Nested task rows: data_source, prompt messages and tools_kwargs (PF1, PF2)."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     task = F.struct(F.lit(source).alias("name"), F.struct(image_name(F.col("instance_id")).alias("image")).alias("sandbox"), F.to_json(F.struct(*metadata)).alias("metadata"))
     return instances.select(F.lit(source).alias("data_source"), F.array(message("system", F.lit("You are a helpful assistant.")), message("user", prompt)).alias("prompt"), F.struct(task.alias("task")).alias("tools_kwargs"))
