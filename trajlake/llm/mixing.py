@@ -11,6 +11,8 @@ from trajlake.llm.common import WORD, cut, hex_number, word_count
 
 #: Votes are whole numbers of this fraction of a seat, so that their sums don't depend on the order.
 VOTE = 1 << 20
+#: Hexadecimal digits of a document's place that cut a stream into slices, so that no task sorts a whole stream.
+SLICE_DIGITS = 2
 
 
 def _sized(docs: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -64,7 +66,9 @@ def quotas(streams: DataFrame, cap: float) -> DataFrame:
 
 def _placed(docs: DataFrame, stats: DataFrame, weights, share, cap, block, seed) -> DataFrame:
     """Rows of ``docs`` (from ``_sized``) with target, source_size and the words that their stream's blocks take of them."""
-    by_stream = cut(stats.groupBy("_src", "_shard").agg(F.sum("_size").alias("_words")))
+    slice_ = F.substring("_order", 1, SLICE_DIGITS)
+    by_slice = cut(stats.groupBy("_src", "_shard", slice_.alias("_slice")).agg(F.sum("_size").alias("_words")))
+    by_stream = by_slice.groupBy("_src", "_shard").agg(F.sum("_words").alias("_words"))
     goal = targets(by_stream.groupBy("_src").agg(F.sum("_words").alias("source_size")), weights, share, cap)
     streams = by_stream.join(goal, "_src").withColumn("_blocks", F.greatest(F.floor((F.col("_words") + block // 2) / block), F.lit(1)))
     per_word = F.col("target") / F.greatest("source_size", F.lit(1))
@@ -80,8 +84,11 @@ def _placed(docs: DataFrame, stats: DataFrame, weights, share, cap, block, seed)
         edge(F.least(F.col("_first") + F.col("_extra"), F.col("_blocks"))).alias("_to"),
         edge(F.greatest(F.col("_first") + F.col("_extra") - F.col("_blocks"), F.lit(0))).alias("_wrap"),
     )
-    stream = Window.partitionBy("_src", "_shard").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = docs.withColumn("_start", F.coalesce(F.sum("_size").over(stream), F.lit(0))).join(plan, ["_src", "_shard"])
+    before, stream = Window.unboundedPreceding, Window.partitionBy("_src", "_shard")
+    starts = by_slice.withColumn("_before", F.coalesce(F.sum("_words").over(stream.orderBy("_slice").rowsBetween(before, -1)), F.lit(0))).drop("_words").join(plan, ["_src", "_shard"])
+    inside = Window.partitionBy("_src", "_shard", "_slice").orderBy("_order", "doc_id", "_size").rowsBetween(before, -1)
+    rows = docs.withColumn("_slice", slice_).withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, ["_src", "_shard", "_slice"])
+    rows = rows.withColumn("_start", F.col("_before") + F.col("_inside"))
     end = F.col("_start") + F.col("_size")
     return rows.withColumns({
         "_a": F.greatest(F.col("_from"), F.col("_start")) - F.col("_start"), "_b": F.least(F.col("_to"), end) - F.col("_start"), "_c": F.least(F.col("_wrap"), end) - F.col("_start"),
@@ -95,7 +102,8 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: floa
     about ``block``-word blocks of equal length. Per shard, Sainte-Laguë turns the targets into whole quotas of blocks.
     A quota beyond all of a source's blocks takes the whole stream again; the rest of it is a run of blocks from a
     seeded start, going round, so that nearly all documents are taken whole. A source in a shard is off its target by
-    about half a block, in either direction, and nothing is collected: hot sources are spread over all shards.
+    about half a block, in either direction, and nothing is collected: hot sources are spread over all shards, and a
+    stream's running sums are those of its slices, added to the sums of the slices before them.
 
     Defined results: a null text has 0 words; a null source is a source, the last; equal rows are interchangeable; null
     ids share a place; an empty table gives an empty result; other columns are ignored.
@@ -112,7 +120,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # whatever the other columns are called
     sized = _sized(docs.select("doc_id", "source", "text", row), shards, seed)
-    rows = _placed(sized, sized.select("_src", "_shard", "_size"), weights, share, cap, block, seed)
+    rows = _placed(sized, sized.select("_src", "_shard", "_order", "_size"), weights, share, cap, block, seed)
     whole = F.transform(F.sequence(F.lit(1), F.col("_rounds").cast("int")), lambda _: F.struct(F.lit(0).cast("long").alias("a"), F.col("_size").alias("b")))
     spans = F.concat(
         F.when((F.col("_rounds") > 0) & (F.col("_size") > 0), whole).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")),
