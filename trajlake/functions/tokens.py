@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,14 @@ def total(values: Column) -> Column:
 def last_or_zero(values: Column) -> Column:
     """The last element, 0 for empty (AG11)."""
     return F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(0)).cast("double")
+
+
+def generation_suffix(render: Callable[[bool], list[int]]) -> list[int]:
+    """Tokens that a chat template appends to ask for an answer (A9): a constant of the template, found on the driver.
+
+    ``render`` gives the tokens of one prompt with or without that request, which must only append to the others.
+    """
+    plain, asking = render(False), render(True)
+    if asking[: len(plain)] != plain:
+        raise ValueError("the template changes tokens before the generation prompt")
+    return asking[len(plain) :]

@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "session_id string, seq long, kind string, request_id long, messages string, tools string, output string, min_version int, max_version int, error string, reward string"
-TRAJECTORY_SCHEMA = "session_id string, trajectory_index int, prompt_ids array<int>, response_ids array<int>, response_mask array<tinyint>, num_turns int, min_version int, max_version int, reward string, reason string, problem string"
+TRAJECTORY_SCHEMA = "session_id string, trajectory_index int, prompt_ids array<int>, response_ids array<int>, response_mask array<tinyint>, num_turns int, min_version int, max_version int, reward string, reason string, problem string, rollbacks int, dropped_tokens long"
 CALL = "assistant:"
 
 
@@ -73,6 +74,7 @@ class Session:
     reward: str | None = None
     problems: list[str] = field(default_factory=list)
     dropped: int = 0
+    rollbacks: int = 0
 
     def select(self, messages: list[dict], prefix: list[str], tools: str) -> tuple[Chain | None, bool]:
         """(chain to continue, whether its last answer is replaced)."""
@@ -134,6 +136,7 @@ class Session:
             chain = self.chains[self.created] = Chain(self.created, tools, text)
         else:
             if replace:
+                self.rollbacks += 1
                 self.dropped += sum(chain.mask[chain.start[2] :])
                 chain.roll_back()
             chain.extend(text, 0)
@@ -177,11 +180,11 @@ def rows(session_id: str, session: Session, frame: pd.DataFrame) -> pd.DataFrame
         for i, c in enumerate(session.apply(e)):
             low, high = (min(a for a, _ in c.marks), max(b for _, b in c.marks)) if c.marks else (None, None)
             turns = sum(m["role"] in ("user", "assistant") for m in c.history) + 1
-            out.append((session_id, i, [ord(x) for x in c.prompt], [ord(x) for x in c.response], c.mask, turns, low, high, session.reward, c.reason, None))
+            out.append((session_id, i, [ord(x) for x in c.prompt], [ord(x) for x in c.response], c.mask, turns, low, high, session.reward, c.reason, None, session.rollbacks, session.dropped))
     for p in session.problems[known:]:
-        out.append((session_id, None, None, None, None, None, None, None, None, None, p))
+        out.append((session_id, *[None] * 9, p, None, None))
     columns = [x.split()[0] for x in TRAJECTORY_SCHEMA.split(", ")]
-    return pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("trajectory_index", "num_turns", "min_version", "max_version")})
+    return pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("trajectory_index", "num_turns", "min_version", "max_version", "rollbacks")} | {"dropped_tokens": "Int64"})
 
 
 def stitch(events: DataFrame, *, rollback: bool = True, capacity: int | None = None) -> DataFrame:
@@ -191,3 +194,9 @@ def stitch(events: DataFrame, *, rollback: bool = True, capacity: int | None = N
         return rows(key[0], Session(rollback=rollback, capacity=capacity), frame)
 
     return events.groupBy("session_id").applyInPandas(fold, TRAJECTORY_SCHEMA)
+
+
+def rollback_counters(trajectories: DataFrame) -> DataFrame:
+    """Replaced answers of each session, and the trainable tokens that went with them (AG18)."""
+    done = trajectories.where("trajectory_index IS NOT NULL")
+    return done.groupBy("session_id").agg(F.max("rollbacks").alias("rollbacks"), F.max("dropped_tokens").alias("dropped_tokens"))

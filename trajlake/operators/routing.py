@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.text import image_name
+from trajlake.functions.wire import language_phrase
 
 #: Rows of a dimension that is broadcast at most.
 MOST_ROWS = 10_000
@@ -65,6 +68,30 @@ def task_rows(instances: DataFrame, *, source: str, prompt: Column, metadata: li
     return instances.select(F.lit(source).alias("data_source"), F.array(message("system", F.lit("You are a helpful assistant.")), message("user", prompt)).alias("prompt"), F.struct(task.alias("task")).alias("tools_kwargs"))
 
 
+def multilingual_task_rows(instances: DataFrame, extensions: DataFrame, *, source: str, prompt: Callable[[Column], Column], metadata: list[str]) -> DataFrame:
+    """Task rows whose prompt names the language of the repository (PF3, JN6).
+
+    ``extensions`` has repo and extension, one row per repository; a repository that it lacks is an error. ``prompt``
+    makes the prompt from the language's phrase.
+    """
+    found = instances.join(small(extensions.select("repo", F.col("extension").alias("_extension"), F.lit(True).alias("_known"))), "repo", "left")
+    phrase = F.when(F.col("_known"), language_phrase(F.col("_extension"))).otherwise(F.raise_error(F.concat(F.lit("unknown repository: "), F.coalesce("repo", F.lit("null")))))
+    return task_rows(found, source=source, prompt=prompt(phrase), metadata=metadata)
+
+
+def unstack(batches: DataFrame, stacked: list[str]) -> DataFrame:
+    """One row per sample of a batch, with its ``sample`` number (PF10): stacked columns give their elements, others repeat.
+
+    Stacked columns of unequal length are an error; a batch without samples has no rows.
+    """
+    sizes = F.array(*[F.size(c) for c in stacked])
+    zipped = F.arrays_zip(*stacked)
+    checked = F.when(F.array_max(sizes) == F.array_min(sizes), zipped).otherwise(F.raise_error(F.lit("stacked columns differ in length")))
+    kept = [F.col(f"`{c}`") for c in batches.columns if c not in stacked]
+    rows = batches.select(*kept, F.posexplode(checked).alias("sample", "_row"))
+    return rows.select(*kept, "sample", *[F.col(f"_row.`{c}`").alias(c) for c in stacked])
+
+
 def common_columns(df: DataFrame) -> DataFrame:
     """Only the columns that every row has a value in (ST1): one pass of counts, one row to the driver."""
     counts = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()

@@ -18,6 +18,11 @@ def read_table(spark: SparkSession, path: str, *, schema: str | None = None, ord
     return df.orderBy(*order).limit(limit)
 
 
+def read_split(spark: SparkSession, path: str, split: str, fmt: str = "parquet") -> DataFrame:
+    """One split of a local dataset (IO3): the files ``split.fmt`` and ``split-*.fmt`` at any depth; none is an error."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{split}.{fmt},{split}-*.{fmt}}}").format(fmt).load(path)
+
+
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
     """(name, config) of JSON files that hold one mapping or a list of them (IO5); missing or repeated names fail."""
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
@@ -58,6 +63,11 @@ def dump(trajectories: DataFrame, path: str) -> None:
     trajectories.write.mode("append").parquet(f"{path}/arrays")
 
 
+def write_snapshots(sessions: DataFrame, path: str) -> None:
+    """Session metadata as one JSON document per line, nulls kept (IO11)."""
+    sessions.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sessions.columns]), {"ignoreNullFields": "false"})).write.mode("append").text(path)
+
+
 def write_logs(records: DataFrame, path: str) -> None:
     """Log lines routed by log_id, none dropped (IO13)."""
     records.where(F.col("log_id").isNotNull()).write.mode("append").partitionBy("log_id").text(path)

@@ -43,6 +43,22 @@ def chat_events(lines: DataFrame, bot: str) -> DataFrame:
     return out.where(needed[0] & needed[1] & needed[2] & (F.col("sender_id") != bot) & F.col("message_type").isin("text", "post"))
 
 
+def chat_turns(events: DataFrame) -> DataFrame:
+    """Chat events with their ``ordinal`` in their chat (SS10): turns of a chat in order, different chats in parallel.
+
+    Events of one trigger are ordered by create_time and message_id; a chat's state is its next ordinal.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["create_time", "message_id"])
+        start = state.get[0] if state.exists else 0
+        state.update((start + len(rows),))
+        yield rows.assign(ordinal=range(start, start + len(rows)))[["chat_id", "ordinal", "message_id", "create_time", "content"]]
+
+    own = events.select("chat_id", "message_id", "create_time", "content")
+    return own.groupBy("chat_id").applyInPandasWithState(step, "chat_id string, ordinal long, message_id string, create_time string, content string", "next long", "append", GroupStateTimeout.NoTimeout)
+
+
 def running_outcomes(outcomes: DataFrame) -> DataFrame:
     """Counts per outcome, for update mode (SS11)."""
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
