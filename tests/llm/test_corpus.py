@@ -282,6 +282,21 @@ def test_quality(spark, odd, labels):
     assert held.select(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.9
 
 
+def test_word_vectors_come_from_neighbours(spark):
+    """Words with equal neighbours in other documents have equal directions, and long texts' words aren't cut."""
+    texts = ["red cat sat down", "red dog sat down", "blue fish swam off", None, "", "alone"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    v = quality.word_vectors(docs)
+    assert np.array_equal(v, quality.word_vectors(docs.repartition(5)))
+    word = lambda w: v[quality._hashed(w)[0][0]]
+    assert np.allclose(word("cat"), word("dog"), atol=1e-6) and word("cat") @ word("fish") < 0.9 and not word("alone").any()
+    long = "ab" * 300_000 + " " + "cd" * 300_000 + " red"
+    (_, _, ids, _), = quality._groups([long])
+    assert ids.tolist() == [quality._hashed(w)[0][0] for w in long.split()]
+    got = quality.features(["red cat", long, None, "cat red", "dog"], v)
+    assert np.allclose(got[0], got[3]) and np.allclose(got[4][:64], word("dog")) and not got[2][:64].any()
+
+
 def test_pipeline(spark, odd, labels, tmp_path):
     import corpus_pipeline as p
 

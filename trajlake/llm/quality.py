@@ -2,60 +2,142 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.textbatch import chunks, code_points
+from trajlake.llm.textbatch import CHARS
 
-#: Contexts (hashed character trigrams), dimensions of word vectors, non-zero entries of a context's index vector.
-CONTEXTS, DIMENSIONS, NONZERO = 4096, 64, 8
+#: Hashed words, dimensions of word vectors, non-zero entries of a word's index vector, neighbours on each side.
+WORDS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 64, 8, 2
 #: Labelled rows that the network is fitted on at most, by hash of the id; hidden units; passes.
 SAMPLE, HIDDEN, EPOCHS = 20_000, 32, 40
-#: Columns of features(): the pooled vector, the logarithms of its norm and of the text's length, the contexts' entropy.
+#: Columns of features(): the pooled vector, the logarithms of its norm and of the text's length in words, the words' entropy.
 WIDTH = DIMENSIONS + 3
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Words whose neighbours are counted at once.
+_SLICE = 1 << 16
 
 
 @lru_cache(1)
-def _index_vectors() -> np.ndarray:
-    """The sparse random ternary index vector of each context."""
+def _index() -> tuple[np.ndarray, np.ndarray]:
+    """The places and signs of the non-zero entries of each hashed word's sparse random ternary index vector."""
     rng = np.random.default_rng(10)
-    out = np.zeros((CONTEXTS, DIMENSIONS), dtype=np.float32)
-    at = rng.permuted(np.tile(np.arange(DIMENSIONS), (CONTEXTS, 1)), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], dtype=np.float32), size=at.shape), axis=1)
-    return out
-
-
-def features(texts: list[str | None]) -> np.ndarray:
-    """(texts, WIDTH) features of whole texts.
-
-    A word's vector is the sum of the index vectors of the contexts it occurs with: the character trigrams within it
-    and across its borders to its neighbours, case and signs kept. A document's is the mean over all its words'
-    contexts, so it is computed from the document's trigram counts at once. A null or empty text has zeros.
+    at = rng.permuted(np.tile(np.arange(DIMENSIONS), (WORDS, 1)), axis=1)[:, :NONZERO]
+    return at, rng.choice(np.array([-1.0, 1.0]), size=at.shape)
+
+
+def _hashed(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed words of ``joined`` (runs of anything but ASCII white space, case and signs kept) and their places."""
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = (codes != 32) & ((codes < 9) | (codes > 13))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, starts
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(starts, np.diff(np.append(np.flatnonzero(first[at]), len(at))))
+    powers = np.multiply.accumulate(np.full(place.max() + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    h = np.add.reduceat((codes[at].astype(np.uint64) + np.uint64(1)) * powers[place], np.flatnonzero(first[at]))
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - (WORDS - 1).bit_length())).astype(np.int64), starts
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, texts, hashed words, the text of each) for runs of whole texts; a text beyond CHARS comes alone."""
+    texts = [t if isinstance(t, str) else "" for t in texts]
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= CHARS:
+            size += len(texts[end])
+            end += 1
+        if end == at + 1:
+            text, start, ids = texts[at], 0, []
+            while start < len(text):  # hashed in parts that end between words
+                space = _SPACE.search(text, start + CHARS)
+                stop = space.start() if space else len(text)
+                ids.append(_hashed(text[start:stop])[0])
+                start = stop
+            words = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+            doc = np.zeros(len(words), dtype=np.int64)
+        else:
+            words, places = _hashed(" ".join(texts[at:end]))
+            doc = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts[at : end - 1]]), places, "right") - 1
+        yield at, end - at, words, doc
+        at = end
+
+
+def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, v0 ...): for each hashed word of the batches' texts the sum of its neighbours' index vectors."""
+    at, signs = _index()
+    total = np.zeros(WORDS * DIMENSIONS)
+    for batch in batches:
+        for _, _, words, doc in _groups(batch["text"].tolist()):
+            for start in range(0, len(words), _SLICE):
+                for distance in range(1, WINDOW + 1):
+                    a, b = slice(start, start + _SLICE), slice(start + distance, start + distance + _SLICE)
+                    right, same = words[b], doc[a][: len(doc[b])] == doc[b]
+                    left, right = words[a][: len(right)][same], right[same]
+                    for own, other in ((left, right), (right, left)):
+                        total += np.bincount((own[:, None] * DIMENSIONS + at[other]).ravel(), signs[other].ravel(), len(total))
+    total = total.reshape(WORDS, DIMENSIONS).astype(np.int64)
+    used = np.flatnonzero(total.any(axis=1))
+    for start in range(0, len(used), 2048):
+        part = used[start : start + 2048]
+        yield pd.DataFrame({"word": part} | {f"v{k}": total[part, k] for k in range(DIMENSIONS)})
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """(WORDS, DIMENSIONS) vectors of hashed words, from the texts of all ``docs``.
+
+    Random indexing: a word's context vector is the sum, over all its occurrences in all documents, of the index
+    vectors of the two words on either side. Tasks add up their own texts, Spark adds up the tasks' sums (whole
+    numbers, so their order doesn't matter), and the driver gets one row per hashed word, WORDS at most. Directions
+    count: the mean of the context vectors' directions is taken off and what is left has unit length; words without
+    neighbours have zeros.
+    """
+    names = [f"v{k}" for k in range(DIMENSIONS)]
+    sums = docs.select("text").mapInPandas(contexts, "word long, " + ", ".join(f"{n} long" for n in names))
+    rows = sums.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    raw = np.zeros((WORDS, DIMENSIONS))
+    if rows.num_rows:
+        raw[rows["word"].to_numpy()] = np.column_stack([rows[n].to_numpy() for n in names])
+    used = raw.any(axis=1)
+    if used.any():
+        raw[used] /= np.linalg.norm(raw[used], axis=1, keepdims=True)
+        raw[used] -= raw[used].mean(axis=0)
+        raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
+    return raw.astype(np.float32)
+
+
+def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+    """(texts, WIDTH) features of whole texts: the mean of their words' vectors, its norm, the length and entropy.
+
+    A text without words has zeros for the vector.
     """
     total, length, entropy = np.zeros((len(texts), DIMENSIONS)), np.zeros(len(texts)), np.zeros(len(texts))
-    for rows, parts in chunks(texts):
-        codes, starts = code_points(parts)
-        codes = codes.astype(np.uint64)
-        h = codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:] * np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        sizes = np.array([len(p) for p in parts])
-        doc = np.repeat(np.arange(len(parts)), sizes + 3)[: len(h)]
-        inside = np.arange(len(h)) - starts[doc] < sizes[doc]
-        bucket = (h >> np.uint64(52)).astype(np.int64)
-        counts = np.bincount(doc[inside] * CONTEXTS + bucket[inside], minlength=len(parts) * CONTEXTS).reshape(len(parts), CONTEXTS)
-        np.add.at(total, rows, (counts.astype(np.float32) @ _index_vectors()).astype(np.float64))
-        share = counts / np.maximum(sizes, 1)[:, None]
-        np.add.at(entropy, rows, -(share * np.log(np.where(counts > 0, share, 1))).sum(1) * sizes)
-        np.add.at(length, rows, sizes)
+    for first, n, words, doc in _groups(texts):
+        if not len(words):
+            continue
+        keys, counts = np.unique(doc * WORDS + words, return_counts=True)
+        own, at = np.unique(keys // WORDS, return_index=True)
+        rows = first + own
+        total[rows] = np.add.reduceat(vectors[keys % WORDS] * counts[:, None], at, axis=0)
+        length[rows] = np.bincount(doc, minlength=n)[own]
+        share = counts / np.bincount(doc, minlength=n)[keys // WORDS]
+        entropy[rows] = np.add.reduceat(-share * np.log(share), at)
     mean = total / np.maximum(length, 1)[:, None]
-    return np.column_stack([mean, np.log(np.linalg.norm(mean, axis=1) + 1e-6), np.log1p(length), entropy / np.maximum(length, 1) / np.log(length + 2)])
+    return np.column_stack([mean, np.log(np.linalg.norm(mean, axis=1) + 1e-6), np.log1p(length), entropy / np.log(length + 2)])
 
 
 @dataclass
@@ -116,21 +198,21 @@ def _fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def _features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": list(features(batch["text"].tolist()))})
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, sample: int = SAMPLE) -> QualityModel:
     """Fitted on labelled rows outside the held-out fold (crc32 of the id, mod 5, is 0); fold 1 sets the temperature.
 
-    The sample is the ``sample`` labelled ids of lowest hash, the only thing broadcast; the driver gets their features
+    The sample is the ``sample`` labelled ids of lowest hash, broadcast like the word vectors; the driver gets their features
     (sample x WIDTH numbers). An id labelled more than once counts as good when most of its labels are.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id"), 5) != 0))
     own = own.groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").mapInPandas(_features_of, "doc_id long, quality double, x array<double>")
+
+    def features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": list(features(batch["text"].tolist(), vectors.value))})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").mapInPandas(features_of, "doc_id long, quality double, x array<double>")
     rows = rows.withColumn("held", _fold(F.col("doc_id"), 5) == 1).orderBy("doc_id", "x").limit(2 * sample).toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, WIDTH))
     return fit(x, rows["quality"].to_numpy(dtype=float), rows["held"].to_numpy(dtype=bool))
@@ -139,15 +221,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
 def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
-    Every whole text is scored, in one scan without a shuffle. Defined results: null texts score like empty ones;
+    Word vectors are learned from every whole text in one scan, and every whole text is scored in another. Defined results: null texts score like empty ones;
     repeated rows get equal scores; without labels of both kinds all scores are the smoothed share of label 1 (0.5
     without labels); an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    sc = docs.sparkSession.sparkContext
+    vectors = sc.broadcast(word_vectors(docs))
+    model = sc.broadcast(train(docs, labels, vectors, sample))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(features(text.tolist())))
+        return pd.Series(model.value.score(features(text.tolist(), vectors.value)))
 
     scored = docs.withColumn("_score", score("text"))
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
