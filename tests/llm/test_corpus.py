@@ -272,6 +272,19 @@ def test_license_scan(spark):
     assert got == {(1, 1, "MIT"), (2, 0, "MIT")}
 
 
+def test_license_families_texts_and_windows(spark):
+    notice, isc, mit = license_scan.TEMPLATES["MPL-2.0"].split(), license_scan.TEMPLATES["ISC"].split(), license_scan.TEMPLATES["MIT (text)"]
+    prose = " ".join(f"ordinary{i} prose" for i in range(200))
+    wrap = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    texts = [
+        (1, "prose here\nLicensed under CC BY-NC 4.0.\nmore"), (2, f"{prose}\n{wrap(notice, 9)}\n{prose}\n{wrap(isc, 8)}\n{prose}"), (3, f"{prose} released under the MIT license. {prose}"),
+        (4, mit), (5, f"{prose}\n{wrap(mit.split(), 12)}\n{prose}"), (6, wrap(mit.split(), 12)), (7, prose),
+    ]
+    got = {(r["doc_id"], r["unit"], r["license_id"]) for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    last = 2 + texts[1][1].split("\n").index(" ".join(isc[:8]))
+    assert got == {(1, 1, "CC-BY-NC-4.0"), (2, -3, "MPL-2.0"), (2, -last, "ISC"), (3, -2, "MIT"), (4, 0, "MIT (text)"), (5, -3, "MIT (text)"), (6, -1, "MIT (text)")}
+
+
 def test_quality(spark, odd, labels):
     got = quality.score_quality(odd, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)

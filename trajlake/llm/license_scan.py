@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Public licence notices, by SPDX identifier.
+#: Public licence notices by SPDX identifier; in brackets what further wordings of a licence are.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -19,6 +19,28 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-NC-4.0": 'Licensed under CC BY-NC 4.0.',
+    "CC-BY-NC-4.0 (notice)": 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.',
+    "CC-BY-4.0 (short)": 'Licensed under CC BY 4.0.',
+    "CC-BY-SA-4.0": 'This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.',
+    "CC-BY-SA-4.0 (short)": 'Licensed under CC BY-SA 4.0.',
+    "CC-BY-ND-4.0": 'This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.',
+    "CC-BY-ND-4.0 (short)": 'Licensed under CC BY-ND 4.0.',
+    "CC-BY-NC-SA-4.0": 'This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.',
+    "CC-BY-NC-SA-4.0 (short)": 'Licensed under CC BY-NC-SA 4.0.',
+    "CC-BY-NC-ND-4.0": 'This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.',
+    "CC-BY-NC-ND-4.0 (short)": 'Licensed under CC BY-NC-ND 4.0.',
+    "MIT (text)": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC (text)": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause (text)": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause (text)": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.',
+    "Apache-2.0 (notice)": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-3.0 (notice)": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
+    "GPL-2.0 (notice)": 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.',
+    "LGPL-2.1": 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.',
+    "AGPL-3.0 (notice)": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
+    "Unlicense": 'This is free and unencumbered software released into the public domain.',
 }
 
 
@@ -28,18 +50,91 @@ def _python_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(_pairs(words))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that the optimizer doesn't compute again wherever it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _literals(grams: Iterable[str]) -> Column:
+    """An array of strings without ``|`` as one literal, however many they are."""
+    return F.split(F.lit("|".join(grams)), r"\|")
+
+
+def _markers(grams: Mapping[str, list[str]], narrow: float) -> list[str]:
+    """Words of which every match has one: without them, each template has too few bigrams left for the threshold."""
+    marks: set[str] = set()
+    for own in grams.values():
+        words = sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w))
+        for w in words:
+            if sum(not marks & set(g.split()) for g in own) < narrow * len(own):
+                break
+            marks.add(w)
+    return sorted(marks)
+
+
+def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[str, int], threshold: float, best: Callable[[Column], Column]) -> DataFrame:
+    """Matches of word windows, which neither overlap each other nor a matched line; ``lines`` has doc_id and _lines.
+
+    A match shares at least t / (2 - t) of a template's bigrams, so only such texts and templates are looked at. There,
+    windows of all lengths within the template's bounds start at each of its bigrams. A window smaller than the template
+    counts as being of its size: else it would be more similar for leaving out the words that differ.
+    """
+    narrow = threshold / (2 - threshold)
+    docs = _once(lines, "_words", F.flatten("_lines.words")).where(F.arrays_overlap("_words", _literals(_markers(grams, narrow))))
+    shared = F.array_intersect(_bigrams(F.col("_words")), _literals(sorted({g for own in grams.values() for g in own})))
+    docs = _once(docs, "_shared", shared)
+    enough = F.array(*[F.when(F.size(F.array_intersect("_shared", _literals(own))) >= narrow * len(own) - 1e-9, F.lit(k)) for k, own in grams.items()])
+    docs = _once(docs, "_near", F.array_compact(enough)).where((F.size("_near") > 0) & ~F.coalesce(best(_bigrams(F.col("_words")))["dice"] >= threshold, F.lit(False)))
+    # The position of each line's first word and of the word after its last, for all lines and for those that match.
+    spans = F.aggregate("_lines", F.array().cast("array<struct<a:int,b:int,unit:int>>"), lambda acc, x: F.concat(acc, F.array(F.struct(
+        F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)).alias("a"), (F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)) + F.size(x["words"])).alias("b"), x["unit"].alias("unit")))))
+    matched = F.transform("_lines", lambda x: F.coalesce(best(_bigrams(x["words"]))["dice"] >= threshold, F.lit(False)))
+    docs = _once(_once(_once(docs, "_spans", spans), "_pairs", _pairs(F.col("_words"))), "_matched", matched)
+    docs = docs.withColumn("_taken", F.filter("_spans", lambda _, i: F.get("_matched", i)))
+    table = F.create_map(*[x for k, own in grams.items() for x in (F.lit(k), F.struct(_literals(own).alias("grams"), F.lit(int(lengths[k] / narrow) + 1).alias("most")))])
+
+    def at(k: Column) -> Column:
+        own = table[k]
+        starts = F.filter(F.transform("_pairs", lambda g, i: F.when(F.array_contains(own["grams"], g), i)), lambda i: i.isNotNull())
+
+        def grow(acc: Column, g: Column) -> Column:
+            new = ~F.array_contains(acc["seen"], g)
+            hits = acc["hits"] + F.when(new & F.array_contains(own["grams"], g), 1).otherwise(0)
+            seen, length = F.when(new, F.array_append(acc["seen"], g)).otherwise(acc["seen"]), acc["length"] + 1
+            dice = F.lit(2.0) * hits / (F.greatest(F.size(seen), F.size(own["grams"])) + F.size(own["grams"]))
+            more = dice > acc["dice"]
+            return F.struct(seen.alias("seen"), hits.alias("hits"), length.alias("length"), F.when(more, dice).otherwise(acc["dice"]).alias("dice"), F.when(more, length).otherwise(acc["end"]).alias("end"), F.when(more, F.size(seen)).otherwise(acc["n"]).alias("n"))
+
+        zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("hits"), F.lit(0).alias("length"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"), F.lit(0).alias("n"))
+        grown = lambda i: F.aggregate(F.slice("_pairs", i + 1, own["most"]), zero, grow)
+        found = F.transform(starts, lambda i: F.transform(F.array(grown(i)), lambda x: F.struct((-x["dice"]).alias("order"), i.alias("a"), (i + x["end"] + 1).alias("b"), k.alias("license_id"), x["n"].alias("n")))[0])
+        return F.filter(found, lambda x: -x["order"] >= threshold)
+
+    docs = _once(docs, "_found", F.array_sort(F.flatten(F.transform("_near", at))))
+    apart = lambda x, y: (x["b"] <= y["a"]) | (x["a"] >= y["b"])
+    free = F.filter("_found", lambda x: F.forall("_taken", lambda y: apart(x, y)))
+    kept = F.aggregate(free, F.slice(free, 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.array_append(acc, x)).otherwise(acc))
+    hits = docs.select("doc_id", "_spans", F.explode(kept).alias("_w"))
+    line = F.filter("_spans", lambda y: (y["a"] <= F.col("_w.a")) & (F.col("_w.a") < y["b"]))[0]["unit"]
+    return hits.select("doc_id", (F.lit(-2) - line).cast("long").alias("unit"), "_w.license_id", F.col("_w.n").cast("long").alias("n_bigrams"), (-F.col("_w.order")).alias("dice"))
 
 
 def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """Licence matches of whole texts: doc_id, unit, license_id, n_bigrams, dice.
 
     Normalised: lower case, everything but letters and digits is space. Compared are every line (``unit`` 0, 1, ...)
-    and the whole text (-1, if it has several lines with words). Dice is ``2 shared / (own + template's)`` over sets of
+    and the whole text (-1, if it has several lines with words), and, where the whole text matches nothing, windows of
+    words across lines or within one (-2 minus the line that they start in). Dice is ``2 shared / (own + template's)`` over sets of
     word bigrams. It can reach the threshold t only with between ``t / (2 - t)`` and ``(2 - t) / t`` times the
-    template's bigrams, so other templates are left out before anything is intersected. One pass, no shuffle.
+    template's bigrams, so other templates are left out before anything is intersected. No shuffle.
 
     Defined results: null and empty texts and lines of one word match nothing; of several templates
     that match, the most similar one counts, then the last by name; repeated rows give repeated matches; an empty table gives an empty result; other columns are
@@ -58,10 +153,16 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
     units = units.where(F.size("u.words") - 1 >= least).select("doc_id", "u.unit", _bigrams(F.col("u.words")).alias("_b")).withColumn("_n", F.size("_b"))
     most = max(len(v) for v in grams.values()) / narrow
     units = units.where((F.col("_n") >= least) & (F.col("_n") <= most))
-    scores = []
-    for name, own in grams.items():
-        near = (F.col("_n") >= len(own) * narrow) & (F.col("_n") <= len(own) / narrow)
-        dice = F.lit(2.0) * F.size(F.array_intersect("_b", F.array(*[F.lit(g) for g in own]))) / (F.col("_n") + len(own))
-        scores.append(F.when(near, F.struct(dice.alias("dice"), F.lit(name).alias("license_id"))))
-    units = units.withColumn("_hit", F.array_max(F.array(*scores))).where(F.col("_hit.dice") >= threshold)
-    return units.select("doc_id", F.col("unit").cast("long").alias("unit"), "_hit.license_id", F.col("_n").cast("long").alias("n_bigrams"), "_hit.dice")
+
+    def best(b: Column) -> Column:
+        scores, n = [], F.size(b)
+        for name, own in grams.items():
+            near = (n >= len(own) * narrow) & (n <= len(own) / narrow)
+            dice = F.lit(2.0) * F.size(F.array_intersect(b, _literals(own))) / (n + len(own))
+            scores.append(F.when(near, F.struct(dice.alias("dice"), F.lit(name).alias("license_id"))))
+        return F.array_max(F.array(*scores))
+
+    units = units.withColumn("_hit", best(F.col("_b"))).where(F.col("_hit.dice") >= threshold)
+    units = units.select("doc_id", F.col("unit").cast("long").alias("unit"), "_hit.license_id", F.col("_n").cast("long").alias("n_bigrams"), "_hit.dice")
+    lengths = {k: len("".join(c if c.isalnum() else " " for c in v.lower()).split()) for k, v in (templates or TEMPLATES).items()}
+    return units.unionByName(_windows(_once(norm, "_lines", lines).drop("_norm"), grams, lengths, threshold, best))
