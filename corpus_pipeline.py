@@ -27,8 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's documents as often, or in part, as its target weight says."""
-    return mixing.mix(docs)
+    """Take each source's documents, always whole, as often as its target weight says."""
+    return mixing.mix_whole(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

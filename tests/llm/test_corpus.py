@@ -86,6 +86,21 @@ def test_mix_reaches_targets(spark):
     assert rows and all(abs(r["t"] - r["target"]) <= 0.01 * r["target"] for r in rows)
 
 
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline as p
+
+    docs = docs_of(spark, "/root/testdata/sf0.01")
+    mixed, whole = p.source_mix(spark, docs, "").select("doc_id", "source", "text").collect(), {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert mixed and all((r["doc_id"], r["text"]) in whole for r in mixed)
+    goal = {r["source"]: r["target"] for r in mixing.mix_plan(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    got, most = collections.Counter(), collections.Counter()
+    for r in docs.collect():
+        most[r["source"]] = max(most[r["source"]], len(WORD.findall(r["text"] or "")))
+    for r in mixed:
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(abs(got[s] - t) <= most[s] + 0.01 * t for s, t in goal.items())
+
+
 def test_quotas_are_sainte_lague(spark):
     rng = np.random.default_rng(1)
     rows = [(s, f"s{k}", int(b), int(v)) for s in range(6) for k, (b, v) in enumerate((b, rng.random() * 2 * b * mixing.VOTE) for b in rng.integers(1, 400, size=12))]

@@ -94,7 +94,7 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: floa
     A seeded hash deals documents over ``shards`` and orders them there; in a shard, a source's words form a stream of
     about ``block``-word blocks of equal length. Per shard, Sainte-Laguë turns the targets into whole quotas of blocks.
     A quota beyond all of a source's blocks takes the whole stream again; the rest of it is a run of blocks from a
-    seeded start, going round, so that nearly all documents are taken whole. A source in a shard is off its target by
+    seeded start, going round; the documents at its ends are taken in part, which in small sources may be most of them. A source in a shard is off its target by
     about half a block, in either direction, and nothing is collected: hot sources are spread over all shards.
 
     Defined results: a null text has 0 words; a null source is a source, the last; equal rows are interchangeable; null
@@ -104,6 +104,34 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: floa
     return _placed(rows, rows, weights, share, cap, block, seed).select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def _kept(placed: DataFrame) -> DataFrame:
+    """(_src, _shard, _keep): the places of the documents that are taken whole, of those that their run takes in part.
+
+    A source's documents in part, by size, have the fractions taken added up; a document is kept where the sum passes
+    the next half. So at any size the kept ones are off the sum by half a document at most, and the source's words by
+    half of its largest document in part. A stream has at most three of them, so the windows are small.
+    """
+    extra = F.greatest(F.col("_b") - F.col("_a"), F.lit(0)) + F.greatest(F.col("_c"), F.lit(0))
+    part = placed.withColumn("_extra", extra).where((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")))
+    part = part.withColumn("_votes", F.floor(F.col("_extra") * VOTE / F.col("_size")))
+    by_size = Window.partitionBy("_src").orderBy("_size", "_shard", "_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = part.withColumn("_sum", F.sum("_votes").over(by_size) + VOTE // 2)
+    kept = part.where(F.floor(F.col("_sum") / VOTE) > F.floor((F.col("_sum") - F.col("_votes")) / VOTE))
+    return kept.groupBy("_src", "_shard").agg(F.collect_list("_start").alias("_keep"))
+
+
+def mix_whole(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
+    """Like ``mix``, of whole documents: those at the ends of runs are taken or left, so that the errors even out."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    thin = cut(_sized(docs.select("doc_id", "source", "text"), shards, seed).select("doc_id", "_size", "_src", "_shard", "_order"))
+    kept = cut(_kept(_placed(thin, thin, weights, share, cap, block, seed)))
+    rows = _placed(_sized(docs.select("doc_id", "source", "text", row), shards, seed), thin, weights, share, cap, block, seed).join(kept, ["_src", "_shard"], "left")
+    extra = F.greatest(F.col("_b") - F.col("_a"), F.lit(0)) + F.greatest(F.col("_c"), F.lit(0))
+    again = (extra >= F.col("_size")) | F.coalesce(F.array_contains("_keep", F.col("_start")), F.lit(False))
+    copies = F.when(F.col("_size") > 0, F.col("_rounds") + again.cast("int")).otherwise(0).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
+
+
 def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``: a document repeats as often as it is taken.
 
