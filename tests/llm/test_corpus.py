@@ -240,7 +240,6 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     both = odd.select("doc_id", "text").unionByName(docs_of(spark).select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
     rows = packing.pack(both, with_ids=True).collect()
     texts = {r["doc_id"]: r["text"] for r in both.collect()}

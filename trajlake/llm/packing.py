@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,60 +17,56 @@ from trajlake.llm.common import cut
 
 #: Pieces of one length are ranked in so many slices, so that no length has to be sorted by one task.
 SLICES = 1024
-#: Entries of a worker's cache of words.
-CACHE = 200_000
-_ODD_SPACE = re.compile(r"^\s|\s$|\s\s")
+#: The vocabulary's added token and its id. A text that holds it gets that id there.
+ADDED = {"<|endoftext|>": 50256}
 
 
-class WordCache:
-    """Token ids of whole texts, as bytes of little-endian unsigned 32-bit numbers.
+@lru_cache(2)  # of a Python worker
+def _encoding(ranks_path: str):
+    """The public vocabulary as tiktoken has it: the ids are those that tokenizers gives with the JSON file."""
+    import public_tokenizers
+    import tiktoken
 
-    No token of this vocabulary's pattern runs across a single space between two other characters but for the space it
-    starts with, so such texts are cut there and words come from a cache; other texts are encoded as they are.
-    """
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
-    def __init__(self, ranks_path: str):
-        import public_tokenizers
-        import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._words: dict[str, bytes] = {}
+def token_ids(texts: Iterable[str | None], ranks_path: str) -> Iterator[np.ndarray]:
+    """Token ids (unsigned 32-bit) of whole texts, one at a time; null counts as empty."""
+    encode = _encoding(ranks_path).encode_to_numpy
+    for text in texts:
+        yield encode(text if isinstance(text, str) else "", allowed_special="all").astype("<u4", copy=False)
 
-    def _direct(self, text: str) -> bytes:
-        return np.array(self._encode(text), dtype="<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._direct(text)
-        first, *rest = text.split(" ")
-        if len(self._words) > CACHE:
-            self._words.clear()
-        for w in set(rest).difference(self._words):
-            self._words[w] = self._direct(" " + w)
-        return self._direct(first) + b"".join(map(self._words.__getitem__, rest))
+#: Ids that a batch of pieces holds at most, beyond one document's.
+_IDS = 1 << 20
 
 
-_caches: dict[str, WordCache] = {}  # of a Python worker
+def _pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, size: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    def pieces(doc_id: pa.Array, rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+        row, piece, start, length, crc = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+        columns = [doc_id.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)]
+        if with_ids:
+            ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).view("<i4"))))
+        return pa.RecordBatch.from_arrays(columns, names)
 
-def _pieces(batches: Iterator[pd.DataFrame], ranks_path: str, size: int, end_id: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    cache = _caches.setdefault(ranks_path, None) or _caches.__setitem__(ranks_path, WordCache(ranks_path)) or _caches[ranks_path]
-    end = np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
-        out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            ids = cache.ids(text) + end if isinstance(text, str) else end
-            start, total = 0, len(ids) // 4
-            stop = total % size or size  # the first piece takes what full ones leave
-            piece = 0
-            while start < total:
-                own = ids[4 * start : 4 * stop]
-                out.append((doc_id, piece, start, stop - start, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("int32")] * with_ids)))
-                piece, start, stop = piece + 1, stop, stop + size
-        frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-        yield frame.astype({"doc_id": "Int64"})
+        rows, held, total = [], [], 0
+        for row, own in enumerate(token_ids((x.as_py() for x in batch.column("text")), ranks_path)):
+            own = np.append(own, np.uint32(end_id)).astype("<u4", copy=False)
+            edges = [0, *range(len(own) % size or size, len(own) + 1, size)]  # the first piece takes what full ones leave
+            rows += [(row, k, a, b - a, zlib.crc32(own[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+            total += len(own)
+            if with_ids:
+                held.append(own)
+            if total > _IDS:
+                yield pieces(batch.column("doc_id"), rows, held)
+                rows, held, total = [], [], 0
+        yield pieces(batch.column("doc_id"), rows, held)
 
 
 class CapacityTree:
@@ -149,19 +146,21 @@ def pack(docs: DataFrame, *, size: int = 1024, end_id: int = 2, ranks: str = "by
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ``ids`` on request).
 
     A document is its token ids and ``end_id``; only those of over ``size`` tokens are cut, the first piece taking the
-    remainder. Texts are encoded once, by public rank files (the vocabulary of byte_bpe_50k.json). The driver gets the
-    number of pieces of each length (``size`` rows at most), plans best-fit decreasing over all of them, and broadcasts
+    remainder. Whole texts are encoded once; ids are those that tokenizers gives with byte_bpe_50k.json, its added token
+    included. The driver gets the number of pieces of each length (``size`` rows at most), plans best-fit decreasing over all of them, and broadcasts
     the rules (``3 size log2(size)`` at most); tasks look up their pieces by their rank among pieces of the same length.
 
-    Defined results: a null text is an empty document, of one token; equal rows are documents of their own; null ids
-    stay null; an empty table gives an empty result; other columns are ignored.
+    Defined results: a null text is an empty document, of one token; a very long text is encoded whole and cut into
+    pieces; equal rows are documents of their own, and pieces of one length may swap places; null ids stay null; an
+    empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     import public_tokenizers
 
     path, spark = public_tokenizers.path(ranks), docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _pieces(it, path, size, end_id, with_ids), schema)
-    pieces = cut(pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES))))
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _pieces(it, path, size, end_id, with_ids), schema)
+    # The partition spreads equal rows over slices; the checkpoint fixes it.
+    pieces = cut(pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(SLICES))))
     slices = cut(pieces.groupBy("length", "_slice").count())
     counts = {r["length"]: r["n"] for r in slices.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(best_fit_plan(counts, size))
