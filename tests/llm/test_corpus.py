@@ -231,8 +231,22 @@ def test_exact_dedup(spark, odd):
     assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] in (1, 2, 3, 4)} == {(1, 2, 2, False), (2, 2, 2, True), (3, 4, 3, False), (4, 4, 3, True)}
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
     left = exact_dedup.drop_exact_duplicates(odd)
-    assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 2, 4, 4, 5, 6, 7, 8, 9]
-    assert exact_dedup.exact_duplicates(odd.limit(0)).count() == 0
+    assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
+    assert exact_dedup.exact_duplicates(odd.limit(0)).count() == 0 and exact_dedup.drop_exact_duplicates(odd.limit(0)).count() == 0
+
+
+REPEATS = [(1, "a b"), (2, "a b"), (1, "unique text"), (5, "z"), (5, "z"), (5, "Z"), (None, "n"), (None, "n"), (6, None), (6, ""), (7, "a c")]
+
+
+def test_drops_are_by_row(spark):
+    """A row goes only for its own text, and repeated rows leave one, whatever ids they share."""
+    docs = spark.createDataFrame([(i, t, "x") for i, t in REPEATS], "doc_id long, text string, _row string")
+    left = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_duplicates(docs).collect()), key=str)
+    assert [(i, (t or "").lower()) for i, t in left] == [(1, "unique text"), (2, "a b"), (5, "z"), (6, ""), (7, "a c"), (None, "n")]
+    left = minhash_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = collections.Counter((r["doc_id"], (r["text"] or "").lower()) for r in left.collect())
+    assert got == {(1, "a b"): 1, (1, "unique text"): 1, (5, "z"): 1, (None, "n"): 2, (6, ""): 2, (7, "a c"): 1}
 
 
 def test_packing(spark, odd):

@@ -50,3 +50,23 @@ def word_count(text: Column) -> Column:
 def hex_number(digest: Column, start: int, digits: int) -> Column:
     """``digits`` hexadecimal digits of ``digest`` from the 1-based ``start``, as a long (15 digits at most)."""
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
+
+
+def row_key(doc_id: Column) -> Column:
+    """``doc_id`` as text, null included: a key that joins can compare."""
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose (_id, _print) is in ``gone``; of those in ``repeated`` one row each.
+
+    _id is ``row_key`` of doc_id and _print the xxhash64 of the text; the two tables hold each key once. Whole rows are
+    dealt out once, by a key that differs from row to row; only repeated rows are dealt out again.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, row_key(F.col("doc_id")).alias("_id"), F.xxhash64("text").alias("_print"))
+    repeated = cut(repeated)
+    if repeated.isEmpty():
+        return keyed.join(gone, ["_id", "_print"], "left_anti").select("_row.*")
+    once = keyed.join(repeated, ["_id", "_print"], "left_semi").groupBy("_id", "_print").agg(F.first("_row").alias("_row"))
+    return keyed.join(gone.unionByName(repeated), ["_id", "_print"], "left_anti").unionByName(once.select("_row", "_id", "_print")).select("_row.*")

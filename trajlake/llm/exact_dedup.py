@@ -5,47 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import cut, fold_ascii
+from trajlake.llm.common import cut, fold_ascii, row_key, without
 
 #: Characters that the prefix hash covers.
 PREFIX = 64
 
 
-def _several(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that more than one row has."""
-    return df.groupBy(*keys).count().where("count > 1").select(*keys)
+def _refined(rows: DataFrame) -> DataFrame:
+    """(_len, _prefix) that several rows share: first lengths are counted, then prefix hashes of the shared lengths.
 
+    Rows are counted in partial aggregates before anything is joined, so that a common length or a large group of
+    copies is one counted row by then.
+    """
+    fine = rows.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("n"))
+    lengths = fine.groupBy("_len").agg(F.sum("n").alias("_rows")).where("_rows > 1").select("_len")
+    return fine.where("n > 1").join(lengths, "_len", "left_semi").select("_len", "_prefix")
 
-def duplicate_groups(docs: DataFrame, *, digest_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): fingerprints of all documents, and the groups of at least two equal texts.
 
-    Rows have doc_id, _len (bytes), _prefix and _full. Rows refine step by step: only those whose length is shared go
-    on to the prefix hash, and only those whose length and prefix hash are shared to the full hash. ``digest_all`` has
-    the first scan add every row's full hash (for callers that return it); otherwise the texts of the rows that survived
-    are read again for it, and the full hash of all others stays null.
+def duplicate_groups(docs: DataFrame, *, digest_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): fingerprints of documents, and the groups of at least two equal texts.
 
-    Keys are counted with partial aggregates and joined back, so a group of copies may hold any share of the rows.
+    Rows have doc_id, _print (hash of the text as it is), _len (bytes), _prefix and _full. Rows refine step by step:
+    only those whose length is shared go on to the prefix hash, and only those whose length and prefix hash are shared
+    to the full hash. ``digest_all`` has the first scan add every row's full hash (for callers that return it) and gives
+    all rows; otherwise the texts of the rows that survive are read again for it, and only those rows are given.
     """
     text = fold_ascii(F.coalesce("text", F.lit("")))
-    fields = [F.col("doc_id"), F.octet_length("_text").cast("long").alias("_len"), F.xxhash64(F.substring("_text", 1, PREFIX)).alias("_prefix")]
-    rows = cut(docs.select("doc_id", text.alias("_text")).select(*fields, *[F.sha2("_text", 256).alias("_full")] * digest_all))
-    same_length = rows.join(_several(rows, ["_len"]), "_len", "left_semi")
-    keys = _several(same_length, ["_len", "_prefix"])
-    survivors = rows.join(keys, ["_len", "_prefix"], "left_semi")
+    fields = ["doc_id", "_print", F.octet_length("_text").cast("long").alias("_len"), F.xxhash64(F.substring("_text", 1, PREFIX)).alias("_prefix")]
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_print"), text.alias("_text"))
+    full = F.sha2("_text", 256).alias("_full")
+    rows = cut(texts.select(*fields, *[full] * digest_all))
     if not digest_all:
-        again = docs.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text.alias("_text"))
-        survivors = cut(again.select(*fields, F.sha2("_text", 256).alias("_full")))
-        rows = rows.withColumn("_full", F.lit(None).cast("string"))
-    groups = survivors.groupBy("_len", "_prefix", "_full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return (rows, groups) if digest_all else (survivors, groups)
+        rows = cut(texts.select(*fields, "_text").join(_refined(rows), ["_len", "_prefix"], "left_semi").select("doc_id", "_print", "_len", "_prefix", full))
+    groups = rows.groupBy("_len", "_prefix", "_full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return rows, groups.join(_refined(rows), ["_len", "_prefix"], "left_semi") if digest_all else groups
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; of equal ones the largest doc_id stays. Defined results: a
-    null text counts as empty; rows that share the largest doc_id of their group all stay (one document logged twice);
-    a null doc_id stays only if its whole group has none; an empty table gives an empty result; other columns are ignored.
+    null text counts as empty; texts of any length are hashed whole; rows that share the largest doc_id of their group
+    are all marked as kept (one document logged twice); a null doc_id stays only if its whole group has none; an empty
+    table gives an empty result; other columns, whatever their names, are ignored.
     """
     rows, groups = duplicate_groups(docs, digest_all=True)
     found = rows.join(groups, ["_len", "_prefix", "_full"], "left")
@@ -54,7 +56,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Rows without doc_id stay; one doc_id stands for one document."""
-    survivors, groups = duplicate_groups(docs)
-    out = survivors.join(groups, ["_len", "_prefix", "_full"]).where(F.col("doc_id") != F.col("keep_id")).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    """One row of each group of equal texts, with all its columns: one of largest doc_id.
+
+    Rows are told apart by doc_id and text, so a row goes only for its own text. Defined results: null texts are equal
+    to empty ones; of rows that share the largest doc_id of their group one stays, as of repeated rows and of rows
+    without doc_id; an empty table gives an empty result; columns keep their names and order.
+    """
+    rows, groups = duplicate_groups(docs)
+    group = ["_len", "_prefix", "_full"]
+    keys = rows.withColumn("_id", row_key(F.col("doc_id"))).groupBy(*group, "_id", "_print").agg(F.count(F.lit(1)).alias("n"))
+    best = keys.join(groups.select(*group, row_key(F.col("keep_id")).alias("_id")), [*group, "_id"], "left_semi")
+    stay = best.groupBy(*group, "_id").agg(F.min("_print").alias("_print"))
+    keys = cut(keys.join(groups.select(*group), group, "left_semi").join(stay.withColumn("_stays", F.lit(True)), [*group, "_id", "_print"], "left"))
+    return without(docs, keys.where("_stays IS NULL").select("_id", "_print"), keys.where("_stays AND n > 1").select("_id", "_print"))

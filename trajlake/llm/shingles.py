@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -70,7 +70,7 @@ def _parts(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """The hashes of each text's words, A-Z lower-cased, in order."""
     batch: list[bytes] = []
     size = 0
@@ -95,7 +95,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     yield from flush()
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's ``k``-word shingles; with 1 to k - 1 words, of the whole sequence."""
     factors = [np.uint64(x | 1) for x in np.random.default_rng(k).integers(1, 2**63, size=k)]
     for words in word_hashes(texts):
