@@ -1,8 +1,10 @@
 """The corpus operators: against SQL, brute force, round trips, held-out rows and odd tables."""
 
 import collections
+import math
 import re
 import sys
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -120,11 +122,65 @@ def test_language_id(spark, odd):
     assert got[8]["lang_pred"] == "fr" and all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["lang_pred"] for r in language_id.identify_languages(odd, train.limit(0)).collect()} == {"und"}
     assert language_id.identify_languages(odd.limit(0), train).count() == 0
+    names = identify = language_id.identify_languages(odd.withColumnsRenamed({"shard": "lang_pred", "target": "score"}), train)
+    assert names.columns.count("lang_pred") == names.columns.count("score") == 1 and identify.count() == len(ODD)
+    ties = spark.createDataFrame([("aaa", "y"), ("aaa", "x")], "text string, lang string")
+    assert language_id.identify_languages(odd.where("doc_id = 6"), ties).first()["lang_pred"] == "x"
     lang = docs_of(spark).select("doc_id", "lang")
     held = QUERIES["op3_language_id"](spark, SF).where("held_out").join(lang, "doc_id")
     assert held.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def brute_languages(training, texts):
+    """Naive Bayes n-gram by n-gram, with the operator's own hash of an n-gram."""
+    letters = lambda t: "".join(c.lower() if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in t)
+    factors = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+    def grams(text):
+        s = f" {letters(text)}  "
+        for order in (1, 2, 3):
+            for i in range(len(s) - 2):
+                g = s[i : i + order]
+                if not g[: min(order, 2)].isspace():
+                    h = (order + sum(ord(c) * f for c, f in zip(g, factors))) % 2**64
+                    yield ((h ^ (h >> 29)) * factors[2] % 2**64) >> 49
+
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for t, lang in training:
+        counts[lang].update(grams(t))
+        docs[lang] += 1
+    out = []
+    for t in texts:
+        own = collections.Counter(grams(t))
+        score = {lang: math.log(docs[lang] / docs.total()) + sum(n * math.log((c[b] + 0.5) / (c.total() + 0.5 * 32768)) for b, n in own.items()) for lang, c in counts.items()}
+        best = max(sorted(score), key=score.get)
+        out.append(("und", 0.0) if not any(c.isalpha() for c in t) else (best, 1 / sum(math.exp(s - score[best]) for s in score.values())))
+    return counts, out
+
+
+def test_languages_equal_brute_force(spark, monkeypatch):
+    import trajlake.llm.textbatch as textbatch
+
+    training = [("Thé cat, and the dog", "en"), ("le chat et le chien été", "fr"), ("der Hund und die Katze", "de"), ("the end", "en")]
+    texts = ["the dog", "chien", "Katze!", "\u0301", "e\u0301", "12 3", "", "le the der " * 50]
+    want_counts, want = brute_languages(training, texts)
+    counts = collections.defaultdict(dict)
+    for r in language_id.counted(spark.createDataFrame(training, "text string, lang string")).collect():
+        if r["bucket"] >= 0:
+            counts[r["lang"]][r["bucket"]] = r["n"]
+    assert counts == {k: dict(v) for k, v in want_counts.items()}
+    for limit in (64, 2):  # in one model, and put together from two
+        monkeypatch.setattr(language_id, "LANGUAGES", limit)
+        got = language_id.identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(training, "text string, lang string")).orderBy("doc_id").collect()
+        assert [r["lang_pred"] for r in got] == [x for x, _ in want] and np.allclose([r["score"] for r in got], [x for _, x in want])
+    one = list(textbatch.chunks(["abcdefghij"], 100))
+    for size in (1, 2, 3, 4):  # the n-grams of a text are those of its parts
+        parts = [p for _, ps in textbatch.chunks(["abcdefghij"], size) for p in ps]
+        whole = sorted(np.concatenate(language_id._grams(one[0][1])[0]))
+        cut = sorted(np.concatenate([b for p in parts for b in language_id._grams([p])[0]]))
+        assert [b for b in cut if b < 32768] == [b for b in whole if b < 32768]
+
+
 def test_chats(spark):
     t = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, None, None), (5, 0, "", ""), (6, 0, None, None), (None, 0, "user", "z"), (7, 0, "user", "a"), (7, 0, "user", "a")]
     df = spark.createDataFrame([(*r, "x") for r in t], "conv_id long, turn long, role string, text string, n_turns string")
