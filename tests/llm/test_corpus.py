@@ -356,6 +356,29 @@ def test_license_scan(spark):
     assert got == {(1, 1, "MIT"), (2, 0, "MIT")}
 
 
+def test_license_bounds_and_odd_tables(spark):
+    """Matches at exactly the threshold count, by brute force over lines of every template with words added."""
+    rows, want = [], set()
+    grams = lambda t: set(license_scan._python_bigrams(t))
+    for n, (name, t) in enumerate(license_scan.TEMPLATES.items()):
+        for k in range(6):
+            for line in (f"{'Zeta ' * (k > 0)}{t} {' '.join(f'eta{i}' for i in range(k))}", " ".join(t.split()[: len(t.split()) - k])):
+                rows.append((len(rows), line))
+                dice = [(2 * len(grams(line) & grams(u)) / max(len(grams(line)) + len(grams(u)), 1), m) for m, u in license_scan.TEMPLATES.items()]
+                if max(dice)[0] >= 0.8:
+                    want.add((len(rows) - 1, max(dice)[1], max(dice)[0]))
+    rows.append((len(rows), "Module released under the MIT License today"))
+    want.add((len(rows) - 1, "MIT", 0.8))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license_id"], r["dice"]) for r in license_scan.scan_licenses(df).where("unit = 0").collect()}
+    assert got == want
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+    twice = license_scan.scan_licenses(spark.createDataFrame([(1, "Released under the MIT License.", "x")] * 2 + [(2, LONG + " released under the MIT License. " + LONG, "x")], "doc_id long, text string, unit string")).collect()
+    assert sorted((r["doc_id"], r["unit"], r["license_id"]) for r in twice) == [(1, 0, "MIT"), (1, 0, "MIT"), (2, -2, "MIT")]
+    same = license_scan.scan_licenses(df.where("doc_id = 0"), templates={"B": license_scan.TEMPLATES["MIT"], "A": license_scan.TEMPLATES["MIT"]}).collect()
+    assert [r["license_id"] for r in same] == ["B"]
+
+
 def test_license_families_texts_and_windows(spark):
     notice, isc, mit = license_scan.TEMPLATES["MPL-2.0"].split(), license_scan.TEMPLATES["ISC"].split(), license_scan.TEMPLATES["MIT (text)"]
     prose = " ".join(f"ordinary{i} prose" for i in range(200))
@@ -366,7 +389,7 @@ def test_license_families_texts_and_windows(spark):
     ]
     got = {(r["doc_id"], r["unit"], r["license_id"]) for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     last = 2 + texts[1][1].split("\n").index(" ".join(isc[:8]))
-    assert got == {(1, 1, "CC-BY-NC-4.0"), (2, -3, "MPL-2.0"), (2, -last, "ISC"), (3, -2, "MIT"), (4, 0, "MIT (text)"), (5, -3, "MIT (text)"), (6, -1, "MIT (text)")}
+    assert got == {(1, 1, "CC-BY-NC-4.0"), (1, -1, "CC-BY-NC-4.0"), (2, -3, "MPL-2.0"), (2, -last, "ISC"), (3, -2, "MIT"), (4, 0, "MIT (text)"), (5, -3, "MIT (text)"), (6, -1, "MIT (text)")}
 
 
 def test_quality(spark, odd, labels):

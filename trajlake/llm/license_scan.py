@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,18 +70,39 @@ def _literals(grams: Iterable[str]) -> Column:
     return F.split(F.lit("|".join(grams)), r"\|")
 
 
-def _markers(grams: Mapping[str, list[str]], narrow: float) -> list[str]:
-    """Words of which every match has one: without them, each template has too few bigrams left for the threshold."""
-    marks: set[str] = set()
-    for own in grams.values():
-        words = sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w))
-        for w in words:
-            if sum(not marks & set(g.split()) for g in own) < narrow * len(own):
-                break
-            marks.add(w)
+def _ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of whole numbers, so that no bound is rounded: 0.8 is 4 / 5."""
+    f = Fraction(threshold).limit_denominator(10_000)
+    return f.numerator, f.denominator
+
+
+def _markers(grams: Mapping[str, list[str]], ratio: tuple[int, int]) -> list[str]:
+    """Substrings of which every match has one: without them, each template has too few bigrams left for the threshold.
+
+    Dice of ``a / b`` takes at least ``a / (2 b - a)`` of a template's bigrams. Candidates are the words' first six
+    characters; those that serve most templates are taken first, as long as any template has too many bigrams left.
+    """
+    a, b = ratio
+    left = {name: set(own) for name, own in grams.items()}
+    spare = lambda name: (2 * b - a) * len(left[name]) - a * len(grams[name])  # noqa: E731  (at least 0: more are needed)
+    stems = sorted({w[:6] for own in grams.values() for g in own for w in g.split() if len(w) > 4} or {w for own in grams.values() for g in own for w in g.split()})
+    marks: list[str] = []
+    while any(spare(n) >= 0 for n in left):
+        gain = {s: sum(min(sum(s in g for g in left[n]), 1 + spare(n) // (2 * b - a)) for n in left if spare(n) >= 0) for s in stems}
+        best = max(stems, key=lambda s: (gain[s], len(s), s))
+        if not gain[best]:  # only short words are left
+            stems = sorted({w for own in left.values() for g in own for w in g.split()})
+            continue
+        marks.append(best)
+        left = {n: {g for g in own if best not in g} for n, own in left.items()}
     return sorted(marks)
 
 
+def _marked(text: Column, marks: list[str]) -> Column:
+    """Whether a lower-case text holds a marker: plain substring searches, before anything is split."""
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks])
+
+
 def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[str, int], threshold: float, best: Callable[[Column], Column]) -> DataFrame:
     """Matches of word windows, which neither overlap each other nor a matched line; ``lines`` has doc_id and _lines.
 
@@ -87,11 +110,11 @@ def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[
     windows of all lengths within the template's bounds start at each of its bigrams. A window smaller than the template
     counts as being of its size: else it would be more similar for leaving out the words that differ.
     """
-    narrow = threshold / (2 - threshold)
-    docs = _once(lines, "_words", F.flatten("_lines.words")).where(F.arrays_overlap("_words", _literals(_markers(grams, narrow))))
+    a, b = _ratio(threshold)
+    docs = _once(lines, "_words", F.flatten("_lines.words"))
     shared = F.array_intersect(_bigrams(F.col("_words")), _literals(sorted({g for own in grams.values() for g in own})))
     docs = _once(docs, "_shared", shared)
-    enough = F.array(*[F.when(F.size(F.array_intersect("_shared", _literals(own))) >= narrow * len(own) - 1e-9, F.lit(k)) for k, own in grams.items()])
+    enough = F.array(*[F.when((2 * b - a) * F.size(F.array_intersect("_shared", _literals(own))) >= a * len(own), F.lit(k)) for k, own in grams.items()])
     docs = _once(docs, "_near", F.array_compact(enough)).where((F.size("_near") > 0) & ~F.coalesce(best(_bigrams(F.col("_words")))["dice"] >= threshold, F.lit(False)))
     # The position of each line's first word and of the word after its last, for all lines and for those that match.
     spans = F.aggregate("_lines", F.array().cast("array<struct<a:int,b:int,unit:int>>"), lambda acc, x: F.concat(acc, F.array(F.struct(
@@ -99,7 +122,7 @@ def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[
     matched = F.transform("_lines", lambda x: F.coalesce(best(_bigrams(x["words"]))["dice"] >= threshold, F.lit(False)))
     docs = _once(_once(_once(docs, "_spans", spans), "_pairs", _pairs(F.col("_words"))), "_matched", matched)
     docs = docs.withColumn("_taken", F.filter("_spans", lambda _, i: F.get("_matched", i)))
-    table = F.create_map(*[x for k, own in grams.items() for x in (F.lit(k), F.struct(_literals(own).alias("grams"), F.lit(int(lengths[k] / narrow) + 1).alias("most")))])
+    table = F.create_map(*[x for k, own in grams.items() for x in (F.lit(k), F.struct(_literals(own).alias("grams"), F.lit(lengths[k] * (2 * b - a) // a + 1).alias("most")))])
 
     def at(k: Column) -> Column:
         own = table[k]
@@ -132,37 +155,43 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
 
     Normalised: lower case, everything but letters and digits is space. Compared are every line (``unit`` 0, 1, ...)
     and the whole text (-1, if it has several lines with words), and, where the whole text matches nothing, windows of
-    words across lines or within one (-2 minus the line that they start in). Dice is ``2 shared / (own + template's)`` over sets of
-    word bigrams. It can reach the threshold t only with between ``t / (2 - t)`` and ``(2 - t) / t`` times the
-    template's bigrams, so other templates are left out before anything is intersected. No shuffle.
-
-    Defined results: null and empty texts and lines of one word match nothing; of several templates
-    that match, the most similar one counts, then the last by name; repeated rows give repeated matches; an empty table gives an empty result; other columns are
-    ignored.
+    words across lines or within one (-2 minus the line that they start in). Dice is ``2 shared / (own + template's)``
+    over sets of word bigrams. It can reach the threshold t only with between ``t / (2 - t)`` and ``(2 - t) / t`` times
+    the template's bigrams, so other templates are left out before anything is intersected; all bounds are compared in
+    whole numbers. Before that, texts and lines without any of a few substrings that every match has (see ``_markers``)
+    are left out by plain searches. No shuffle.
+
+    Defined results: null and empty texts and lines of one word match nothing; texts of any length are compared whole;
+    of several templates that match, the most similar one counts, then the last by name; repeated rows give repeated
+    matches; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     grams = {k: _python_bigrams(v) for k, v in (templates or TEMPLATES).items()}
     grams = {k: v for k, v in grams.items() if v}
-    narrow = threshold / (2 - threshold)
-    least = min(len(v) for v in grams.values()) * narrow
-    norm = docs.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("_norm"))
+    a, b = _ratio(threshold)
+    marks = _markers(grams, (a, b))
+    low = docs.select("doc_id", F.lower("text").alias("_low")).where(_marked(F.col("_low"), marks))
+    norm = low.select("doc_id", F.regexp_replace("_low", r"[^\p{L}\p{N}\n]+", " ").alias("_norm"))
     some = lambda s, by: F.filter(F.split(s, by), lambda w: w != "")
-    lines = F.transform(F.split("_norm", "\n"), lambda line, i: F.struct(i.alias("unit"), some(line, " ").alias("words")))
-    lines = F.filter(lines, lambda x: F.size(x["words"]) > 0)
-    whole = F.when(F.size("_lines") > 1, F.array(F.struct(F.lit(-1).alias("unit"), some(F.col("_norm"), "[ \n]+").alias("words"))))
-    units = norm.withColumn("_lines", lines).select("doc_id", F.explode(F.concat("_lines", F.coalesce(whole, F.slice("_lines", 1, 0)))).alias("u"))
-    units = units.where(F.size("u.words") - 1 >= least).select("doc_id", "u.unit", _bigrams(F.col("u.words")).alias("_b")).withColumn("_n", F.size("_b"))
-    most = max(len(v) for v in grams.values()) / narrow
-    units = units.where((F.col("_n") >= least) & (F.col("_n") <= most))
-
-    def best(b: Column) -> Column:
-        scores, n = [], F.size(b)
-        for name, own in grams.items():
-            near = (n >= len(own) * narrow) & (n <= len(own) / narrow)
-            dice = F.lit(2.0) * F.size(F.array_intersect(b, _literals(own))) / (n + len(own))
+    line = lambda text, i: F.struct(i.alias("unit"), some(text, " ").alias("words"))
+    lines = F.filter(F.transform(F.split("_norm", "\n"), line), lambda x: F.size(x["words"]) > 0)
+    few, many = min(len(v) for v in grams.values()), max(len(v) for v in grams.values())
+    fits = lambda n: ((2 * b - a) * n >= a * few) & (a * n <= (2 * b - a) * many)
+    marked = F.filter(F.transform(F.split("_norm", "\n"), lambda text, i: F.struct(text.alias("text"), i.alias("i"))), lambda x: _marked(x["text"], marks))
+    alone = norm.select("doc_id", F.explode(F.transform(marked, lambda x: line(x["text"], x["i"]))).alias("u"))
+    whole = _once(norm.where(F.size(F.filter(F.split("_norm", "\n"), lambda x: F.trim(x) != "")) > 1), "u", F.struct(F.lit(-1).alias("unit"), some(F.col("_norm"), "[ \n]+").alias("words"))).select("doc_id", "u")
+    units = alone.unionByName(whole).where((2 * b - a) * (F.size("u.words") - 1) >= a * few)
+    units = _once(units, "_b", _bigrams(F.col("u.words"))).select("doc_id", "u.unit", "_b", F.size("_b").alias("_n")).where(fits(F.col("_n")))
+
+    def best(own: Column) -> Column:
+        scores, n = [], F.size(own)
+        for name, template in grams.items():
+            m = len(template)
+            near = ((2 * b - a) * n >= a * m) & (a * n <= (2 * b - a) * m)
+            dice = F.lit(2.0) * F.size(F.array_intersect(own, _literals(template))) / (n + m)
             scores.append(F.when(near, F.struct(dice.alias("dice"), F.lit(name).alias("license_id"))))
         return F.array_max(F.array(*scores))
 
-    units = units.withColumn("_hit", best(F.col("_b"))).where(F.col("_hit.dice") >= threshold)
+    units = _once(units, "_hit", best(F.col("_b"))).where(F.col("_hit.dice") >= threshold)
     units = units.select("doc_id", F.col("unit").cast("long").alias("unit"), "_hit.license_id", F.col("_n").cast("long").alias("n_bigrams"), "_hit.dice")
     lengths = {k: len("".join(c if c.isalnum() else " " for c in v.lower()).split()) for k, v in (templates or TEMPLATES).items()}
     return units.unionByName(_windows(_once(norm, "_lines", lines).drop("_norm"), grams, lengths, threshold, best))
