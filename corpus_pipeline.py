@@ -10,29 +10,38 @@ from trajlake.llm.common import shared_folder
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the quality classifier predicts to be good."""
+    """Keep the documents that the quality classifier predicts to be good.
+
+    Null and empty texts are scored like any other; repeated rows share their fate; columns of ``docs`` stay as they are.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     scored = quality.score_quality(docs.select("doc_id", "text", row), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 1").select("_row.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of largest id of each group of equal texts."""
+    """Keep one row of each group of equal texts, one of largest id (see ``drop_exact_duplicates`` for odd rows)."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by five-word shingle similarities of 0.8 and more."""
+    """Keep one row of each group linked by five-word shingle similarities of 0.8 and more, one of smallest id.
+
+    Rows without doc_id or words stay (see ``drop_near_duplicates``).
+    """
     return minhash_dedup.drop_near_duplicates(docs, k=5, threshold=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's documents, always whole, as often as its target weight says."""
-    return mixing.mix_whole(docs)
+    """Take each source's documents, always whole, as often as its target weight says.
+
+    Documents without words are left out (see ``mix``).
+    """
+    return mixing.mix(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the tokens of all documents into sequences of at most 1024; one row per piece, with its ids."""
+    """Pack the tokens of all documents into sequences of at most 1024; one row per piece, with its ids (see ``pack``)."""
     return packing.pack(docs, with_ids=True)
 
 
@@ -48,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; each one's result is written as Parquet to the shared folder and read again.
+
+    An empty table gives an empty result; other columns of ``documents``, whatever their names, go along up to packing.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark)
     for i, (_, stage) in enumerate(STAGES):

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.llm.common import cut
+
 #: Public licence notices by SPDX identifier; in brackets what further wordings of a licence are.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -77,30 +79,40 @@ def _ratio(threshold: float) -> tuple[int, int]:
 
 
 def _markers(grams: Mapping[str, list[str]], ratio: tuple[int, int]) -> list[str]:
-    """Substrings of which every match has one: without them, each template has too few bigrams left for the threshold.
+    """Words and bigrams of which every match has one: without them, each template has too few bigrams left.
 
-    Dice of ``a / b`` takes at least ``a / (2 b - a)`` of a template's bigrams. Candidates are the words' first six
-    characters; those that serve most templates are taken first, as long as any template has too many bigrams left.
+    Dice of ``a / b`` takes at least ``a / (2 b - a)`` of a template's bigrams. Long words come first, those that serve
+    most templates; where only short words are left, bigrams do, which are as rare.
     """
     a, b = ratio
     left = {name: set(own) for name, own in grams.items()}
     spare = lambda name: (2 * b - a) * len(left[name]) - a * len(grams[name])  # noqa: E731  (at least 0: more are needed)
-    stems = sorted({w[:6] for own in grams.values() for g in own for w in g.split() if len(w) > 4} or {w for own in grams.values() for g in own for w in g.split()})
+    has = lambda mark, gram: mark == gram or mark in gram.split()
     marks: list[str] = []
-    while any(spare(n) >= 0 for n in left):
-        gain = {s: sum(min(sum(s in g for g in left[n]), 1 + spare(n) // (2 * b - a)) for n in left if spare(n) >= 0) for s in stems}
-        best = max(stems, key=lambda s: (gain[s], len(s), s))
-        if not gain[best]:  # only short words are left
-            stems = sorted({w for own in left.values() for g in own for w in g.split()})
-            continue
-        marks.append(best)
-        left = {n: {g for g in own if best not in g} for n, own in left.items()}
+    for choices in ({w for own in grams.values() for g in own for w in g.split() if len(w) > 6}, {g for own in grams.values() for g in own}):
+        while any(spare(n) >= 0 for n in left):
+            gain = {c: sum(min(sum(has(c, g) for g in left[n]), 1 + spare(n) // (2 * b - a)) for n in left if spare(n) >= 0) for c in choices}
+            best = max(choices, key=lambda c: (gain[c], len(c), c), default=None)
+            if best is None or not gain[best]:
+                break
+            marks.append(best)
+            left = {n: {g for g in own if not has(best, g)} for n, own in left.items()}
     return sorted(marks)
 
 
-def _marked(text: Column, marks: list[str]) -> Column:
-    """Whether a lower-case text holds a marker: plain substring searches, before anything is split."""
-    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks])
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(lambda x, y: x | y, tests)
+
+
+def _perhaps(low: Column, marks: list[str]) -> Column:
+    """Whether a lower-case text may have a marker: plain searches for words, before anything is normalised."""
+    return _any(reduce(lambda x, y: x & y, [F.contains(low, F.lit(w)) for w in m.split()]) for m in marks)
+
+
+def _marked(norm: Column, marks: list[str]) -> Column:
+    """Whether a normalised text has a marker."""
+    padded = F.concat(F.lit(" "), F.translate(norm, "\n", " "), F.lit(" "))
+    return F.exists(F.array(padded), lambda t: _any(F.contains(t, F.lit(f" {m} ")) for m in marks))
 
 
 def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[str, int], threshold: float, best: Callable[[Column], Column]) -> DataFrame:
@@ -158,8 +170,8 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
     words across lines or within one (-2 minus the line that they start in). Dice is ``2 shared / (own + template's)``
     over sets of word bigrams. It can reach the threshold t only with between ``t / (2 - t)`` and ``(2 - t) / t`` times
     the template's bigrams, so other templates are left out before anything is intersected; all bounds are compared in
-    whole numbers. Before that, texts and lines without any of a few substrings that every match has (see ``_markers``)
-    are left out by plain searches. No shuffle.
+    whole numbers. Before that, texts and lines without any of a few words and bigrams that every match has (see
+    ``_markers``) are left out by plain searches. No shuffle.
 
     Defined results: null and empty texts and lines of one word match nothing; texts of any length are compared whole;
     of several templates that match, the most similar one counts, then the last by name; repeated rows give repeated
@@ -169,8 +181,9 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
     grams = {k: v for k, v in grams.items() if v}
     a, b = _ratio(threshold)
     marks = _markers(grams, (a, b))
-    low = docs.select("doc_id", F.lower("text").alias("_low")).where(_marked(F.col("_low"), marks))
-    norm = low.select("doc_id", F.regexp_replace("_low", r"[^\p{L}\p{N}\n]+", " ").alias("_norm"))
+    low = docs.select("doc_id", F.lower("text").alias("_low")).where(_perhaps(F.col("_low"), marks))
+    norm = _once(low, "_norm", F.regexp_replace("_low", r"[^\p{L}\p{N}\n]+", " ")).select("doc_id", "_norm")
+    norm = cut(norm.where(_marked(F.col("_norm"), marks)))  # few texts: the rest reads them several times
     some = lambda s, by: F.filter(F.split(s, by), lambda w: w != "")
     line = lambda text, i: F.struct(i.alias("unit"), some(text, " ").alias("words"))
     lines = F.filter(F.transform(F.split("_norm", "\n"), line), lambda x: F.size(x["words"]) > 0)

@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import WORD, cut, hex_number, word_count
+from trajlake.llm.common import cut, hex_number, word_count
 
 #: Votes are whole numbers of this fraction of a seat, so that their sums don't depend on the order.
 VOTE = 1 << 20
 
 
+#: A stream is summed up in so many slices, so that no stream has to be sorted by one task.
+SLICES = 256
+#: Rows of the streams' plan that are broadcast at most; a larger plan is joined by a shuffle.
+MOST_STREAMS = 100_000
+
+
+def _dealt(shards: int, seed: int) -> dict[str, Column]:
+    """_src, _shard and _order of a row: its source's key, its shard, and its place in the shard's order.
+
+    All three come from the row alone. Rows without doc_id are dealt by their text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
+    return {"_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "_shard": hex_number(digest, 1, 8) % shards, "_order": hex_number(digest, 9, 15)}
+
+
 def _sized(docs: DataFrame, shards: int, seed: int) -> DataFrame:
-    """``docs`` with its words, its source's key, its shard and its place in the shard's order."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.withColumns({
-        "_size": word_count(F.col("text")),
-        "_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-        "_digest": digest,
-    }).withColumns({"_shard": hex_number(F.col("_digest"), 1, 8) % shards, "_order": F.substring("_digest", 9, 24)}).drop("_digest")
+    """(doc_id, _size, _src, _shard, _order) of each row, without its text."""
+    return cut(docs.select("doc_id", word_count(F.col("text")).alias("_size"), *[c.alias(n) for n, c in _dealt(shards, seed).items()]))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
@@ -62,9 +73,12 @@ def quotas(streams: DataFrame, cap: float) -> DataFrame:
     return s.join(won, ["_shard", "_src"], "left").select("_shard", "_src", (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("_quota"))
 
 
-def _placed(docs: DataFrame, stats: DataFrame, weights, share, cap, block, seed) -> DataFrame:
-    """Rows of ``docs`` (from ``_sized``) with target, source_size and the words that their stream's blocks take of them."""
-    by_stream = cut(stats.groupBy("_src", "_shard").agg(F.sum("_size").alias("_words")))
+def _streams(rows: DataFrame, weights, share, cap, block, seed) -> DataFrame:
+    """(_src, _shard, source_size, target, _rounds, _from, _to, _wrap): what is taken of each stream of words.
+
+    The whole stream ``_rounds`` times, its words from ``_from`` to before ``_to``, and those before ``_wrap``.
+    """
+    by_stream = cut(rows.groupBy("_src", "_shard").agg(F.sum("_size").alias("_words")))
     goal = targets(by_stream.groupBy("_src").agg(F.sum("_words").alias("source_size")), weights, share, cap)
     streams = by_stream.join(goal, "_src").withColumn("_blocks", F.greatest(F.floor((F.col("_words") + block // 2) / block), F.lit(1)))
     per_word = F.col("target") / F.greatest("source_size", F.lit(1))
@@ -73,19 +87,30 @@ def _placed(docs: DataFrame, stats: DataFrame, weights, share, cap, block, seed)
     plan = streams.join(quotas(streams.select("_shard", "_src", "_blocks", "_votes"), cap), ["_shard", "_src"])
     first, extra = hex_number(digest, 1, 12) % F.col("_blocks"), F.col("_quota") % F.col("_blocks")
     edge = lambda k: F.floor(k * F.col("_words") / F.col("_blocks"))
-    plan = plan.withColumns({"_first": first, "_extra": extra}).select(
+    return cut(plan.withColumns({"_first": first, "_extra": extra}).select(
         "_src", "_shard", "source_size", "target",
         F.floor(F.col("_quota") / F.col("_blocks")).alias("_rounds"),
         edge(F.col("_first")).alias("_from"),
         edge(F.least(F.col("_first") + F.col("_extra"), F.col("_blocks"))).alias("_to"),
         edge(F.greatest(F.col("_first") + F.col("_extra") - F.col("_blocks"), F.lit(0))).alias("_wrap"),
-    )
-    stream = Window.partitionBy("_src", "_shard").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = docs.withColumn("_start", F.coalesce(F.sum("_size").over(stream), F.lit(0))).join(plan, ["_src", "_shard"])
+    ))
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their stream's plan, _run and _again (words of the row in the run and in the part before _wrap), taken.
+
+    Rows are summed up in order within slices of a stream, and slices within the stream: no stream is sorted whole.
+    """
+    rows = rows.withColumn("_slice", F.shiftright("_order", 60 - (SLICES - 1).bit_length()))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = rows.groupBy("_src", "_shard", "_slice").agg(F.sum("_size").alias("_words"))
+    slices = slices.select("_src", "_shard", "_slice", before(Window.partitionBy("_src", "_shard").orderBy("_slice"), "_words").alias("_offset"))
+    rows = rows.withColumn("_in", before(Window.partitionBy("_src", "_shard", "_slice").orderBy("_order", "doc_id", "_size"), "_size"))
+    rows = rows.join(slices.join(plan, ["_src", "_shard"]), ["_src", "_shard", "_slice"]).withColumn("_start", F.col("_offset") + F.col("_in"))
     end = F.col("_start") + F.col("_size")
     return rows.withColumns({
-        "_a": F.greatest(F.col("_from"), F.col("_start")) - F.col("_start"), "_b": F.least(F.col("_to"), end) - F.col("_start"), "_c": F.least(F.col("_wrap"), end) - F.col("_start"),
-    }).withColumn("taken", F.col("_rounds") * F.col("_size") + F.greatest(F.col("_b") - F.col("_a"), F.lit(0)) + F.greatest("_c", F.lit(0)))
+        "_run": F.greatest(F.least(F.col("_to"), end) - F.greatest("_from", "_start"), F.lit(0)), "_again": F.greatest(F.least(F.col("_wrap"), end) - F.col("_start"), F.lit(0)),
+    }).withColumn("taken", F.col("_rounds") * F.col("_size") + F.col("_run") + F.col("_again"))
 
 
 def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
@@ -94,64 +119,53 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: floa
     A seeded hash deals documents over ``shards`` and orders them there; in a shard, a source's words form a stream of
     about ``block``-word blocks of equal length. Per shard, Sainte-Laguë turns the targets into whole quotas of blocks.
     A quota beyond all of a source's blocks takes the whole stream again; the rest of it is a run of blocks from a
-    seeded start, going round; the documents at its ends are taken in part, which in small sources may be most of them. A source in a shard is off its target by
-    about half a block, in either direction, and nothing is collected: hot sources are spread over all shards.
+    seeded start, going round, so that few documents are taken in part. A source in a shard is off its target by
+    about half a block, in either direction, and nothing is collected: hot sources are spread over all shards, and a
+    shard's stream over ``SLICES`` slices. Texts are read once, to count their words, and never shuffled.
 
-    Defined results: a null text has 0 words; a null source is a source, the last; equal rows are interchangeable; null
-    ids share a place; an empty table gives an empty result; other columns are ignored.
+    Defined results: a null text has 0 words; a null source is a source, the last; equal rows are interchangeable; rows
+    without doc_id are dealt by their text; an empty table gives an empty result; other columns, whatever their names,
+    are ignored.
     """
-    rows = cut(_sized(docs.select("doc_id", "source", "text"), shards, seed).select("doc_id", "_size", "_src", "_shard", "_order"))
-    return _placed(rows, rows, weights, share, cap, block, seed).select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    rows = _sized(docs, shards, seed)
+    return _placed(rows, _streams(rows, weights, share, cap, block, seed)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-def _kept(placed: DataFrame) -> DataFrame:
-    """(_src, _shard, _keep): the places of the documents that are taken whole, of those that their run takes in part.
+def _intervals(placed: DataFrame) -> DataFrame:
+    """(_src, _shard, _lo, _hi, _top): of each stream, the places of the documents that are taken once more.
 
-    A source's documents in part, by size, have the fractions taken added up; a document is kept where the sum passes
-    the next half. So at any size the kept ones are off the sum by half a document at most, and the source's words by
+    Those are the whole documents of its run, from ``_lo`` to ``_hi``, and of the part before _wrap, up to ``_top``. A
+    source's documents in part, in the order of their size, have the fractions taken added up; one is taken where the
+    sum passes the next half. So at any size those are off the sum by half a document at most, and the source's words by
     half of its largest document in part. A stream has at most three of them, so the windows are small.
     """
-    extra = F.greatest(F.col("_b") - F.col("_a"), F.lit(0)) + F.greatest(F.col("_c"), F.lit(0))
-    part = placed.withColumn("_extra", extra).where((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")))
-    part = part.withColumn("_votes", F.floor(F.col("_extra") * VOTE / F.col("_size")))
+    extra = F.col("_run") + F.col("_again")
+    rows = placed.select("_src", "_shard", "_order", "_start", "_size", "_run", "_again", extra.alias("_extra")).where("_extra > 0")
+    part = rows.where("_extra < _size").withColumn("_votes", F.floor(F.col("_extra") * VOTE / F.col("_size")))
     by_size = Window.partitionBy("_src").orderBy("_size", "_shard", "_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.withColumn("_sum", F.sum("_votes").over(by_size) + VOTE // 2)
-    kept = part.where(F.floor(F.col("_sum") / VOTE) > F.floor((F.col("_sum") - F.col("_votes")) / VOTE))
-    return kept.groupBy("_src", "_shard").agg(F.collect_list("_start").alias("_keep"))
-
-
-def mix_whole(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
-    """Like ``mix``, of whole documents: those at the ends of runs are taken or left, so that the errors even out."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    thin = cut(_sized(docs.select("doc_id", "source", "text"), shards, seed).select("doc_id", "_size", "_src", "_shard", "_order"))
-    kept = cut(_kept(_placed(thin, thin, weights, share, cap, block, seed)))
-    rows = _placed(_sized(docs.select("doc_id", "source", "text", row), shards, seed), thin, weights, share, cap, block, seed).join(kept, ["_src", "_shard"], "left")
-    extra = F.greatest(F.col("_b") - F.col("_a"), F.lit(0)) + F.greatest(F.col("_c"), F.lit(0))
-    again = (extra >= F.col("_size")) | F.coalesce(F.array_contains("_keep", F.col("_start")), F.lit(False))
-    copies = F.when(F.col("_size") > 0, F.col("_rounds") + again.cast("int")).otherwise(0).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
+    part = part.where(F.floor(F.col("_sum") / VOTE) > F.floor((F.col("_sum") - F.col("_votes")) / VOTE)).drop("_votes", "_sum")
+    taken = rows.where("_extra >= _size").unionByName(part)
+    order = lambda words: F.when(F.col(words) > 0, F.col("_order"))
+    return taken.groupBy("_src", "_shard").agg(F.min(order("_run")).alias("_lo"), F.max(order("_run")).alias("_hi"), F.max(order("_again")).alias("_top"))
 
 
 def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 16, shards: int = 256, seed: int = 17) -> DataFrame:
-    """The mixed documents themselves, with the columns of ``docs``: a document repeats as often as it is taken.
+    """The mixed documents themselves, whole, with the columns of ``docs``: a row repeats as often as it is taken.
 
-    A document at the end of its stream's run of blocks is taken in part: that row's text is the span of its words
-    (white space kept) and its ``n_chars``, where there is such a column, the span's length.
+    The plan is that of ``mix_plan``, made without texts; documents at the ends of a stream's run are taken or left, so
+    that the errors even out in each source. What each stream gives is a few numbers, by which every row decides for
+    itself: texts are neither sorted nor, while the plan has at most ``MOST_STREAMS`` rows, shuffled.
+
+    Defined results: documents without words are left out; rows of one doc_id, or of none with one text, are taken or
+    left together; a null source is a source; an empty table gives an empty result; columns keep their names and order.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # whatever the other columns are called
-    sized = _sized(docs.select("doc_id", "source", "text", row), shards, seed)
-    rows = _placed(sized, sized.select("_src", "_shard", "_size"), weights, share, cap, block, seed)
-    whole = F.transform(F.sequence(F.lit(1), F.col("_rounds").cast("int")), lambda _: F.struct(F.lit(0).cast("long").alias("a"), F.col("_size").alias("b")))
-    spans = F.concat(
-        F.when((F.col("_rounds") > 0) & (F.col("_size") > 0), whole).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")),
-        F.filter(F.array(F.struct(F.col("_a").cast("long").alias("a"), F.col("_b").cast("long").alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.col("_c").cast("long").alias("b"))), lambda x: x["b"] > x["a"]),
-    )
-    rows = rows.withColumn("_span", F.explode(spans))
-    part = (F.col("_span.a") > 0) | (F.col("_span.b") < F.col("_size"))
-    # White space stays with the word before it, or at the text's start with the first word.
-    words = F.split("text", rf"(?<=[\x20\x09-\x0D])(?={WORD[:-1]})")
-    words = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), F.concat(F.array(F.concat(words[0], F.coalesce(F.get(words, F.lit(1)), F.lit("")))), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))))).otherwise(words)
-    cutout = F.array_join(F.slice(words, F.col("_span.a").cast("int") + 1, (F.col("_span.b") - F.col("_span.a")).cast("int")), "")
-    rows = rows.withColumn("_text", F.when(part, cutout).otherwise(F.col("text")))
-    out = {"text": F.col("_text")} | ({"n_chars": F.when(part, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[out.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    thin = _sized(docs, shards, seed)
+    plan = _streams(thin, weights, share, cap, block, seed)
+    again = _intervals(_placed(thin, plan))
+    plan = cut(plan.select("_src", "_shard", "_rounds").join(again, ["_src", "_shard"], "left"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, (word_count(F.col("text")) > 0).alias("_words"), *[c.alias(n) for n, c in _dealt(shards, seed).items()]).where("_words")
+    rows = rows.join(F.broadcast(plan) if plan.count() <= MOST_STREAMS else plan, ["_src", "_shard"])
+    more = F.coalesce(F.col("_order").between(F.col("_lo"), F.col("_hi")), F.lit(False)) | F.coalesce(F.col("_order") <= F.col("_top"), F.lit(False))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), (F.col("_rounds") + more.cast("int")).cast("int")))).select("_row.*")

@@ -20,8 +20,8 @@ FROM slices"""
 
 #: All seats of all quotients are ranked here.
 OP2 = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
-rows_ AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS shard, substr(h, 9, 24) AS o, coalesce('s' || source, 'n') AS src FROM d),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(md5(text), ''))) AS h FROM documents),
+rows_ AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS shard, substr(h, 9, 15) AS o, coalesce('s' || source, 'n') AS src FROM d),
 src0 AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY src),
 src1 AS (SELECT *, row_number() OVER (ORDER BY src = 'n', src) AS rk FROM src0),
 src2 AS (SELECT *, [3, 1, 2][(rk - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap, CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS total FROM src1),
