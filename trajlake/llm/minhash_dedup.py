@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.components import connected_components
-from trajlake.llm.common import cut, row_key, without
+from trajlake.llm.common import cut, row_key, stored, without
 from trajlake.llm.shingles import mix, shingle_sets
 
 #: Pairs at exactly the threshold that may share no table, and that the signature filter may leave out.
@@ -233,17 +233,19 @@ def _classes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     reps = usable.join(smallest, ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
     reps = cut(reps.select("node", "doc_id", "print", F.col("n_shingles").alias("n"), "bands", "signature"))
     keys = F.array(*[F.xxhash64(F.lit(band.collections * i + j), F.col("bands")[i], F.col("bands")[j]) for i, j in combinations(range(band.collections), 2)])
-    members = reps.select("node", "n", F.posexplode(keys).alias("table", "key"))
+    members = reps.select("node", F.col("n").cast("int").alias("n"), F.posexplode(keys).alias("table", "key")).withColumn("table", F.col("table").cast("short"))
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    members = stored(members.join(several, "key", "left_semi"))
     centre = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("n")))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), centre.alias("c")).where("size > 1")
-    members = cut(members.join(buckets.select("key", "size", "shingles", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), centre.alias("c"))
+    buckets = stored(buckets.select("key", "size", "shingles", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
 
     def texts(nodes: DataFrame) -> DataFrame:
         """(node, text), one text of each."""
         wanted = nodes.distinct().join(reps.select("node", "doc_id", "print"), "node")
         return docs.join(wanted, ["doc_id", "print"]).groupBy("node").agg(F.min("text").alias("text"))
 
-    pairs = cut(members.where((F.col("node") != F.col("centre")) & _fits(F.col("n"), F.col("centre_n"), threshold)).select("centre", "node").distinct())
+    pairs = cut(members.join(buckets, "key").where((F.col("node") != F.col("centre")) & _fits(F.col("n"), F.col("centre_n"), threshold)).select("centre", "node").distinct())
     text = texts(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))))
     both = pairs.join(text, "node").join(text.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre")
     links = cut(both.where(_similar(threshold, k)("centre_text", "text")).select(F.col("centre").alias("a"), F.col("node").alias("b")))
@@ -252,10 +254,11 @@ def _classes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
         found = connected_components(links).withColumnRenamed("id", "node")
         return df.join(found, "node", "left").withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
 
-    members = labelled(members.select("key", "table", "node", "n", "size", "shingles"), links)
+    members = labelled(members, links)
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = buckets.join(mixed, "key", "left_semi").select("key", "size", "shingles")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size")))
-    units = members.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(reps.select("node", "bands", "signature"), "node")
     sort = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     units = units.select("key", "i", "j", "table", "node", "n", "component", "block", "bands", "signature")
