@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,19 +99,16 @@ def _markers(grams: Mapping[str, list[str]], ratio: tuple[int, int]) -> list[str
     return sorted(marks)
 
 
-def _any(tests: Iterable[Column]) -> Column:
-    return reduce(lambda x, y: x | y, tests)
-
-
-def _perhaps(low: Column, marks: list[str]) -> Column:
-    """Whether a lower-case text may have a marker: plain searches for words, before anything is normalised."""
-    return _any(reduce(lambda x, y: x & y, [F.contains(low, F.lit(w)) for w in m.split()]) for m in marks)
+def _pattern(marks: list[str]) -> str:
+    """One pattern for all markers in a lower-case text, by first letter, so that most places are told by one letter."""
+    own = [m.replace(" ", r"[^\p{L}\p{N}]+") for m in marks]
+    firsts = sorted({m[0] for m in own})
+    return "|".join(f"{c}(?:{'|'.join(m[1:] for m in own if m[0] == c)})" for c in firsts)
 
 
 def _marked(norm: Column, marks: list[str]) -> Column:
     """Whether a normalised text has a marker."""
-    padded = F.concat(F.lit(" "), F.translate(norm, "\n", " "), F.lit(" "))
-    return F.exists(F.array(padded), lambda t: _any(F.contains(t, F.lit(f" {m} ")) for m in marks))
+    return norm.rlike(r"(?<![\p{L}\p{N}])(?:" + _pattern(marks) + r")(?![\p{L}\p{N}])")
 
 
 def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[str, int], threshold: float, best: Callable[[Column], Column]) -> DataFrame:
@@ -171,7 +167,7 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
     over sets of word bigrams. It can reach the threshold t only with between ``t / (2 - t)`` and ``(2 - t) / t`` times
     the template's bigrams, so other templates are left out before anything is intersected; all bounds are compared in
     whole numbers. Before that, texts and lines without any of a few words and bigrams that every match has (see
-    ``_markers``) are left out by plain searches. No shuffle.
+    ``_markers``) are left out by a search. No shuffle.
 
     Defined results: null and empty texts and lines of one word match nothing; texts of any length are compared whole;
     of several templates that match, the most similar one counts, then the last by name; repeated rows give repeated
@@ -181,7 +177,7 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
     grams = {k: v for k, v in grams.items() if v}
     a, b = _ratio(threshold)
     marks = _markers(grams, (a, b))
-    low = docs.select("doc_id", F.lower("text").alias("_low")).where(_perhaps(F.col("_low"), marks))
+    low = docs.select("doc_id", F.lower("text").alias("_low")).where(F.col("_low").rlike(_pattern(marks)))  # one search, before anything is normalised
     norm = _once(low, "_norm", F.regexp_replace("_low", r"[^\p{L}\p{N}\n]+", " ")).select("doc_id", "_norm")
     norm = cut(norm.where(_marked(F.col("_norm"), marks)))  # few texts: the rest reads them several times
     some = lambda s, by: F.filter(F.split(s, by), lambda w: w != "")
