@@ -2,15 +2,24 @@ import pytest
 from oracle import SF, compare
 
 import __spark_entry__
-from trajlake.plans.oracle import ORACLE_SQL
+from trajlake.plans import branches, helpers, lowering, sinks
+from trajlake.plans.oracle import HELPERS, ORACLE_SQL, SINKS
 from trajlake.plans.queries import QUERIES
 
+MORE = {**branches.QUERIES, **helpers.QUERIES, **lowering.QUERIES, **sinks.QUERIES}
+MORE_SQL = {**branches.ORACLE_SQL, **HELPERS, **lowering.ORACLE_SQL, **SINKS}
+
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     compare(spark, QUERIES[name], ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(MORE))
+def test_more_queries_equal_sql(spark, name):
+    compare(spark, MORE[name], MORE_SQL[name])
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())

@@ -51,13 +51,12 @@ def test_overlay_and_usage(spark):
 
 
 def test_registry_and_duplicates(spark):
-    r = serving.Registry("task")
-    r.register("b")(len)
-    r.register("a")(max)
-    assert r.names() == ["a", "b"] and r.get("b") is len
-    for call in (lambda: r.register("a")(min), lambda: r.get("z"), lambda: serving.reject_duplicates(spark.createDataFrame([("x",), ("x",)], "name string"))):
-        with pytest.raises((ValueError, KeyError), match="duplicate|unknown"):
-            call()
+    names = spark.createDataFrame([("a",), ("z",), (None,)], "name string")
+    registry = spark.createDataFrame([("task", "a", "x"), ("agent", "a", "y")], "kind string, name string, target string")
+    got = {r["name"]: (r["target"], r["error"]) for r in serving.resolve(names, registry, "task").collect()}
+    assert got == {"a": ("x", None), "z": (None, "unknown task: z"), None: (None, "unknown task: null")}
+    with pytest.raises(ValueError, match="duplicate"):
+        serving.resolve(names, registry.union(registry), "task")
 
 
 def test_scoring_input_and_override(spark):

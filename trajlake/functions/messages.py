@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trajlake.functions.variants import is_object, items, members, string
+
 #: Finish reasons of backends, stop reasons of the other wire format, error types by status.
 FINISH_REASONS = {"completed": "stop", "stop": "stop", "matched_stop": "stop", "eos": "stop", "length": "length", "max_tokens": "length", "aborted": "stop", "abort": "stop"}
 STOP_REASONS = {"stop": "end_turn", "length": "max_tokens", "tool_calls": "tool_use", "function_call": "tool_use", "content_filter": "refusal"}
@@ -36,6 +38,22 @@ def message_digest(role: Column, content: Column) -> Column:
     return F.sha2(F.to_json(F.struct(content.alias("content"), role.alias("role"))), 256)
 
 
+def canonical_message(message: Column) -> Column:
+    """A message (variant) as it is compared (F5): without ids of calls, arguments by value where they are JSON."""
+
+    def tagged(arguments: Column) -> Column:
+        kind = F.when((items(arguments).isNotNull()) | is_object(arguments), F.struct(F.lit("json").alias("kind"), arguments.alias("value")))
+        text = F.struct(F.lit("json").alias("kind"), F.try_parse_json(string(arguments)).alias("value"))
+        raw = F.struct(F.lit("raw").alias("kind"), arguments.alias("value"))
+        return F.to_variant_object(F.coalesce(kind, F.when(F.try_parse_json(string(arguments)).isNotNull(), text), raw))
+
+    function = lambda f: F.to_variant_object(F.transform_values(members(f), lambda k, x: F.when(k == "arguments", tagged(x)).otherwise(x)))
+    call = lambda c: F.to_variant_object(F.transform_values(F.map_filter(members(c), lambda k, _: k != "id"), lambda k, x: F.when((k == "function") & is_object(x), function(x)).otherwise(x)))
+    calls = lambda x: F.when(items(x).isNotNull(), F.to_variant_object(F.transform(items(x), call))).otherwise(x)
+    own = F.map_filter(members(message), lambda k, _: k != "tool_call_id")
+    return F.to_variant_object(F.transform_values(own, lambda k, x: F.when(k == "tool_calls", calls(x)).otherwise(x)))
+
+
 def prefix_digests(digests: Column) -> Column:
     """Hash of each prefix of an ordered array of message digests, each over the one before."""
     step = lambda acc, d: F.array_append(acc, F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit("\n"), d), 256))

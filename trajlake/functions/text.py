@@ -59,10 +59,31 @@ def clip_observation(text: Column, limit: int = 100_000) -> Column:
     return F.concat(F.lit("Observation:\n"), F.when(F.length(text) > limit, clipped).otherwise(text))
 
 
+#: What a command's text says around its output.
+EXIT_HEAD, STDOUT_HEAD, STDERR_HEAD, NO_OUTPUT = "[exit code: ", "[stdout]\n", "[stderr]\n", "(empty)"
+PARTIAL_HEADS = ("[partial stdout]\n", "[partial stderr]\n")
+TIMEOUT_TEXT = (
+    "The command was cancelled because it took more than ", " seconds. Please try a different command that completes more quickly. A common cause "
+    "is a command that is interactive or waits for input -- this environment cannot provide input, so such a command never completes.",
+)
+
+
+def _clean_end(text: Column) -> Column:
+    """Output without control sequences and white space at its end; null where nothing is left."""
+    return F.nullif(F.regexp_replace(strip_ansi(text), r"\s+$", ""), F.lit(""))
+
+
 def exit_block(code: Column, stdout: Column, stderr: Column) -> Column:
     """Text of a finished command."""
-    out = F.coalesce(F.nullif(stdout, F.lit("")), F.lit("(empty)"))
-    return F.concat_ws("\n", F.format_string("[exit code %d]", code), F.concat(F.lit("[stdout]\n"), out), F.concat(F.lit("[stderr]\n"), F.nullif(stderr, F.lit(""))))
+    head = F.concat(F.lit(EXIT_HEAD), F.coalesce(code.cast("string"), F.lit("unknown")), F.lit("]"))
+    return F.concat_ws("\n", head, F.concat(F.lit(STDOUT_HEAD), F.coalesce(_clean_end(stdout), F.lit(NO_OUTPUT))), F.concat(F.lit(STDERR_HEAD), _clean_end(stderr)))
+
+
+def timeout_block(seconds: Column, stdout: Column, stderr: Column) -> Column:
+    """Text of a command that took too long, with what it had put out by then."""
+    number = F.regexp_replace(seconds.cast("string"), r"\.0+$", "")
+    outs = [F.concat(F.lit(head), _clean_end(c)) for head, c in zip(PARTIAL_HEADS, (stdout, stderr), strict=True)]
+    return F.concat_ws("\n", F.concat(F.lit(TIMEOUT_TEXT[0]), number, F.lit(TIMEOUT_TEXT[1])), *outs)
 
 
 def failure_reason(error_class: Column, message: Column) -> Column:
@@ -87,6 +108,24 @@ def between_markers(text: Column, start: str, end: str) -> Column:
     return F.when(text.contains(start) & rest.contains(end), F.substring_index(rest, end, 1))
 
 
+def between_split(text: Column, start: str, end: str) -> Column:
+    """Like ``between_markers``, but a second start marker ends the text too (F29), and the order of the markers is free."""
+    found = text.contains(start) & text.contains(end)
+    return F.when(found, F.substring_index(F.split_part(text, F.lit(start), F.lit(2)), end, 1))
+
+
+def strict_list(value: Column) -> Column:
+    """A list given as JSON text, else null."""
+    return F.from_json(value, "array<string>")
+
+
+def lenient_list(value: Column) -> Column:
+    """A list given as JSON text; text that is none is a list of itself, blank text and null are empty."""
+    parsed = F.try_parse_json(value)
+    listed = F.try_variant_get(parsed, "$", "array<string>")
+    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(value)))
+
+
 def decode_list(value: Column) -> Column:
     """A list given as JSON text; null and blank text are the empty list."""
     return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.from_json(value, "array<string>"))
@@ -94,7 +133,8 @@ def decode_list(value: Column) -> Column:
 
 def issue_text(text: Column, open_tag: str, close_tag: str, marker: str) -> Column:
     """Text between tags, else before a marker, else all of it; trimmed."""
-    tagged = between_markers(text, open_tag, close_tag)
+    start, end = F.locate(open_tag, text), F.locate(close_tag, text)
+    tagged = F.when((start > 0) & (end > start), F.substr(text, start + len(open_tag), end - start - len(open_tag)))
     return F.trim(F.coalesce(tagged, F.when(text.contains(marker), F.substring_index(text, marker, 1)), text))
 
 
@@ -106,3 +146,8 @@ def tail(text: Column, n: int) -> Column:
 def env_flag(value: Column) -> Column:
     """Whether a setting is switched on."""
     return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+def env_number(value: Column, default: float) -> Column:
+    """A setting as a number; blank, missing and unreadable ones are the default."""
+    return F.coalesce(F.trim(value).try_cast("double"), F.lit(float(default)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,12 +52,13 @@ def last_or_zero(values: Column) -> Column:
     return F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(0)).cast("double")
 
 
-def generation_suffix(render: Callable[[bool], list[int]]) -> list[int]:
-    """Tokens that a chat template appends to ask for an answer (A9): a constant of the template, found on the driver.
+def decode(ids: Column) -> Column:
+    """Text of code points (A12): the inverse of ``code_points``."""
+    return F.when(F.size(ids) == 0, F.lit("")).otherwise(F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i.cast("long")), 8, "0")), "")), "UTF-32"))
+
 
-    ``render`` gives the tokens of one prompt with or without that request, which must only append to the others.
-    """
-    plain, asking = render(False), render(True)
-    if asking[: len(plain)] != plain:
-        raise ValueError("the template changes tokens before the generation prompt")
-    return asking[len(plain) :]
+def generation_suffix(plain: Column, asking: Column) -> Column:
+    """Tokens that ask for an answer (A9): what ``asking`` appends to ``plain``; other changes are an error."""
+    kept = F.slice(asking, F.lit(1), F.size(plain)) == plain
+    rest = F.slice(asking, F.size(plain) + 1, F.size(asking))
+    return F.when(kept, rest).otherwise(F.raise_error(F.lit("the template changes tokens before the generation prompt")).cast("array<int>"))

@@ -170,3 +170,47 @@ def answer_chunks(text: Column, finish: Column, size: int = 64) -> Column:
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size))).otherwise(F.array().cast("array<int>"))
     pieces = F.transform(starts, lambda at: event("content", F.substr(text, at, F.lit(size))))
     return F.concat(F.array(event("role", F.lit("assistant"))), pieces, F.array(event("finish", finish)))
+
+
+def chat_response(ident: Column, created: Column, model: Column, content: Column, finish: Column, prompt: Column, completion: Column) -> Column:
+    """JSON text of a finished answer in the one format (F52); ids and times are the caller's, so that reruns agree."""
+    answer = F.struct(F.lit("assistant").alias("role"), content.alias("content"))
+    choice = F.struct(F.lit(0).alias("index"), answer.alias("message"), finish.alias("finish_reason"))
+    counts = F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), (prompt + completion).alias("total_tokens"))
+    return F.to_json(F.struct(
+        F.concat(F.lit("chatcmpl-"), ident).alias("id"), F.lit("chat.completion").alias("object"), created.alias("created"), model.alias("model"),
+        F.array(choice).alias("choices"), counts.alias("usage"),
+    ))
+
+
+def message_response(ident: Column, model: Column, content: Column, calls: Column, stop: Column, prompt: Column, completion: Column) -> Column:
+    """JSON text of a finished answer in the other format (F52): blocks of text and of tool calls, at least one.
+
+    ``calls`` is an array of structs with id, name and arguments (JSON text; anything but an object is ``{}``).
+    """
+    none = F.lit(None).cast("string")
+    inputs = lambda a: F.when(F.schema_of_variant(F.try_parse_json(a)).startswith("OBJECT"), F.try_parse_json(a)).otherwise(F.parse_json(F.lit("{}")))
+    block = lambda kind, text=none, ident=none, name=none, given=F.lit(None).cast("variant"): F.struct(F.lit(kind).alias("type"), text.alias("text"), ident.alias("id"), name.alias("name"), given.alias("input"))
+    said = F.when(F.coalesce(content, F.lit("")) != "", F.array(block("text", content))).otherwise(F.array().cast("array<struct<type:string,text:string,id:string,name:string,input:variant>>"))
+    used = F.coalesce(F.transform(calls, lambda c: block("tool_use", ident=c["id"], name=F.coalesce(c["name"], F.lit("tool")), given=inputs(c["arguments"]))), F.slice(said, 1, 0))
+    blocks = F.concat(said, used)
+    counts = F.struct(prompt.alias("input_tokens"), completion.alias("output_tokens"))
+    body = F.struct(
+        F.concat(F.lit("msg_"), ident).alias("id"), F.lit("message").alias("type"), F.lit("assistant").alias("role"), model.alias("model"),
+        F.when(F.size(blocks) > 0, blocks).otherwise(F.array(block("text", F.lit("")))).alias("content"), stop.alias("stop_reason"), counts.alias("usage"),
+    )
+    return F.to_json(body)
+
+
+def coerced(value: Column, kind: Column) -> Column:
+    """A tool argument (variant) as its declared type, null where it can't be (F39); unknown types take anything."""
+    own, text = F.schema_of_variant(value), F.trim(F.try_variant_get(value, "$", "string"))
+    number = (own == "BIGINT") | (own == "DOUBLE") | own.startswith("DECIMAL")
+    whole = F.when(number & (F.try_variant_get(value, "$", "double") % 1 == 0) | (own == "BOOLEAN") | ((own == "STRING") & text.rlike(r"^[+-]?\d+$")), F.coalesce(F.try_variant_get(value, "$", "bigint"), text.try_cast("bigint")))
+    real = F.when(number | (own == "BOOLEAN") | (own == "STRING"), F.coalesce(F.try_variant_get(value, "$", "double"), text.try_cast("double")))
+    says = F.lower(text)
+    truth = F.when((own == "BOOLEAN") | says.isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n"), says.isin("true", "1", "yes", "on", "t", "y"))
+    return (
+        F.when(kind == "integer", whole.cast("variant")).when(kind == "number", F.when(number, value).otherwise(real.cast("variant"))).when(kind == "boolean", truth.cast("variant"))
+        .when(kind == "string", F.when(own == "STRING", value)).when(kind == "array", F.when(own.startswith("ARRAY"), value)).when(kind == "object", F.when(own.startswith("OBJECT"), value)).otherwise(value)
+    )

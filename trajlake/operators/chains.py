@@ -1,74 +1,114 @@
 """Stitching a session's requests into chains: one fold, used by batch and streaming jobs alike.
 
-Events of a session, in order of ``seq``: ``prepare`` (a request arrives), ``commit`` (its generation ends, with an
-``error`` if it failed), ``reward``, ``finalize`` and ``abort``. The codec is one token per code point.
+Events of a session, in order of ``seq`` (unique in a session): ``prepare`` (a request arrives), ``commit`` (its
+generation ends, with an ``error`` if it failed), ``reward``, ``finalize`` and ``abort``. The codec is one token per code
+point. Messages are hashed, encoded and measured by Spark, in canonical form; the fold sees digests and lengths only, and
+says which messages and answers a trajectory is made of; their texts are joined back afterwards.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.functions import tokens
+from trajlake.functions.messages import canonical_message, prefix_digests
+from trajlake.functions.variants import field as member, items, string
+
 EVENT_SCHEMA = "session_id string, seq long, kind string, request_id long, messages string, tools string, output string, min_version int, max_version int, error string, reward string"
-TRAJECTORY_SCHEMA = "session_id string, trajectory_index int, prompt_ids array<int>, response_ids array<int>, response_mask array<tinyint>, num_turns int, min_version int, max_version int, reward string, reason string, problem string, rollbacks int, dropped_tokens long"
+PIECE = "struct<part:int,seq:long,first:int,last:int,call:boolean,text:string>"
+FOLD_SCHEMA = f"session_id string, trajectory_index int, pieces array<{PIECE}>, num_turns int, min_version int, max_version int, reward string, reason string, problem string, rollbacks int, dropped_tokens long"
 CALL = "assistant:"
+#: Parts of a trajectory: its prompt, context that was appended to it, and answers.
+PROMPT, CONTEXT, ANSWER = 0, 1, 2
+
 
+def digested(events: DataFrame) -> DataFrame:
+    """Events with what the fold needs of their texts: prefix hashes, encoded texts and their lengths, roles, the answer's hash.
 
-def encode(messages: list[dict]) -> str:
-    return "".join(f"{m['role']}:{m['content']}\n" for m in messages)
+    Hashes are of canonical messages (``canonical_message``): call ids don't count, and arguments count by value. A
+    commit may carry ``calls`` (JSON list of tool calls) and ``logprobs`` (one per token of its output).
+    """
+    for name, kind in (("calls", "string"), ("logprobs", "array<double>")):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind))
+    digest = lambda m: F.sha2(F.to_json(canonical_message(m)), 256)
+    content = lambda m: F.coalesce(string(member(m, "content")), F.to_json(member(m, "content")), F.lit(""))
+    encoded = lambda m: F.concat(string(member(m, "role")), F.lit(":"), content(m), F.lit("\n"))
+    spoken = lambda m: string(member(m, "role")).isin("user", "assistant")
+    answer = F.parse_json(F.to_json(F.struct(F.col("output").alias("content"), F.lit("assistant").alias("role"), F.parse_json("calls").alias("tool_calls"))))
+    rows = events.withColumn("_m", items(F.try_parse_json("messages")))
+    return rows.select(
+        *[c for c in events.columns if c != "messages"],
+        prefix_digests(F.transform("_m", digest)).alias("prefix"), F.transform("_m", encoded).alias("texts"),
+        F.transform(F.transform("_m", encoded), lambda t: F.length(t)).alias("lengths"), F.size(F.filter("_m", spoken)).alias("spoken"),
+        F.when(F.col("kind") == "commit", digest(answer)).alias("answer_digest"), F.length("output").alias("output_length"),
+        (F.col("logprobs").isNotNull() & (F.size("logprobs") != F.length("output"))).alias("misaligned"),
+    )
 
 
-def digests(messages: list[dict]) -> list[str]:
-    """Hashes of all prefixes, the empty one first."""
-    out = [hashlib.sha256(b"trajlake-prefix").hexdigest()]
-    for m in messages:
-        own = hashlib.sha256(json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-        out.append(hashlib.sha256(f"{out[-1]}\n{own}".encode()).hexdigest())
-    return out
+@dataclass
+class Piece:
+    part: int
+    seq: int
+    first: int
+    last: int
+    size: int
+    call: bool
+    text: str | None
+
+    def row(self) -> dict:
+        return {"part": self.part, "seq": self.seq, "first": self.first, "last": self.last, "call": self.call, "text": self.text}
 
 
 @dataclass
 class Chain:
     number: int
     tools: str
-    prompt: str
-    response: str = ""
-    mask: list[int] = field(default_factory=list)
+    pieces: list[Piece] = field(default_factory=list)
     marks: list[tuple[int, int]] = field(default_factory=list)
-    history: list[dict] = field(default_factory=list)
-    tip: str = ""
-    start: tuple[int, str, int] = (0, "", 0)  # before the last answer: messages, their hash, response length
+    length: int = 0  # of the history, in messages
+    tip: str = ""  # the history's hash
+    spoken: int = 0
+    start: tuple[int, str, int] = (0, "", 0)  # before the last answer: messages, their hash, response tokens
     updated: int = 0
     reserved: bool = False
     reason: str | None = None
 
-    def extend(self, text: str, trained: int) -> None:
-        self.response += text
-        self.mask += [trained] * len(text)
+    def tokens(self, *parts: int) -> int:
+        return sum(p.size + len(CALL) * p.call for p in self.pieces if p.part in parts)
 
-    def roll_back(self) -> None:
-        """Take back the last answer and the call for it."""
-        keep = self.start[2] - len(CALL)
-        self.response, self.mask = self.response[:keep], self.mask[:keep]
+    def roll_back(self) -> int:
+        """Take back the last answer and the call for it; returns the answer's tokens."""
+        answer = self.pieces.pop()
+        self.pieces[-1].call = False
         self.marks = self.marks[:-1]
+        return answer.size
+
+
+@dataclass
+class Request:
+    chain: int | None
+    replace: bool
+    piece: Piece
+    event: dict
 
 
 @dataclass
 class Session:
-    """State of a session; ``apply`` takes events and returns trajectories once it is finalized."""
+    """State of a session; ``apply`` takes events and returns chains once it is finalized. Texts are kept if events have them."""
 
     rollback: bool = True
     capacity: int | None = None
     phase: str = "ACTIVE"
     chains: dict[int, Chain] = field(default_factory=dict)
     closed: list[Chain] = field(default_factory=list)
-    pending: dict[int, tuple] = field(default_factory=dict)
+    pending: dict[int, Request] = field(default_factory=dict)
     created: int = 0
     order: int = 0
     reward: str | None = None
@@ -76,76 +116,82 @@ class Session:
     dropped: int = 0
     rollbacks: int = 0
 
-    def select(self, messages: list[dict], prefix: list[str], tools: str) -> tuple[Chain | None, bool]:
-        """(chain to continue, whether its last answer is replaced)."""
-        exact, deep = [], []
+    def select(self, prefix: list[str], tools: str) -> tuple[Chain | None, bool]:
+        """(chain to continue, whether its last answer is replaced) for a request of these prefix hashes.
+
+        A chain fits exactly if its history is a prefix of the request, at the history's length; else, at the messages
+        before its last answer, if those are one. The longest fit wins, exact before replacing, then the latest. Chains
+        that tie for the deepest replacement are left out, and if no exact fit is as deep, nothing fits.
+        """
+        hash_at = lambda n: prefix[n - 1] if n else ""
+        fits, replacing = [], {}
         for c in self.chains.values():
-            if c.reserved or c.tools != tools:
+            at, tip, spoken = c.start
+            if c.reserved or c.tools != tools or at >= len(prefix) or hash_at(at) != tip:
                 continue
-            at, tip, length = c.start
-            if at >= len(messages) or prefix[at] != tip:
-                continue
-            if len(c.history) <= len(messages) and prefix[len(c.history)] == c.tip:
-                exact.append((len(c.history), 1, c.updated, c.number))
-            elif self.rollback and length > 0:
-                deep.append((at, 0, c.updated, c.number))
-        if deep:
-            deepest = [x for x in deep if x[0] == max(d[0] for d in deep)]
-            if len(deepest) == 1:
-                exact += deepest
-            elif all(e[0] < deepest[0][0] for e in exact):
+            if c.length <= len(prefix) and hash_at(c.length) == c.tip:
+                fits.append((c.length, 1, c.updated, c.number))
+            elif self.rollback and spoken:
+                replacing.setdefault(at, []).append((at, 0, c.updated, c.number))
+        if replacing:
+            deepest = max(replacing)
+            if len(replacing[deepest]) == 1:
+                fits += replacing[deepest]
+            elif not any(f[0] >= deepest for f in fits):
                 return None, False
-        if not exact:
+        if not fits:
             return None, False
-        best = max(exact)
+        best = max(fits)
         return self.chains[best[3]], best[1] == 0
 
+    def piece(self, e: dict, part: int, first: int) -> Piece:
+        texts = e.get("texts")
+        return Piece(part, e["seq"], first, len(e["lengths"]), int(sum(e["lengths"][first:])), True, None if texts is None else "".join(texts[first:]))
+
     def prepare(self, e: dict) -> None:
-        messages = json.loads(e["messages"])
-        tools, prefix = e["tools"] or "", digests(messages)
-        chain, replace = self.select(messages, prefix, tools)
+        chain, replace = self.select(e["prefix"], e["tools"] or "")
         if chain is None:
-            prompt = encode(messages) + CALL
-            if self.capacity is None or len(prompt) < self.capacity:
-                self.pending[e["request_id"]] = (None, replace, prompt, messages, prefix, tools)
+            piece = self.piece(e, PROMPT, 0)
+            if self.capacity is None or piece.size + len(CALL) < self.capacity:
+                self.pending[e["request_id"]] = Request(None, False, piece, e)
             return
-        suffix = encode(messages[chain.start[0] if replace else len(chain.history) :]) + CALL
-        kept = chain.start[2] - len(CALL) if replace else len(chain.response)
-        if self.capacity is not None and len(chain.prompt) + kept + len(suffix) >= self.capacity:
+        piece = self.piece(e, CONTEXT, chain.start[0] if replace else chain.length)
+        kept = chain.start[2] - len(CALL) if replace else chain.tokens(CONTEXT, ANSWER)
+        if self.capacity is not None and chain.tokens(PROMPT) + kept + piece.size + len(CALL) >= self.capacity:
             if replace:
                 chain.roll_back()
-            chain.reason, self.order = "max_trajectory_length", self.order + 1
-            chain.updated = self.order
+            self.order += 1
+            chain.reason, chain.updated = "max_trajectory_length", self.order
             self.closed.append(self.chains.pop(chain.number))
             return
         chain.reserved = True
-        self.pending[e["request_id"]] = (chain.number, replace, suffix, messages, prefix, tools)
+        self.pending[e["request_id"]] = Request(chain.number, replace, piece, e)
 
     def commit(self, e: dict) -> None:
-        if e["request_id"] not in self.pending:
+        request = self.pending.pop(e["request_id"], None)
+        if request is None:
             return
-        number, replace, text, messages, prefix, tools = self.pending.pop(e["request_id"])
-        chain = self.chains.get(number) if number is not None else None
+        chain = self.chains.get(request.chain) if request.chain is not None else None
         if chain:
             chain.reserved = False
-        if e["error"] is not None:
+        if e["error"] is not None or e["misaligned"]:
             return
         self.order += 1
         if chain is None:
             self.created += 1
-            chain = self.chains[self.created] = Chain(self.created, tools, text)
-        else:
-            if replace:
-                self.rollbacks += 1
-                self.dropped += sum(chain.mask[chain.start[2] :])
-                chain.roll_back()
-            chain.extend(text, 0)
-        chain.start = (len(messages), prefix[len(messages)], len(chain.response))
-        chain.extend(e["output"], 1)
+            chain = self.chains[self.created] = Chain(self.created, request.event["tools"] or "")
+        elif request.replace:
+            self.rollbacks += 1
+            self.dropped += chain.roll_back()
+        prefix = request.event["prefix"]
+        tip = prefix[-1] if prefix else ""
+        chain.pieces.append(request.piece)
+        chain.start = (len(prefix), tip, chain.tokens(CONTEXT, ANSWER))
+        chain.pieces.append(Piece(ANSWER, e["seq"], 0, 0, e["output_length"] or 0, False, e.get("output")))
         if e["min_version"] is not None:
             chain.marks.append((e["min_version"], e["max_version"]))
-        chain.history = [*messages, {"role": "assistant", "content": e["output"]}]
-        chain.tip, chain.updated = digests(chain.history)[-1], self.order
+        chain.tip = hashlib.sha256(f"{tip}\n{e['answer_digest']}".encode()).hexdigest()
+        chain.length, chain.spoken, chain.updated = len(prefix) + 1, request.event["spoken"] + 1, self.order
 
     def apply(self, e: dict) -> list[Chain]:
         kind = e["kind"]
@@ -159,41 +205,70 @@ class Session:
             self.commit(e)
         elif kind == "reward":
             self.reward = e["reward"] if e["reward"] is not None else self.reward
-        elif kind == "abort":
-            self.phase, self.chains, self.closed = "ABORTED", {}, []
-        elif kind == "finalize":
-            self.phase = "FINALIZED"
-            return sorted([*self.closed, *self.chains.values()], key=lambda c: c.updated)
+        elif kind in ("abort", "finalize"):
+            self.phase = {"abort": "ABORTED", "finalize": "FINALIZED"}[kind]
+            done = sorted([*self.closed, *self.chains.values()], key=lambda c: c.updated) if kind == "finalize" else []
+            self.chains, self.closed, self.pending = {}, [], {}
+            return done
         return []
 
 
 def _events(frame: pd.DataFrame) -> Iterator[dict]:
     for row in frame.sort_values("seq").to_dict("records"):
-        yield {k: None if v is None or (not isinstance(v, str) and pd.isna(v)) else v for k, v in row.items()}
+        e = {k: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else v for k, v in row.items()}
+        yield e | {k: list(e[k]) if e.get(k) is not None else [] for k in ("prefix", "lengths")}
 
 
 def rows(session_id: str, session: Session, frame: pd.DataFrame) -> pd.DataFrame:
     """Trajectories that the events of ``frame`` complete, and a row for each event that came too late."""
-    known = len(session.problems)
-    out = []
+    known, out = len(session.problems), []
     for e in _events(frame):
         for i, c in enumerate(session.apply(e)):
             low, high = (min(a for a, _ in c.marks), max(b for _, b in c.marks)) if c.marks else (None, None)
-            turns = sum(m["role"] in ("user", "assistant") for m in c.history) + 1
-            out.append((session_id, i, [ord(x) for x in c.prompt], [ord(x) for x in c.response], c.mask, turns, low, high, session.reward, c.reason, None, session.rollbacks, session.dropped))
+            out.append((session_id, i, [p.row() for p in c.pieces], c.spoken + 1, low, high, session.reward, c.reason, None, session.rollbacks, session.dropped))
     for p in session.problems[known:]:
-        out.append((session_id, *[None] * 9, p, None, None))
-    columns = [x.split()[0] for x in TRAJECTORY_SCHEMA.split(", ")]
+        out.append((session_id, *[None] * 7, p, None, None))
+    session.problems = []
+    columns = ["session_id", "trajectory_index", "pieces", "num_turns", "min_version", "max_version", "reward", "reason", "problem", "rollbacks", "dropped_tokens"]
     return pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("trajectory_index", "num_turns", "min_version", "max_version", "rollbacks")} | {"dropped_tokens": "Int64"})
 
 
+def assembled(pieces: Column) -> dict[str, Column]:
+    """prompt_ids, response_ids and response_mask of pieces (part, call, text) in order."""
+    text = lambda p: F.concat(p["text"], F.when(p["call"], CALL).otherwise(""))
+    joined = lambda keep: F.array_join(F.transform(F.filter(pieces, keep), text), "")
+    mask = F.flatten(F.transform(F.filter(pieces, lambda p: p["part"] != PROMPT), lambda p: F.array_repeat((p["part"] == ANSWER).cast("tinyint"), F.length(text(p)))))
+    return {"prompt_ids": tokens.code_points(joined(lambda p: p["part"] == PROMPT)), "response_ids": tokens.code_points(joined(lambda p: p["part"] != PROMPT)), "response_mask": mask}
+
+
 def stitch(events: DataFrame, *, rollback: bool = True, capacity: int | None = None) -> DataFrame:
-    """Trajectories of all sessions of an event log (``EVENT_SCHEMA``). One session is one group: capacity bounds it."""
+    """Trajectories of all sessions of an event log (``EVENT_SCHEMA``), and a row with ``problem`` for each late event.
+
+    A session's digests and lengths are one group of the fold; texts are joined to the pieces that a trajectory keeps, a
+    line per piece, so no text is repeated however often later requests repeat it. ``response_logprobs`` has the
+    commits' logprobs, 0 for context, and is null where a commit has none.
+    """
+    log = digested(events)
+    thin = log.select("session_id", "seq", "kind", "request_id", "tools", "prefix", "lengths", "spoken", "answer_digest", "output_length", "misaligned", "min_version", "max_version", "error", "reward")
 
     def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return rows(key[0], Session(rollback=rollback, capacity=capacity), frame)
 
-    return events.groupBy("session_id").applyInPandas(fold, TRAJECTORY_SCHEMA)
+    folded = thin.groupBy("session_id").applyInPandas(fold, FOLD_SCHEMA)
+    key = ["session_id", "trajectory_index"]
+    kept = [c for c in folded.columns if c not in ("pieces", *key)]
+    row = F.struct(*kept).alias("row")
+    pieces = folded.where("problem IS NULL").select(*key, row, F.posexplode("pieces").alias("pos", "p")).select(*key, "row", "pos", "p.*").drop("text")
+    text = F.when(F.col("part") == ANSWER, F.col("output")).otherwise(F.array_join(F.slice("texts", F.col("first") + 1, F.col("last") - F.col("first")), ""))
+    found = pieces.join(log.select("session_id", "seq", "texts", "output", "logprobs"), ["session_id", "seq"])
+    found = found.select(*key, "row", F.struct("pos", "part", "call", text.alias("text"), "logprobs").alias("p"))
+    whole = found.groupBy(*key).agg(F.first("row").alias("row"), F.array_sort(F.collect_list("p")).alias("pieces"))
+    zeros = lambda p: F.array_repeat(F.lit(0.0), F.length(p["text"]) + F.when(p["call"], len(CALL)).otherwise(0))
+    logprobs = F.flatten(F.transform(F.filter("pieces", lambda p: p["part"] != PROMPT), lambda p: F.when(p["part"] == ANSWER, p["logprobs"]).otherwise(zeros(p))))
+    parts = assembled(F.col("pieces"))
+    done = whole.select(*key, *[c.alias(n) for n, c in parts.items()], logprobs.alias("response_logprobs"), "row.*")
+    late = folded.where("problem IS NOT NULL").drop("pieces")
+    return done.unionByName(late, allowMissingColumns=True)
 
 
 def rollback_counters(trajectories: DataFrame) -> DataFrame:

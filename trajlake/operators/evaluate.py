@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import between_split
+
+#: Parsers of test logs by name, and whether they read lines that end with a status and drop controls.
+PARSERS = {"parse_log_pytest": False, "parse_log_pytest_v2": True}
 #: Test statuses at the start (or end) of a log line.
 STATUSES = ("FAILED", "PASSED", "SKIPPED", "ERROR", "XFAIL")
 
@@ -25,8 +31,8 @@ def outcome_buckets(df: DataFrame) -> DataFrame:
 
 
 def bucket_names(df: DataFrame, name: str) -> DataFrame:
-    """Sorted distinct names per outcome (AG20)."""
-    return df.withColumn("bucket", outcome(df)).groupBy("bucket").agg(F.array_sort(F.collect_set(name)).alias("names"))
+    """Distinct (bucket, name) by outcome (AG20): rows, since a bucket may hold any share of all names."""
+    return df.select(outcome(df).alias("bucket"), F.col(name).alias("name")).distinct()
 
 
 def episode_counters(steps: DataFrame) -> DataFrame:
@@ -60,6 +66,18 @@ def parse_pytest_log(logs: DataFrame, *, controls: bool = False) -> DataFrame:
     return lines.select("instance_id", pick(1, 0).alias("test"), pick(0, 1).alias("status"), "pos").groupBy("instance_id", "test").agg(F.max_by("status", "pos").alias("status"))
 
 
+def parse_logs(logs: DataFrame, start: str, end: str) -> DataFrame:
+    """(instance_id, test, status) of logs by the parser that each row names (F28, UX10), between its markers.
+
+    ``logs`` has instance_id, log_parser and log. Rows of an unknown parser have one row with ``error``; logs without
+    markers have none.
+    """
+    rows = logs.withColumn("log", between_split(F.col("log"), start, end))
+    own = [parse_pytest_log(rows.where((F.col("log_parser") == name) & F.col("log").isNotNull()), controls=controls) for name, controls in PARSERS.items()]
+    unknown = logs.where(~F.coalesce(F.col("log_parser").isin(*PARSERS), F.lit(False))).select("instance_id", F.concat(F.lit("unknown log parser: "), F.coalesce("log_parser", F.lit("null"))).alias("error"))
+    return reduce(DataFrame.unionByName, own).withColumn("error", F.lit(None).cast("string")).unionByName(unknown, allowMissingColumns=True)
+
+
 def grade(expected: DataFrame, statuses: DataFrame) -> DataFrame:
     """Resolved iff every expected test passed (JN7, AG10). ``expected`` has instance_id and the lists of tests."""
     tests = expected.select("instance_id", F.explode_outer(F.array_union("fail_to_pass", "pass_to_pass")).alias("test"))

@@ -8,24 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.text import image_name
-from trajlake.functions.wire import language_phrase
+from trajlake.functions.variants import field, is_null, is_object, is_string, items, kind, let, string
+from trajlake.functions.wire import convert_tool, language_phrase
+from trajlake.session import cut
 
-#: Rows of a dimension that is broadcast at most.
-MOST_ROWS = 10_000
+#: Rows and bytes of a dimension that is broadcast at most; a larger one is joined as Spark sees fit.
+MOST_ROWS, MOST_BYTES = 10_000, 8 << 20
 
 
 def small(dimension: DataFrame) -> DataFrame:
-    """``dimension`` marked for broadcast, once its size has been checked."""
-    if dimension.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        return dimension
-    return F.broadcast(dimension)
+    """``dimension`` marked for broadcast, once its rows and the bytes of their text form have been counted."""
+    rows = dimension.limit(MOST_ROWS + 1).select(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dimension.columns]))).alias("n"))
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dimension) if size["rows"] <= MOST_ROWS and size["bytes"] <= MOST_BYTES else dimension
 
 
 def with_defaults(samples: DataFrame, configs: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
     """(matched, unmatched) samples by config name (JN1). Without any config all samples pass unchanged."""
     if configs.isEmpty():
         return samples, samples.limit(0)
-    return samples.join(small(configs), name), samples.join(small(configs), name, "left_anti")
+    configs = small(configs)
+    return samples.join(configs, name), samples.join(configs, name, "left_anti")
 
 
 def route(samples: DataFrame, runners: DataFrame, name: str = "agent_name") -> DataFrame:
@@ -43,16 +46,20 @@ def expand_rollouts(tasks: DataFrame, n: int) -> DataFrame:
 
 
 def assign_workers(tasks: DataFrame, order: list[Column], workers: int) -> DataFrame:
-    """Round robin over an order of all tasks (WN9): ranks within ranges, then the ranges' sizes before them."""
-    parted = tasks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    parted = parted.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    """Round robin over an order of all tasks (WN9): ranks within ranges of the order, and the ranges' sizes before them.
+
+    The ranges are checkpointed, so that ranks and sizes are of the same ones whatever is run again.
+    """
+    parted = cut(tasks.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    ranked = parted.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     starts = parted.groupBy("_p").count().withColumn("_s", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
-    return parted.join(F.broadcast(starts), "_p").withColumn("worker", F.pmod(F.col("_s") + F.col("_r") - 1, F.lit(workers))).drop("_p", "_r", "_s")
+    return ranked.join(F.broadcast(starts), "_p").withColumn("worker", F.pmod(F.col("_s") + F.col("_r") - 1, F.lit(workers))).drop("_p", "_r", "_s")
 
 
-def split_budget(total: int, workers: int) -> list[int]:
-    """As even as it goes, the first ones taking what is left over (WN10)."""
-    return [total // workers + (i < total % workers) for i in range(workers)]
+def split_budget(total: Column, workers: Column) -> Column:
+    """An array with each worker's share, as even as it goes, the first ones taking what is left over (WN10)."""
+    share = lambda i: F.floor(total / workers) + (i < total % workers).cast("long")
+    return F.when(workers > 0, F.transform(F.sequence(F.lit(0).cast("long"), workers.cast("long") - 1), share)).otherwise(F.array().cast("array<long>"))
 
 
 def sampling_params(validate: Column, do_sample: Column, rollout: Column, val: Column) -> Column:
@@ -101,19 +108,29 @@ def common_columns(df: DataFrame) -> DataFrame:
 def reject_requests(requests: DataFrame) -> DataFrame:
     """Requests with ``error_reason``: the first capability that they ask for in vain (PF14, PF15), or null.
 
-    ``body`` is JSON text; the type tags of its variant tell booleans from integers.
+    ``body`` is JSON text. A field that is null is there: n, tool_choice and max_tokens may be missing but not null. The
+    type tags of the variant tell booleans and fractions from integers.
     """
-    v = F.try_parse_json("body")
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    text = lambda path: F.try_variant_get(v, path, "string")
-    given = lambda path: F.coalesce(kind(path), F.lit("VOID")) != "VOID"
-    reason = F.coalesce(
-        F.when(v.isNull(), "malformed json"),
-        F.when(~F.coalesce(kind("$.messages").startswith("ARRAY"), F.lit(False)) | (kind("$.messages") == "ARRAY<VOID>"), "messages must be a non-empty list"),
-        F.when(given("$.n") & (text("$.n") != "1"), "n must be 1"),
-        F.when(given("$.response_format"), "response_format is not supported"),
-        F.when(given("$.tool_choice") & ~F.coalesce(text("$.tool_choice").isin("auto", "none"), F.lit(False)), "tool_choice must be auto or none"),
-        F.when(given("$.tools") & ~kind("$.tools").startswith("ARRAY"), "tools must be a list"),
-        F.when(given("$.max_tokens") & ((kind("$.max_tokens") != "BIGINT") | (F.coalesce(F.try_variant_get(v, "$.max_tokens", "bigint"), F.lit(0)) <= 0)), "max_tokens must be a positive integer"),
-    )
-    return requests.withColumn("error_reason", reason)
+
+    def reason(v: Column) -> Column:
+        n, choice, most, tools = (field(v, name) for name in ("n", "tool_choice", "max_tokens", "tools"))
+        one = ~is_string(n) & F.coalesce(F.try_variant_get(n, "$", "double") == 1, F.lit(False))
+        return F.coalesce(
+            F.when(v.isNull() | ~is_object(v), "malformed json"),
+            F.when(n.isNotNull() & ~one, "n must be 1"),
+            F.when(field(v, "response_format").isNotNull() & ~is_null(field(v, "response_format")), "response_format is not supported"),
+            F.when(choice.isNotNull() & ~F.coalesce(F.lower(string(choice)).isin("auto", "none"), F.lit(False)), "tool_choice must be auto or none"),
+            F.when(F.coalesce(F.size(items(field(v, "messages"))), F.lit(0)) < 1, "messages must be a non-empty list"),
+            F.when(tools.isNotNull() & ~is_null(tools) & items(tools).isNull(), "tools must be a list"),
+            F.when(most.isNotNull() & ~((kind(most) == "BIGINT") & (F.coalesce(F.try_variant_get(most, "$", "bigint"), F.lit(0)) > 0)), "max_tokens must be a positive integer"),
+        )
+
+    return requests.withColumn("error_reason", let(F.try_parse_json("body"), reason))
+
+
+def offered_tools(body: Column) -> Column:
+    """(tools, error) of a request (variant) of the other format (F53): none where tool_choice says so, as text or by type."""
+    choice, tools = field(body, "tool_choice"), field(body, "tools")
+    says = F.when(choice.isNull(), F.lit("auto")).otherwise(F.coalesce(string(choice), string(field(choice, "type")), F.lit("")))
+    error = F.coalesce(F.when(tools.isNotNull() & ~is_null(tools) & items(tools).isNull(), "tools must be a list"), F.when(~says.isin("auto", "none"), "tool_choice must be auto or none"))
+    return F.struct(F.when(error.isNull() & (says == "auto"), F.transform(items(tools), convert_tool)).alias("tools"), error.alias("error"))

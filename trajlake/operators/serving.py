@@ -69,35 +69,54 @@ def argument_faults(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("_known_tool", "known", "required")
 
 
-def scoring_input(trajectories: DataFrame, fields: list[str]) -> DataFrame:
-    """What a scorer is given: all ids, a mask of ones, the turn count and passed-through fields."""
-    ids = F.concat("prompt_ids", "response_ids")
-    return trajectories.select(*fields, ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1).cast("tinyint")).alias("attention_mask"), "num_turns")
+def coerced_arguments(calls: DataFrame, types: DataFrame) -> DataFrame:
+    """Tool calls with their arguments as the declared types, or ``type_error`` with the names that can't be.
+
+    ``calls`` has tool and arguments (JSON text of an object; null and blank are none); ``types`` has tool and types, a
+    map from names to JSON schema types. Undeclared arguments pass.
+    """
+    given = F.from_json(F.to_json(F.try_parse_json(F.coalesce(F.nullif(F.trim("arguments"), F.lit("")), F.lit("{}")))), "map<string,variant>")
+    rows = calls.join(types, "tool", "left").withColumn("_given", given)
+    own = F.transform_values("_given", lambda k, v: wire.coerced(v, F.coalesce(F.try_element_at("types", k), F.lit("any"))))
+    rows = rows.withColumn("_own", own)
+    bad = F.array_sort(F.map_keys(F.map_filter("_own", lambda k, v: v.isNull())))
+    error = F.when(F.size(bad) > 0, F.concat(F.lit("wrong types: "), F.array_join(bad, ", ")))
+    return rows.withColumn("type_error", error).withColumn("arguments", F.when(error.isNull(), F.to_json(F.to_variant_object("_own")))).drop("types", "_given", "_own")
 
 
-class Registry:
-    """Named functions of one kind (UX2-UX6, UX10): a name is registered once, and an unknown one is an error."""
+def session_owner(sessions: DataFrame, owners: DataFrame, key: str = "session") -> DataFrame:
+    """Sessions with their ``owner`` (JN12), or ``error`` where none is known: an equi-join that Spark deals by session."""
+    found = sessions.join(owners.select(key, "owner"), key, "left")
+    return found.withColumn("error", F.when(F.col("owner").isNull(), F.concat(F.lit("unknown session: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
 
-    def __init__(self, kind: str) -> None:
-        self.kind = kind
-        self._entries: dict[str, Callable] = {}
 
-    def register(self, name: str) -> Callable[[Callable], Callable]:
-        def put(entry: Callable) -> Callable:
-            if self._entries.setdefault(name, entry) is not entry:
-                raise ValueError(f"duplicate {self.kind}: {name}")
-            return entry
+def resolve(names: DataFrame, registry: DataFrame, kind: str, name: str = "name") -> DataFrame:
+    """``names`` with the ``target`` that a registry of (kind, name, target) has for them, or ``error`` (UX2 to UX6).
+
+    A registry is a dimension; a name that it has twice for a kind is an error.
+    """
+    own = reject_duplicates(registry.where(F.col("kind") == kind).select(F.col("name").alias(name), "target"), name)
+    found = names.join(own, name, "left")
+    return found.withColumn("error", F.when(F.col("target").isNull(), F.concat(F.lit(f"unknown {kind}: "), F.coalesce(name, F.lit("null")))))
 
-        return put
 
-    def get(self, name: str) -> Callable:
-        if name not in self._entries:
-            raise KeyError(f"unknown {self.kind}: {name}; known: {', '.join(self.names())}")
-        return self._entries[name]
+def known_names(*registries: DataFrame) -> DataFrame:
+    """All names of several registries, each once (ST3)."""
+    out = registries[0].select("name")
+    for r in registries[1:]:
+        out = out.unionByName(r.select("name"))
+    return out.distinct()
 
-    def names(self) -> list[str]:
-        """All names, sorted (ST3)."""
-        return sorted(self._entries)
+
+def duplicate_keys(configs: DataFrame, key: str = "name") -> DataFrame:
+    """Keys that occur more than once, with their number (ST4)."""
+    return configs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def scoring_input(trajectories: DataFrame, fields: list[str]) -> DataFrame:
+    """What a scorer is given: all ids, a mask of ones, the turn count and passed-through fields."""
+    ids = F.concat("prompt_ids", "response_ids")
+    return trajectories.select(*fields, ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1).cast("tinyint")).alias("attention_mask"), "num_turns")
 
 
 def override_scores(trajectories: DataFrame, scorer: Callable[[DataFrame], DataFrame], session: list[str]) -> DataFrame:

@@ -79,6 +79,15 @@ def assign_index(df: DataFrame, session: list[str], order: list[Column]) -> Data
     return df.withColumn("trajectory_index", (F.row_number().over(Window.partitionBy(*session).orderBy(*order)) - 1).cast("long"))
 
 
+def summaries(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Small readable summaries of trajectories (PF18): lengths, model tokens, reward and reason, without the arrays."""
+    size = lambda c: F.size(c).cast("long")
+    return df.select(
+        *keys, "num_turns", "reward_score", F.col("reason").alias("materialization_reason"), size("prompt_ids").alias("prompt_len"), size("response_ids").alias("response_len"),
+        F.coalesce(tokens.total(F.col("response_mask")), F.lit(0.0)).cast("long").alias("model_token_count"),
+    )
+
+
 def parse_key(key: Column) -> Column:
     """(uid, session, index) of ``uid_session_index``; the uid may hold underscores itself."""
     part = lambda i: F.regexp_extract(key, "^(.*)_([^_]*)_([^_]*)$", i)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from trajlake.plans.queries import LOG
+from trajlake.plans import helpers, sinks
+from trajlake.plans.queries import GATES, LOG
 
 _COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount"
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount"
@@ -41,10 +42,10 @@ ORACLE_SQL = {
     "recipe_score": f"WITH {_SCORES}, g AS (SELECT uid, avg(score) AS m FROM x GROUP BY uid) SELECT c_custkey AS uid, round(coalesce(m, 0), 8) AS score, coalesce(m, 0) > 0 AS resolved FROM customer LEFT JOIN g ON uid = c_custkey",
     "score_map": "WITH f AS (SELECT l_orderkey, l_discount FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC) = 1) SELECT o_custkey AS uid, list(l_discount ORDER BY o_orderkey, l_discount) AS scores FROM f JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",
     "outcome_buckets": "SELECT count(*) FILTER (quality = 1) AS resolved, count(*) FILTER (quality <> 1 AND toxic = 0) AS wrong_ans, count(*) FILTER (quality <> 1 AND toxic <> 0) AS timeout_err, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (quality = 1) / count(*), 8) AS pass_rate, round(avg(CASE WHEN toxic = 0 THEN CAST(doc_id % 100 AS DOUBLE) END), 8) AS mean_eval_time FROM labels",
-    "bucket_names": "SELECT CASE WHEN quality = 1 THEN 'resolved' WHEN toxic = 0 THEN 'wrong-ans' ELSE 'timeout/err' END AS bucket, list_sort(list(DISTINCT doc_id)) AS names FROM labels GROUP BY 1",
+    "bucket_names": "SELECT DISTINCT CASE WHEN quality = 1 THEN 'resolved' WHEN toxic = 0 THEN 'wrong-ans' ELSE 'timeout/err' END AS bucket, doc_id AS name FROM labels",
     "key_parse": "SELECT 'uid_' || l_suppkey || '_' || l_orderkey || '_' || l_linenumber AS key, 'uid_' || l_suppkey AS uid, CAST(l_orderkey AS VARCHAR) AS session, CAST(l_linenumber AS BIGINT) AS index FROM lineitem",
     "rollout_expand_assign": "SELECT o_orderkey, r AS rollout, (row_number() OVER (ORDER BY o_orderkey, r) - 1) % 7 AS worker FROM orders, range(4) t(r)",
-    "budget_split": "SELECT CAST(t AS BIGINT) AS total, CAST(w AS BIGINT) AS workers, i AS worker, CAST(t // w + CASE WHEN i < t % w THEN 1 ELSE 0 END AS BIGINT) AS budget FROM (VALUES (1, 1), (8, 4), (10, 3), (128, 8), (3, 5)) v(t, w), LATERAL (SELECT unnest(range(w)) AS i)",
+    "budget_split": "SELECT s_suppkey, total, workers, i AS worker, CAST(total // workers + CASE WHEN i < total % workers THEN 1 ELSE 0 END AS BIGINT) AS budget FROM (SELECT s_suppkey, s_suppkey * 7 % 129 AS total, s_suppkey % 9 AS workers FROM supplier), LATERAL (SELECT unnest(range(workers)) AS i)",
     "episode_counters": "SELECT user_id AS session_id, count(*) AS steps, count(*) FILTER (event_type = 'click') AS tool_calls, count(*) FILTER (event_type = 'view') AS timeouts, count(*) FILTER (event_type = 'error') AS errors, arg_max(value, event_id) AS total_tokens FROM events GROUP BY 1",
     "version_span": "WITH v AS (SELECT user_id, event_id, CASE WHEN user_id % 5 <> 0 THEN event_id % 17 END AS low FROM events) SELECT user_id, coalesce(min(low), 7) AS min_version, coalesce(max(low + event_id % 3), 7) AS max_version FROM v GROUP BY 1",
     "message_hashes": "SELECT conv_id, turn, sha256(CAST(to_json(struct_pack(content := text, role := role)) AS VARCHAR)) AS digest FROM conversations",
@@ -64,7 +65,7 @@ ORACLE_SQL = {
     "align_pad_truncate": "SELECT vec_id, CAST(56 + label * 2 AS BIGINT) AS n, array_to_string(list_resize(list_transform(embedding, lambda x: CAST(floor(x * 100::FLOAT) AS INTEGER)), 56 + label * 2, 0), ',') AS aligned FROM embeddings",
     "image_name": "SELECT p_partkey, 'swebench/sweb.eval.x86_64.' || replace(lower(p_brand || '__Repo-' || p_partkey), '__', '_1776_') AS image, 'sweb.eval.x86_64.' || replace(replace(lower(p_brand || '__Repo-' || p_partkey), '__', '_1776_'), '_1776_', '__') || ':latest' AS local FROM part",
     "safe_filename": "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'default') AS name, regexp_replace(url, '/+$', '') AS base FROM pages",
-    "clip_observation": f"""SELECT doc_id, sha256('Observation:' || chr(10) || CASE WHEN length(text) > 1000 THEN left(text, 1000) || {_CLIP} ELSE text END) AS observation_hash, left(lang || ':' || left(text, 600), 512) AS reason,
+    "clip_observation": f"""SELECT doc_id, sha256('Observation:' || chr(10) || CASE WHEN length(text) > 1000 THEN left(text, 1000) || {_CLIP} ELSE text END) AS observation_hash, left(lang || ':' || coalesce(nullif(text, ''), lang), 512) AS reason,
       right(trim(text), 20) AS tail, CASE WHEN length(source || left(text, doc_id % 30)) > 22 THEN '…' || right(source || left(text, doc_id % 30), 21) ELSE source || left(text, doc_id % 30) END AS short FROM documents""",
     "task_rows": """SELECT 'verified' AS data_source, 'swebench/sweb.eval.x86_64.' || replace(lower(source || '__' || doc_id), '__', '_1776_') AS image, CAST(to_json(struct_pack(instance_id := source || '__' || doc_id, lang := lang, n_chars := n_chars)) AS VARCHAR) AS metadata, sha256(text) AS prompt_hash FROM documents""",
     "config_route": "SELECT event_id, event_type, r AS runner, CASE WHEN r IS NULL THEN 'unknown agent: ' || event_type END AS error FROM events LEFT JOIN (VALUES ('click', 'react'), ('view', 'cli'), ('purchase', 'black_box')) v(k, r) ON k = event_type",
@@ -75,11 +76,13 @@ ORACLE_SQL = {
     "pytest_log_parse": f"WITH {_LOGS} SELECT * FROM st",
     "grade": f"""WITH {_LOGS}, x AS (SELECT DISTINCT instance_id, t FROM st, (VALUES ('t/a.py::x'), ('t/a.py::y'), ('t/b.py::w')) v(t))
       SELECT x.instance_id, count(*) AS expected, count(*) FILTER (status IN ('PASSED', 'XFAIL')) AS passed, bool_and(coalesce(status IN ('PASSED', 'XFAIL'), false)) AS resolved FROM x LEFT JOIN st ON st.instance_id = x.instance_id AND st.test = x.t GROUP BY 1""",
-    "redact_secrets": "SELECT doc_id, 'api_key=''<redacted>'' base_url=<redacted>, endpoint: <redacted> Authorization: Bearer <redacted> <redacted>' AS line FROM documents",
+    "redact_secrets": "WITH r AS (SELECT doc_id, 'api_key=''<redacted>'' base_url=<redacted>, endpoint: <redacted> Authorization: Bearer <redacted> <redacted>' || chr(10) || coalesce(text, '') AS out FROM documents) SELECT doc_id, sha256(out) AS out_hash, CAST(length(out) AS BIGINT) AS n FROM r",
     "normalize_requests": "SELECT conv_id, turn, CAST(2 AS BIGINT) AS n_messages, 'be brief' AS system, text || chr(10) || role AS content, CAST(NULL AS VARCHAR) AS error FROM conversations",
-    "config_merge": """SELECT event_id, '{"agent": {"model": {"t": 1, "url": "b"}, "steps": [' || event_id || ']}, "x": null}' AS config FROM events""",
-    "request_gates": f"SELECT event_id, {_SEQ(["'n must be 1'", "'messages must be a non-empty list'", "'max_tokens must be a positive integer'", "NULL", "'malformed json'", "'tool_choice must be auto or none'"])}[event_id % 6 + 1] AS error_reason FROM events",
+    "config_merge": """SELECT event_id, '{"agent":{"model":{"t":1,"url":"b"},"steps":[' || event_id || ']},"x":null}' AS config FROM events""",
+    "request_gates": f"SELECT event_id, {_SEQ(['NULL' if e is None else repr(e) for _, e in GATES])}[event_id % {len(GATES)} + 1] AS error_reason FROM events",
     "ext_tumbling_counts": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "ext_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "ext_group_relative": f"WITH {_SCORES} SELECT uid, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS dev FROM x GROUP BY uid",
 }
+SINKS = sinks.oracle_sql(_TRAJECTORIES)
+HELPERS = helpers.oracle_sql(f"WITH {_SEGMENTS} SELECT conv_id, prompt, response, num_turns FROM t")

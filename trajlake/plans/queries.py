@@ -114,8 +114,8 @@ def rollout_expand_assign(spark, sf):
 
 
 def budget_split(spark, sf):
-    rows = [(t, w, i, b) for t, w in ((1, 1), (8, 4), (10, 3), (128, 8), (3, 5)) for i, b in enumerate(routing.split_budget(t, w))]
-    return spark.createDataFrame(rows, "total long, workers long, worker long, budget long")
+    own = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 129).alias("total"), (F.col("s_suppkey") % 9).alias("workers"))
+    return own.select("s_suppkey", "total", "workers", F.posexplode(routing.split_budget(F.col("total"), F.col("workers"))).alias("worker", "budget")).withColumn("worker", F.col("worker").cast("long"))
 
 
 def episode_counters(spark, sf):
@@ -177,7 +177,7 @@ def safe_filename(spark, sf):
 
 def clip_observation(spark, sf):
     d = _t(spark, sf, "documents")
-    return d.select("doc_id", F.sha2(text.clip_observation(F.col("text"), 1000), 256).alias("observation_hash"), text.failure_reason(F.col("lang"), F.substring("text", 1, 600)).alias("reason"), text.tail(F.col("text"), 20).alias("tail"), text.short_name(F.concat(F.lit("pkg."), F.col("source"), F.left("text", F.col("doc_id") % 30)), "pkg.").alias("short"))
+    return d.select("doc_id", F.sha2(text.clip_observation(F.col("text"), 1000), 256).alias("observation_hash"), text.failure_reason(F.col("lang"), F.col("text")).alias("reason"), text.tail(F.col("text"), 20).alias("tail"), text.short_name(F.concat(F.lit("pkg."), F.col("source"), F.left("text", F.col("doc_id") % 30)), "pkg.").alias("short"))
 
 
 def task_rows(spark, sf):
@@ -217,8 +217,10 @@ def grade(spark, sf):
 
 
 def redact_secrets(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("api_key='abc' base_url=http://x/v1, endpoint: https://h.example/p Authorization: Bearer tok sk-"), F.sha2("text", 256)).alias("line"))
-    return d.select("doc_id", text.redact(F.col("line")).alias("line"))
+    """Whole texts, each with a line of secrets before it: the text itself must come out as it is."""
+    line = F.concat(F.lit("api_key='abc' base_url=http://x/v1, endpoint: https://h.example/p Authorization: Bearer tok sk-"), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit("\n"))
+    d = _t(spark, sf, "documents").select("doc_id", text.redact(F.concat(line, F.coalesce("text", F.lit("")))).alias("out"))
+    return d.select("doc_id", F.sha2("out", 256).alias("out_hash"), F.length("out").cast("long").alias("n"))
 
 
 def _log(spark, sf):
@@ -241,9 +243,9 @@ def chain_stitch(spark, sf):
 
 def normalize_requests(spark, sf):
     body = F.to_json(F.struct(F.lit("be brief").alias("system"), F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("text").alias("type"), F.col("role").alias("text"))).alias("content"))).alias("messages")))
-    out = _t(spark, sf, "conversations").select("conv_id", "turn", normalize.normalize(F.lit("anthropic"), body).alias("n"))
-    m = F.from_json("n.messages", "array<struct<role:string,content:string>>")
-    return out.select("conv_id", "turn", F.size(m).cast("long").alias("n_messages"), m[0]["content"].alias("system"), m[1]["content"].alias("content"), F.col("n.error").alias("error"))
+    out = normalize.normalize(_t(spark, sf, "conversations").select("conv_id", "turn", F.lit("anthropic").alias("wire"), body.alias("body")))
+    m = F.col("messages")
+    return out.select("conv_id", "turn", F.size(m).cast("long").alias("n_messages"), m[0]["content"].alias("system"), m[1]["content"].alias("content"), "error")
 
 
 def config_merge(spark, sf):
@@ -251,9 +253,19 @@ def config_merge(spark, sf):
     return e.select("event_id", normalize.merge_json(F.col("base"), F.col("over"), F.lit('{"url":"b","t":null}')).alias("config"))
 
 
+#: Request bodies and why they are refused.
+GATES = (
+    ('{"messages":[{"role":"user"}],"n":2}', "n must be 1"), ('{"messages":[]}', "messages must be a non-empty list"), ('{"messages":[{"role":"user"}],"max_tokens":true}', "max_tokens must be a positive integer"),
+    ('{"messages":[{"role":"user"}],"max_tokens":5}', None), ("oops", "malformed json"), ('{"messages":[{"role":"user"}],"tool_choice":"required"}', "tool_choice must be auto or none"),
+    ('{"messages":[{"role":"user"}],"n":null}', "n must be 1"), ('{"messages":[{"role":"user"}],"tool_choice":null}', "tool_choice must be auto or none"), ('{"messages":[{"role":"user"}],"tool_choice":"AUTO"}', None),
+    ('{"messages":[{"role":"user"}],"n":1.0,"response_format":null,"tools":null,"tool_choice":"None"}', None), ('{"messages":[{"role":"user"}],"n":"1"}', "n must be 1"), ('{"messages":[{"role":"user"}],"tools":{}}', "tools must be a list"),
+    ('{"messages":[{"role":"user"}],"tool_choice":{"type":"auto"}}', "tool_choice must be auto or none"), ('{"messages":[{"role":"user"}],"response_format":{}}', "response_format is not supported"), ("[1]", "malformed json"),
+    ('{"messages":[{"role":"user"}],"max_tokens":null}', "max_tokens must be a positive integer"), ('{"messages":[{"role":"user"}],"max_tokens":0}', "max_tokens must be a positive integer"), ('{"messages":[{"role":"user"}],"max_tokens":1.5}', "max_tokens must be a positive integer"),
+)
+
+
 def request_gates(spark, sf):
-    kinds = ('{"messages":[{"role":"user"}],"n":2}', '{"messages":[]}', '{"messages":[{"role":"user"}],"max_tokens":true}', '{"messages":[{"role":"user"}],"max_tokens":5}', "oops", '{"messages":[{"role":"user"}],"tool_choice":"required"}')
-    e = _t(spark, sf, "events").select("event_id", F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % len(kinds) + 1).cast("int")).alias("body"))
+    e = _t(spark, sf, "events").select("event_id", F.element_at(F.array(*[F.lit(k) for k, _ in GATES]), (F.col("event_id") % len(GATES) + 1).cast("int")).alias("body"))
     return routing.reject_requests(e).select("event_id", "error_reason")
 
 

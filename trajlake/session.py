@@ -1,8 +1,11 @@
-"""A Spark session with the settings that the operators expect."""
+"""A Spark session with the settings that the operators expect, and the folder that its executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "trajlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -11,3 +14,27 @@ def session(app: str = "trajlake", master: str | None = None, **conf: str) -> Sp
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one where a local session has none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder: what follows sees the same rows, also where a task is run again."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import local_image
+
 MESSAGES = "array<struct<role:string,content:string,name:string,tool_call_id:string>>"
 
 
@@ -18,14 +23,42 @@ def read_table(spark: SparkSession, path: str, *, schema: str | None = None, ord
     return df.orderBy(*order).limit(limit)
 
 
+def read_samples(spark: SparkSession, path: str, *, image: str = "image", limit: int = -1, order: list[str] | None = None) -> DataFrame:
+    """Task samples as a local runner takes them (IO2): images remapped, ``data_source`` filled in, at most ``limit``.
+
+    ``data_source`` is the reward's name where the column is missing or null, or ``unknown``. A limit of 0 or less is none.
+    """
+    df = read_table(spark, path, order=order, limit=limit if limit > 0 else None)
+    name = F.col("reward_name") if "reward_name" in df.columns else F.lit(None).cast("string")
+    own = F.col("data_source") if "data_source" in df.columns else F.lit(None).cast("string")
+    return df.withColumns({image: local_image(F.col(image)), "data_source": F.coalesce(own, name, F.lit("unknown"))})
+
+
+def write_split(df: DataFrame, path: str, split: str) -> None:
+    """A dataset's split, for ``read_split`` (IO4): a folder whose files are looked up by their place."""
+    df.write.mode("append").parquet(f"{path}/{split}.parquet")
+
+
 def read_split(spark: SparkSession, path: str, split: str, fmt: str = "parquet") -> DataFrame:
-    """One split of a local dataset (IO3): the files ``split.fmt`` and ``split-*.fmt`` at any depth; none is an error."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{split}.{fmt},{split}-*.{fmt}}}").format(fmt).load(path)
+    """One split of a local dataset (IO3): files or folders ``split.fmt`` and ``split-*.fmt`` of it; none is an error."""
+    return spark.read.format(fmt).load(f"{path}/{{{split}.{fmt},{split}-*.{fmt}}}")
+
+
+def _yaml_as_json(texts: pd.Series) -> pd.Series:
+    import yaml
+
+    return texts.map(lambda t: json.dumps(yaml.safe_load(t)))
+
 
+def read_configs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """(name, config) of JSON or YAML files that hold one mapping or a list (IO5); missing or repeated names fail.
 
-def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, config) of JSON files that hold one mapping or a list of them (IO5); missing or repeated names fail."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    Files are one row each; YAML needs the yaml module on the executors.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    if fmt == "yaml":
+        raw = raw.select(F.pandas_udf(_yaml_as_json, "string")("value").alias("value"))
+    raw = raw.select(F.parse_json("value").alias("v"))
     many = F.schema_of_variant("v").startswith("ARRAY")
     each = raw.select(F.explode(F.when(many, F.expr("cast(v as array<variant>)")).otherwise(F.array("v"))).alias("c"))
     named = each.select(F.try_variant_get("c", "$.name", "string").alias("name"), F.to_json("c").alias("config"))

@@ -10,27 +10,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trajlake.operators.chains import TRAJECTORY_SCHEMA, Session, rows
+from trajlake.operators.chains import FOLD_SCHEMA, Session, assembled, digested, rows
 
 
-def stitch_stream(events: DataFrame, *, rollback: bool = True, capacity: int | None = None, idle_ms: int | None = None) -> DataFrame:
+def stitch_stream(events: DataFrame, *, rollback: bool = True, capacity: int | None = None, idle_ms: int | None = None, late_ms: int | None = None) -> DataFrame:
     """The batch fold over a stream of events that arrive in order per session; state is one session's chains.
 
-    ``idle_ms`` drops sessions without events for so long, so that state stays bounded; by default it is kept.
+    What stays of a session that was finalized or aborted is its phase, by which late events are told: a few bytes, for
+    ``late_ms`` or for good. ``idle_ms`` finalizes sessions without events for so long, with reason ``idle``; without it
+    they stay open. A job with either runs until it is stopped, since time alone may give it work.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session = pickle.loads(state.get[0]) if state.exists else Session(rollback=rollback, capacity=capacity)
         if state.hasTimedOut:
+            if session.phase == "ACTIVE":
+                yield rows(key[0], session, pd.DataFrame([{"seq": 0, "kind": "finalize"}])).assign(reason="idle")
             state.remove()
             return
-        session = pickle.loads(state.get[0]) if state.exists else Session(rollback=rollback, capacity=capacity)
         yield rows(key[0], session, pd.concat(list(frames)))
         state.update((pickle.dumps(session),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("session_id").applyInPandasWithState(step, TRAJECTORY_SCHEMA, "state binary", "append", timeout)
+        wait = idle_ms if session.phase == "ACTIVE" else late_ms
+        if wait:
+            state.setTimeoutDuration(wait)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms or late_ms else GroupStateTimeout.NoTimeout
+    folded = digested(events).groupBy("session_id").applyInPandasWithState(step, FOLD_SCHEMA, "state binary", "append", timeout)
+    kept = [c for c in folded.columns if c not in ("session_id", "trajectory_index", "pieces")]
+    return folded.select("session_id", "trajectory_index", *[c.alias(n) for n, c in assembled(F.col("pieces")).items()], *kept)
+
+
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream gives for the input that is there now, as a table in ``folder``, which executors share."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_counts(stream: DataFrame, folder: str) -> DataFrame:
+    """The last counts of an aggregation over the input that is there now; each trigger replaces the table in ``folder``."""
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/counts-{number}")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = max(query.recentProgress, key=lambda p: p["batchId"])["batchId"] if query.recentProgress else 0
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/counts-{last}")
 
 
 def chat_events(lines: DataFrame, bot: str) -> DataFrame:
