@@ -425,6 +425,56 @@ def test_word_vectors_come_from_neighbours(spark):
     assert np.allclose(got[0], got[3]) and np.allclose(got[4][:64], word("dog")) and not got[2][:64].any()
 
 
+def test_vectors_of_one_id_and_repeated_rows(spark):
+    """Links follow vectors, not ids: (1, x) and (1, y) link with other vectors each on its own."""
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.05]
+    df = spark.createDataFrame([(1, x, 0), (1, y, 0), (2, z, 0), (3, x, 0), (3, x, 0), (4, [0.0, 0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.link_embeddings(df).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)])
+
+
+def test_word_vectors_equal_brute_force(spark):
+    """Sums of neighbours' index vectors, word by word, then directions less their mean; features are means of them."""
+    texts = ["a b c d e", "b a", "solo", "", "c c a"]
+    at, signs = quality._index()
+    ident = lambda w: int(quality._hashed(w)[0][0])
+    raw = np.zeros((quality.WORDS, quality.DIMENSIONS))
+    for t in texts:
+        w = t.split()
+        for i, own in enumerate(w):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if i != j:
+                    raw[ident(own), at[ident(w[j])]] += signs[ident(w[j])]
+    used = raw.any(axis=1)
+    raw[used] /= np.linalg.norm(raw[used], axis=1, keepdims=True)
+    raw[used] -= raw[used].mean(axis=0)
+    raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.allclose(got, raw, atol=1e-6)
+    f = quality.features(texts, got)
+    for t, row in zip(texts, f, strict=True):
+        w = t.split()
+        mean = sum((got[ident(x)] for x in w), np.zeros(quality.DIMENSIONS)) / max(len(w), 1)
+        shares = [n / len(w) for n in collections.Counter(map(ident, w)).values()]
+        want = [*mean, math.log(np.linalg.norm(mean) + 1e-6), math.log1p(len(w)), -sum(p * math.log(p) for p in shares) / math.log(len(w) + 2)]
+        assert np.allclose(row, want, atol=1e-5)
+
+
+def test_pipeline_of_nothing_and_clashing_names(spark, odd, labels, tmp_path):
+    import corpus_pipeline as p
+
+    sf = str(tmp_path)
+    labels.write.parquet(f"{sf}/labels.parquet")
+    clashing = odd.withColumnsRenamed({"shard": "score", "target": "predicted", "kept": "_row", "taken": "_id"})
+    for docs in (odd.limit(0), clashing):
+        rows = docs
+        for _, stage in p.STAGES:
+            out = stage(spark, rows, sf)
+            assert out.columns == docs.columns or stage is p.packed_sequences
+            rows = out
+        assert (rows.count() == 0) == (docs is not clashing)
+
+
 def test_pipeline(spark, odd, labels, tmp_path):
     import corpus_pipeline as p
 

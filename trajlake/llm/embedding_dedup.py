@@ -90,7 +90,7 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 found = cells(x)
                 n = TABLES * PROBES
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), n), "label": np.repeat(part["label"].to_numpy(), n), "cell": found.reshape(-1), "own": np.tile(np.arange(PROBES) == 0, len(part) * TABLES)})
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "label": np.repeat(part["label"].to_numpy(), n), "cell": found.reshape(-1), "own": np.tile(np.arange(PROBES) == 0, len(part) * TABLES)})
 
 
 def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -120,24 +120,27 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = 0.98) -> DataFrame
     only links between different vectors are written.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite components, those without label and
-    those without id link with nothing and stay; repeated rows are copies of one another; vectors of different lengths
-    don't link; an empty table gives an empty result; other columns are ignored.
+    those without id link with nothing and stay; repeated rows are copies of one another; rows of one vec_id with
+    different vectors are told apart, each with its own vector's links; vectors of different lengths don't link; an
+    empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     v = F.col("embedding")
     usable = _usable(v) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     exact = F.transform(v, lambda x: (x + F.lit(0.0)).cast("string"))  # -0.0 becomes 0.0
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", F.when(usable, F.md5(F.concat_ws(",", exact))).alias("_key"))
     reps = rows.where(F.col("_key").isNotNull()).groupBy("label", "_key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.col("embedding"), F.col("vec_id")).alias("vec"))
-    reps = cut(reps)
-    hashed = cut(reps.select("id", "label", "vec").mapInPandas(_hashed, "id long, label string, cell long, own boolean"))
-    meet = hashed.where("own").select("label", "cell", F.col("id").alias("x")).join(hashed.select("label", "cell", F.col("id").alias("y")), ["label", "cell"]).where("x <> y")
+    reps = cut(reps.withColumn("node", F.xxhash64("label", "_key")))
+    hashed = cut(reps.select("node", "label", "vec").mapInPandas(_hashed, "node long, label string, cell long, own boolean"))
+    meet = hashed.where("own").select("label", "cell", F.col("node").alias("x")).join(hashed.select("label", "cell", F.col("node").alias("y")), ["label", "cell"]).where("x <> y")
     pairs = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda n: reps.select(F.col("id").alias(n), F.col("vec").alias(f"v{n}"), F.col("copies").alias(f"n{n}"))
+    side = lambda n: reps.select(F.col("node").alias(n), F.col("vec").alias(f"v{n}"), F.col("copies").alias(f"n{n}"))
     links = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(F.pandas_udf(_cosine, "double")("va", "vb") >= threshold).select("a", "b", "na", "nb"))
-    ends = links.select(F.col("a").alias("id"), F.col("nb").alias("n")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("n")))
-    others = ends.groupBy("id").agg(F.sum("n").alias("_others"))
-    classes = reps.select("label", "_key", "id", "copies").join(others, "id", "left").join(connected_components(links.select("a", "b")), "id", "left")
-    classes = classes.select("label", "_key", (F.col("copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_n"), F.coalesce("component_id", "id").alias("_component"))
+    ends = links.select(F.col("a").alias("node"), F.col("nb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("na").alias("n")))
+    others = ends.groupBy("node").agg(F.sum("n").alias("_others"))
+    found = connected_components(links.select("a", "b")).select(F.col("id").alias("node"), F.col("component_id").alias("_found"))
+    classes = reps.select("label", "_key", "node", "id", "copies").join(others, "node", "left").join(found, "node", "left").withColumn("_group", F.coalesce("_found", "node"))
+    lowest = classes.groupBy("_group").agg(F.min("id").alias("_component"))
+    classes = classes.join(lowest, "_group").select("label", "_key", (F.col("copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_n"), "_component")
     out = rows.select("vec_id", "label", "_key").join(classes, ["label", "_key"], "left")
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -221,9 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, sample: int =
 def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
-    Word vectors are learned from every whole text in one scan, and every whole text is scored in another. Defined results: null texts score like empty ones;
-    repeated rows get equal scores; without labels of both kinds all scores are the smoothed share of label 1 (0.5
-    without labels); an empty table gives an empty result.
+    Word vectors are learned from every whole text in one scan, and every whole text is scored in another. Defined
+    results: null texts score like empty ones; texts of any length count whole; repeated rows get equal scores; a score
+    of exactly the threshold is predicted as 1; without labels of both kinds all scores are the smoothed share of label
+    1 (0.5 without labels); rows of ``labels`` without id or label teach nothing; an empty table gives an empty result;
+    columns of ``docs`` that are called score or predicted are replaced.
     """
     sc = docs.sparkSession.sparkContext
     vectors = sc.broadcast(word_vectors(docs))
@@ -233,5 +235,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3,
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.value.score(features(text.tolist(), vectors.value)))
 
-    scored = docs.withColumn("_score", score("text"))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]).alias("_row")
+    scored = docs.select(kept, score("text").alias("_score"))
+    return scored.select("_row.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
