@@ -45,7 +45,8 @@ def tool_conversion(spark, sf):
 
 
 def url_parts(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", wire.authority(F.concat(F.lit("https://h.example/"), F.col("page_id").cast("string"))).alias("secure"), wire.with_path(F.concat(F.lit("http://h:81/a?b="), F.col("page_id").cast("string")), "/v1").alias("rewritten"))
+    p = _t(spark, sf, "pages")
+    return p.select("page_id", wire.authority(F.col("url")).alias("authority"), wire.with_path(F.col("url"), "/v1").alias("rewritten"), wire.authority(F.concat(F.lit("http://h:81/a?b="), F.col("page_id").cast("string"))).alias("own_port"))
 
 
 def argument_faults(spark, sf):
@@ -57,9 +58,10 @@ def argument_faults(spark, sf):
 
 def list_functions(spark, sf):
     d = _t(spark, sf, "documents")
-    items = wire.comma_list(F.concat("source", F.lit(" ,, "), "lang", F.lit(",b")))
-    tests = wire.task_text(F.when(F.col("doc_id") % 3 == 0, F.array("source")).otherwise(F.array().cast("array<string>")), F.when(F.col("doc_id") % 3 == 1, items).otherwise(F.array().cast("array<string>")), "none")
-    return d.where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.array_join(items, "|").alias("items"), tests.alias("tests"), F.array_join(wire.unknown_parameters(items, F.array(F.lit("b"))), "|").alias("unknown"))
+    own, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    items = wire.comma_list(F.concat(own, F.lit(" ,, "), lang, F.lit(",b")))
+    tests = wire.task_text(F.when(F.col("doc_id") % 3 == 0, F.array(own)).otherwise(F.array().cast("array<string>")), F.when(F.col("doc_id") % 3 == 1, items).otherwise(F.array().cast("array<string>")), "none")
+    return d.select("doc_id", F.array_join(items, "|").alias("items"), tests.alias("tests"), F.array_join(wire.unknown_parameters(items, F.array(F.lit("b"))), "|").alias("unknown"))
 
 
 def reward_payloads(spark, sf):
@@ -111,11 +113,12 @@ ORACLE_SQL = {
     "chat_prompts": """SELECT event_id, 'chat_id: ' || user_id || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'create_time: ' || strftime(make_timestamp(event_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') ELSE '' END || chr(10) || chr(10) || trim(props) AS prompt FROM events""",
     "language_phrases": "SELECT doc_id, ['Go', 'Rust', 'the project''s', 'JavaScript'][doc_id % 4 + 1] AS language FROM documents",
     "tool_conversion": """SELECT event_id, '{"type":"function","function":{"name":"' || event_type || '"' || CASE WHEN event_id % 2 = 0 THEN ',"description":"d"' ELSE '' END || ',"parameters":{"n":' || event_id || '}}}' AS tool FROM events""",
-    "url_parts": "SELECT page_id, 'h.example:443' AS secure, 'http://h:81/v1' AS rewritten FROM pages",
+    "url_parts": r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(\w+)://', 1) AS s, regexp_extract(url, '^\w+://([^/?#]+)', 1) AS a FROM pages)
+      SELECT page_id, a || CASE WHEN regexp_matches(a, ':\d+$') THEN '' WHEN s = 'https' THEN ':443' ELSE ':80' END AS authority, s || '://' || a || '/v1' AS rewritten, 'h:81' AS own_port FROM u""",
     "argument_faults": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'arguments must be a JSON object' WHEN event_type NOT IN ('click', 'view') THEN 'unknown tool: ' || event_type
       WHEN event_id % 4 = 2 THEN CASE event_type WHEN 'click' THEN 'unknown parameters: a, z' ELSE 'unknown parameters: a' END WHEN event_id % 4 = 0 AND event_type = 'click' THEN 'missing parameters: k' END AS error FROM events""",
-    "list_functions": """SELECT doc_id, source || '|' || lang || '|b' AS items, CASE doc_id % 3 WHEN 0 THEN '- ' || source WHEN 1 THEN '- ' || source || chr(10) || '- ' || lang || chr(10) || '- b' ELSE 'none' END AS tests,
-      array_to_string(list_sort([source, lang]), '|') AS unknown FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""",
+    "list_functions": """WITH d AS (SELECT doc_id, coalesce(source, '') AS s, list_filter([coalesce(source, ''), coalesce(lang, ''), 'b'], lambda x: x <> '') AS l FROM documents)
+      SELECT doc_id, array_to_string(l, '|') AS items, CASE doc_id % 3 WHEN 0 THEN '- ' || s WHEN 1 THEN array_to_string(list_transform(l, lambda x: '- ' || x), chr(10)) ELSE 'none' END AS tests, array_to_string(list_sort(list_filter(l, lambda x: x <> 'b')), '|') AS unknown FROM d""",
     "reward_payloads": """SELECT event_id, '{"reward":' || coalesce(CAST(r AS VARCHAR), 'null') || CASE WHEN event_id % 2 = 0 THEN ',"acc":' || event_id ELSE '' END || CASE WHEN event_id % 5 = 0 THEN ',"finished":true' ELSE '' END || '}' AS payload,
       CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'unknown' END AS data_source, CAST(coalesce(r, 0) AS DOUBLE) AS score FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN event_id % 2 END AS r FROM events)""",
     "answer_chunks": """SELECT conv_id, turn, CAST(0 AS BIGINT) AS index, 'role' AS event, 'assistant' AS data FROM conversations
