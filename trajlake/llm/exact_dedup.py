@@ -62,10 +62,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     to empty ones; of rows that share the largest doc_id of their group one stays, as of repeated rows and of rows
     without doc_id; an empty table gives an empty result; columns keep their names and order.
     """
-    rows, groups = duplicate_groups(docs)
+    rows, _ = duplicate_groups(docs)
     group = ["_len", "_prefix", "_full"]
-    keys = rows.withColumn("_id", row_key(F.col("doc_id"))).groupBy(*group, "_id", "_print").agg(F.count(F.lit(1)).alias("n"))
-    best = keys.join(groups.select(*group, row_key(F.col("keep_id")).alias("_id")), [*group, "_id"], "left_semi")
-    stay = best.groupBy(*group, "_id").agg(F.min("_print").alias("_print"))
-    keys = cut(keys.join(groups.select(*group), group, "left_semi").join(stay.withColumn("_stays", F.lit(True)), [*group, "_id", "_print"], "left"))
-    return without(docs, keys.where("_stays IS NULL").select("_id", "_print"), keys.where("_stays AND n > 1").select("_id", "_print"))
+    best = rows.groupBy(*group).agg(F.max(F.struct("doc_id", "_print")).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("_print") == F.col("_best._print"))
+    # Each row meets its group's one line; nothing is grouped by that key afterwards, so a large group may be split.
+    marked = cut(rows.join(best, group).select(row_key(F.col("doc_id")).alias("_id"), "_print", stays.alias("_stays")))
+    repeated = marked.where("_stays").groupBy("_id", "_print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return without(docs, marked.where("NOT _stays").select("_id", "_print"), repeated.select("_id", "_print"))
