@@ -50,6 +50,27 @@ SELECT conv_id, len(m) AS n_turns, n_copies,
   list_aggregate(list_transform(m, lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
 FROM eq WHERE NOT EXISTS (SELECT 1 FROM eq e WHERE len(e.m) > len(eq.m) AND e.m[1:len(eq.m)] = eq.m)"""
 
+#: All pairs of a label; then the least id that links reach.
+OP5 = r"""
+WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98::DOUBLE),
+r(x, m) AS (SELECT vec_id, vec_id FROM u UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.x WHERE r.m < l.b),
+c AS (SELECT x, min(m) AS m FROM r GROUP BY x), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(m, vec_id) AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON x = vec_id"""
+
+#: Shared shingles are counted for all pairs that have one; then the least id that links reach.
+OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g WHERE doc_id IS NOT NULL),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(x, m) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.x WHERE r.m < l.b),
+c AS (SELECT x, min(m) AS m FROM r GROUP BY x)
+SELECT doc_id, len(g) AS n_shingles, coalesce(m, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(m, doc_id) AS kept FROM g LEFT JOIN c ON x = doc_id"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -71,4 +92,4 @@ SELECT doc_id, CAST(unit AS BIGINT) AS unit, max_by(license_id, (dice, license_i
 FROM scored WHERE dice >= 0.8 GROUP BY doc_id, unit"""
 
 
-ORACLE_SQL = {"op1_rendezvous_sharding": OP1, "op2_mixing_sources": OP2, "op4_chat_formatting": OP4, "op7_exact_dedup": OP7, "op9_license_scan": op9()}
+ORACLE_SQL = {"op1_rendezvous_sharding": OP1, "op2_mixing_sources": OP2, "op4_chat_formatting": OP4, "op5_embedding_near_dedup": OP5, "op6_minhash_near_dedup": OP6, "op7_exact_dedup": OP7, "op9_license_scan": op9()}
