@@ -18,8 +18,9 @@ from trajlake.llm.components import connected_components
 from trajlake.llm.common import cut, row_key, stored, without
 from trajlake.llm.shingles import mix, shingle_sets
 
-#: Pairs at exactly the threshold that may share no table, and that the signature filter may leave out.
-MISSED, FILTERED = 1e-3, 1e-5
+#: Pairs at exactly the threshold that should share a table, but for this share, as far as ``MOST`` collections allow;
+#: those that the signature filter may leave out.
+MISSED, FILTERED, MOST = 1e-3, 1e-4, 12
 #: Members of a bucket that are compared with one another at a time, and the shingles that they may have together.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
@@ -49,13 +50,18 @@ def missed(similarity: float, collections: int, rows: int) -> float:
 
 @lru_cache(8)
 def banding(threshold: int) -> Banding:
-    """The banding for a threshold in percent: at most 16 collections, of as many minhashes up to 3 as ``MISSED`` allows.
+    """The banding for a threshold in percent: the fewest collections that miss ``MISSED`` at most, of 3 minhashes each.
 
-    85: 11 collections of 3, of pairs at 0.85 it misses 0.0005; 80: 14 of 3, at 0.80 it misses 0.0007.
+    From a threshold of 80 on, ``MOST`` collections are enough or near it; below, they get fewer minhashes. 85: 11
+    collections, of pairs at 0.85 it misses 0.0005; 80: 12, of pairs at 0.80 it misses 0.0023 (14 would miss 0.0007, for
+    a third more members of buckets).
     """
     t = min(max(threshold, 1), 99) / 100
-    fits = [(c, r) for r in (3, 2, 1) for c in range(2, 17 if r > 1 else 200) if missed(t, c, r) <= MISSED]
-    collections, rows = fits[0] if fits else (200, 1)
+    if t >= 0.8:
+        rows, collections = 3, next((c for c in range(2, MOST) if missed(t, c, 3) <= MISSED), MOST)
+    else:
+        fits = [(c, r) for r in (3, 2, 1) for c in range(2, 17 if r > 1 else 200) if missed(t, c, r) <= MISSED]
+        collections, rows = fits[0] if fits else (200, 1)
     n = collections * rows
     agree, below = 0, 0.0
     while (below := below + comb(n, agree) * t**agree * (1 - t) ** (n - agree)) <= FILTERED:
@@ -259,7 +265,7 @@ def _classes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     mixed = buckets.join(mixed, "key", "left_semi").select("key", "size", "shingles")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size")))
     units = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(reps.select("node", "bands", "signature"), "node")
+    units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(reps.select("node", F.transform("bands", lambda b: F.pmod(b, F.lit(1 << 31)).cast("int")).alias("bands"), "signature"), "node")
     sort = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     units = units.select("key", "i", "j", "table", "node", "n", "component", "block", "bands", "signature")
     units = cut(sort(units).mapInPandas(lambda it: _wanted(it, threshold, band), units.schema))
@@ -285,8 +291,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
        cap, and what is shuffled are members and their texts, never pairs. A block has a bounded number of shingles.
 
     What can be missed are pairs that share no table and pairs that the filter of step 3 leaves out: at exactly the
-    threshold together at most ``MISSED`` + ``FILTERED`` of them (see ``banding``), fewer above it; a group of several
-    links stays whole as long as some of them are found.
+    threshold a share of ``missed`` + ``FILTERED`` (see ``banding``), fewer above it; a group of several links stays
+    whole as long as some of them are found.
 
     Defined results: null ids, texts without words and null texts link with nothing and stay; repeated rows are copies;
     rows of one doc_id with different texts are told apart, each with its own text's links; texts of any length count
