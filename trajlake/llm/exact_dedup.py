@@ -50,7 +50,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty result; other columns, whatever their names, are ignored.
     """
     rows, groups = duplicate_groups(docs, digest_all=True)
-    found = rows.join(groups, ["_len", "_prefix", "_full"], "left")
+    # Groups are checkpointed, so that the join reads two plain shuffles and Spark may split a large group's side.
+    found = rows.join(cut(groups), ["_len", "_prefix", "_full"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("_full").alias("text_sha256"))
 
@@ -64,7 +65,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows, _ = duplicate_groups(docs)
     group = ["_len", "_prefix", "_full"]
-    best = rows.groupBy(*group).agg(F.max(F.struct("doc_id", "_print")).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    best = cut(rows.groupBy(*group).agg(F.max(F.struct("doc_id", "_print")).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     stays = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("_print") == F.col("_best._print"))
     # Each row meets its group's one line; nothing is grouped by that key afterwards, so a large group may be split.
     marked = cut(rows.join(best, group).select(row_key(F.col("doc_id")).alias("_id"), "_print", stays.alias("_stays")))
