@@ -92,4 +92,51 @@ SELECT doc_id, CAST(unit AS BIGINT) AS unit, max_by(license_id, (dice, license_i
 FROM scored WHERE dice >= 0.8 GROUP BY doc_id, unit"""
 
 
-ORACLE_SQL = {"op1_rendezvous_sharding": OP1, "op2_mixing_sources": OP2, "op4_chat_formatting": OP4, "op5_embedding_near_dedup": OP5, "op6_minhash_near_dedup": OP6, "op7_exact_dedup": OP7, "op9_license_scan": op9()}
+#: Nodes level by level, siblings from all nodes of a run, and each leaf's way up. CRC-32 byte by byte.
+OP11 = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+d0 AS (SELECT doc_id, lang, text, concat(__DOC__, __SOURCE__, __LANG__, __CHARS__) AS head,
+    doc_id IS NOT NULL AND xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) % 3 = 0 AS hit
+  FROM documents, tab),
+d1 AS (SELECT doc_id, lang, sha256(head || __TEXT__) AS leaf, sha256(CASE WHEN hit THEN head || __LOWER__ ELSE head || __TEXT__ END) AS found FROM d0),
+d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS id FROM d1),
+nodes(lang, lev, pos, n, digest) AS (SELECT lang, 0, pos, n, leaf FROM d
+  UNION ALL SELECT lang, lev + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, lev, n, pos // 8),
+tops AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1),
+top(lev, pos, n, digest) AS (SELECT 0, pos, n, digest FROM tops
+  UNION ALL SELECT lev + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lev, n, pos // 8),
+sib AS MATERIALIZED (SELECT a.lang, a.lev, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lev = b.lev AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.lang, a.lev, a.pos),
+tsib AS MATERIALIZED (SELECT a.lev, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM top a JOIN top b ON a.lev = b.lev AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.lev, a.pos),
+up(id, lang, lev, pos, n, h, p) AS (SELECT id, lang, 0, pos, n, found, '' FROM d
+  UNION ALL SELECT id, up.lang, up.lev + 1, up.pos // 8, (n + 7) // 8, sha256(l || h || r), p || l || r FROM up JOIN sib ON up.lang IS NOT DISTINCT FROM sib.lang AND up.lev = sib.lev AND up.pos = sib.pos WHERE n > 1),
+over(id, lev, pos, n, h, p) AS (SELECT id, 0, tops.pos, tops.n, h, p FROM up JOIN tops ON up.lang IS NOT DISTINCT FROM tops.lang WHERE up.n = 1
+  UNION ALL SELECT id, over.lev + 1, over.pos // 8, (n + 7) // 8, sha256(l || h || r), p || l || r FROM over JOIN tsib ON over.lev = tsib.lev AND over.pos = tsib.pos WHERE n > 1)
+SELECT doc_id, leaf, tops.digest AS subroot, top.digest AS root, sha256(p) AS proof_sha256, h AS folded_root, h = top.digest AS verified
+FROM d JOIN over ON over.id = d.id AND over.n = 1 JOIN tops ON d.lang IS NOT DISTINCT FROM tops.lang JOIN top ON top.n = 1"""
+for _name, _value in {"DOC": "doc_id", "SOURCE": "source", "LANG": "lang", "CHARS": "n_chars", "TEXT": "text", "LOWER": "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"}.items():
+    OP11 = OP11.replace(f"__{_name}__", f"coalesce(octet_length(encode(CAST({_value} AS VARCHAR))) || ':' || CAST({_value} AS VARCHAR), '-')")
+
+
+def op12() -> str:
+    """Distances to all entries, round by round; whole numbers below 2**53, so doubles are exact."""
+    nearest = lambda books: f"""SELECT p.vec_id, p.label, p.nth, p.part, p.v, min_by(b.entry, (list_inner_product(b.c, b.c) - 2 * list_inner_product(p.v, b.c), b.entry)) AS entry,
+      CAST(min(list_inner_product(b.c, b.c) - 2 * list_inner_product(p.v, b.c)) + list_inner_product(p.v, p.v) AS BIGINT) AS error FROM parts p JOIN {books} b USING (part) GROUP BY p.vec_id, p.label, p.nth, p.part, p.v"""
+    steps = []
+    for i in range(4):
+        steps.append(f"""n{i} AS MATERIALIZED ({nearest(f"b{i}")}),
+        s{i} AS (SELECT part, entry, place, floor(sum(v[place]) / count(*)) AS x FROM n{i}, range(1, 17) r(place) GROUP BY part, entry, place),
+        b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(any_value(u.c), b.c) AS c FROM b{i} b LEFT JOIN (SELECT part, entry, list(x ORDER BY place) AS c FROM s{i} GROUP BY part, entry) u USING (part, entry) GROUP BY b.part, b.entry, b.c)""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS nth FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT vec_id, label, nth, part, v[1 + part * len(v) // 4:(part + 1) * len(v) // 4] AS v FROM kept, range(4) r(part)),
+b0 AS (SELECT part, nth AS entry, v AS c FROM parts WHERE nth < 256),
+{", ".join(steps)},
+codes AS (SELECT vec_id, nth, any_value(label) AS label, string_agg(lower(printf('%02x', CAST(entry AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM ({nearest("b4")}) GROUP BY vec_id, nth)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM b4) AS codebooks_sha256 FROM codes"""
+
+
+ORACLE_SQL = {"op1_rendezvous_sharding": OP1, "op2_mixing_sources": OP2, "op4_chat_formatting": OP4, "op5_embedding_near_dedup": OP5, "op6_minhash_near_dedup": OP6, "op7_exact_dedup": OP7, "op9_license_scan": op9(), "op11_merkle_manifest": OP11, "op12_vector_codes": op12()}

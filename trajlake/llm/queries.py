@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, quality, sharding
+from trajlake.llm import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, merkle, minhash_dedup, mixing, packing, quality, sharding, vector_codes
+from trajlake.llm.common import fold_ascii
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +57,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    return merkle.audited(docs, F.when(tampered, fold_ascii(F.col("text"))).otherwise(F.col("text")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    coded = vector_codes.with_label_errors(coded)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(vector_codes.books_text(books).encode()).hexdigest()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rendezvous_sharding, op2_mixing_sources, op3_language_id, op4_chat_formatting,
         op5_embedding_near_dedup, op6_minhash_near_dedup, op7_exact_dedup, op8_best_fit_packing, op9_license_scan, op10_quality_classifier,
+        op11_merkle_manifest, op12_vector_codes,
     )
 }
