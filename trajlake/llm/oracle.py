@@ -139,4 +139,16 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
   (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM b4) AS codebooks_sha256 FROM codes"""
 
 
-ORACLE_SQL = {"op1_rendezvous_sharding": OP1, "op2_mixing_sources": OP2, "op4_chat_formatting": OP4, "op5_embedding_near_dedup": OP5, "op6_minhash_near_dedup": OP6, "op7_exact_dedup": OP7, "op9_license_scan": op9(), "op11_merkle_manifest": OP11, "op12_vector_codes": op12()}
+#: Every 200-byte string of every text, two hex digits a byte, by a hash of 64 bits.
+OP13 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT id, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT id, h, unnest(range(len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+hits AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY k) AS n FROM p) WHERE n > 1),
+marked AS (SELECT id, i, CASE WHEN i - lag(i) OVER (PARTITION BY id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (SELECT id, min(i) AS a, max(i) + 200 AS b FROM (SELECT id, i, sum(new) OVER (PARTITION BY id ORDER BY i) AS r FROM marked) GROUP BY id, r),
+cuts AS (SELECT id, a, b, lag(b, 1, 0) OVER (PARTITION BY id ORDER BY a) AS before FROM runs),
+gone AS (SELECT id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept FROM cuts JOIN d USING (id) GROUP BY id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN gone USING (id)"""
+
+
+ORACLE_SQL = {"op1_rendezvous_sharding": OP1, "op2_mixing_sources": OP2, "op4_chat_formatting": OP4, "op5_embedding_near_dedup": OP5, "op6_minhash_near_dedup": OP6, "op7_exact_dedup": OP7, "op9_license_scan": op9(), "op11_merkle_manifest": OP11, "op12_vector_codes": op12(), "op13_suffix_array_dedup": OP13}

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, merkle, minhash_dedup, mixing, packing, quality, sharding, vector_codes
+from trajlake.llm import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, merkle, minhash_dedup, mixing, packing, quality, sharding, suffix_dedup, vector_codes
 from trajlake.llm.common import fold_ascii
 
 
@@ -69,11 +69,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(vector_codes.books_text(books).encode()).hexdigest()).alias("codebooks_sha256"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rendezvous_sharding, op2_mixing_sources, op3_language_id, op4_chat_formatting,
         op5_embedding_near_dedup, op6_minhash_near_dedup, op7_exact_dedup, op8_best_fit_packing, op9_license_scan, op10_quality_classifier,
-        op11_merkle_manifest, op12_vector_codes,
+        op11_merkle_manifest, op12_vector_codes, op13_suffix_array_dedup,
     )
 }
