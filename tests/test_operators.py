@@ -123,7 +123,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate(("seq < 5", "seq >= 5")):
         events.where(part).coalesce(1).write.json(str(tmp_path / "in" / f"d={i}"))
     stream = spark.readStream.schema(chains.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
-    assert sorted(map(str, sessions.run_available(sessions.stitch_stream(stream), str(tmp_path / "s")).select(*names).collect())) == want
+    assert sorted(map(str, sessions.run_available(sessions.stitch_stream(stream), str(tmp_path / "s"), clock="processing").select(*names).collect())) == want
 
 
 def test_logprobs_follow_the_mask(spark):

@@ -81,12 +81,13 @@ def chain_branches(spark, sf):
 
 
 def chain_branches_stream(spark, sf):
-    """The same log as a stream, whose state is each session's chains."""
+    """The same log as a stream, each session's first half a trigger before the second; state is each session's chains."""
     folder = scratch(spark)
     log = _log(spark, sf, [s for _, s, *_ in SCRIPTS])
-    log.write.parquet(f"{folder}/log")
-    stream = sessions.stitch_stream(spark.readStream.schema(log.schema).parquet(f"{folder}/log"))
-    return _result(sessions.run_available(stream, folder))
+    for half in ("seq < 3", "seq >= 3"):
+        log.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = sessions.stitch_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"))
+    return _result(sessions.run_available(stream, folder, clock="processing"))
 
 
 def chain_rollback_counters(spark, sf):

@@ -38,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder for files in the shared folder."""
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, for tables that columns make much smaller."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
