@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trajlake.operators.chains import FOLD_SCHEMA, Chain, Piece, Request, Session, assembled, digested, encoded_size, fit_by_hash
+from trajlake.operators.chains import FOLD_ARROW, FOLD_SCHEMA, Chain, Piece, Request, Session, assembled, digested, encoded_size, fit_by_hash
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Fields of the state of a session, in the order of the classes that they fill.
@@ -56,6 +56,10 @@ class StateMap(MutableMapping):
         self.state.clear()
 
 
+def _row(values: tuple) -> Row:
+    return Row(**dict(zip(FOLD_ARROW.names, values, strict=True)))
+
+
 class _Stitching(StatefulProcessor):
     """A session's chains, their pieces and open requests as map states; what is left of a finished one is its phase."""
 
@@ -91,11 +95,11 @@ class _Stitching(StatefulProcessor):
             e = r.asDict()
             if was_active and last is not None and e["seq"] <= last:
                 session.problems.append(f"{e['kind']} out of order")
-                yield from (Row(*x) for x in session.told(key[0], {"kind": None}))
+                yield from map(_row, session.told(key[0], {"kind": None}))
                 continue
             last = e["seq"] if last is None else max(last, e["seq"])
             for x in session.told(key[0], e | {"prefix": list(e["prefix"]), "lengths": list(e["lengths"])}):
-                yield Row(*x)
+                yield _row(x)
         if session.phase == "ACTIVE":
             self.session.update((session.phase, session.created, session.order, session.reward, session.dropped, session.rollbacks, last))
             if self.idle_ms:
@@ -110,7 +114,7 @@ class _Stitching(StatefulProcessor):
         session, last = self._session()
         if session.phase == "ACTIVE" and last is not None:
             for x in session.told(key[0], {"kind": "finalize"}):
-                yield Row(*x[:7], "idle", *x[8:])
+                yield _row((*x[:7], "idle", *x[8:]))
             self.session.clear()
             self.ended.update((session.phase, last))
 
@@ -239,7 +243,7 @@ class _Turns(StatefulProcessor):
     def _turns(self, chat: str, events: list[tuple[str, str, str]]) -> Iterator[Row]:
         start = self.next.get()[0] if self.next.exists() else 0
         for n, (message_id, create_time, content) in enumerate(events):
-            yield Row(chat, start + n, message_id, create_time, content)
+            yield Row(chat_id=chat, ordinal=start + n, message_id=message_id, create_time=create_time, content=content)
         if events:
             self.next.update((start + len(events),))
 
