@@ -126,8 +126,8 @@ def test_huge_components_have_a_result(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.binary(max_size=300).map(lambda b: bytes(1 + x % 3 for x in b)), st.sampled_from([8, 16, 200]))
-def test_suffix_array(text, depth):
+@given(st.binary(max_size=300).map(lambda b: bytes(1 + x % 3 for x in b)), st.sampled_from([8, 16, 200]), st.randoms())
+def test_suffix_array(text, depth, random):
     text = np.frombuffer(text + b"\0", dtype=np.uint8)
     padded = text.tobytes() + bytes(depth)
     order = suffix_array(text, depth)
@@ -136,6 +136,9 @@ def test_suffix_array(text, depth):
     assert prefixes == sorted(prefixes)
     shared = [next((j for j in range(depth) if a[j] != b[j]), depth) for a, b in zip(prefixes, prefixes[1:], strict=False)]
     assert common_prefixes(text, order, depth).tolist() == [0, *shared]
+    wanted = np.array([random.random() < 0.4 for _ in text])
+    some = suffix_array(text, depth, wanted)
+    assert sorted(some) == np.flatnonzero(wanted).tolist() and [padded[i : i + depth] for i in some] == sorted(padded[i : i + depth] for i in some)
 
 
 def without_repeats(texts):
@@ -176,15 +179,22 @@ def test_repeats_where_cores_are_split(spark, monkeypatch):
     assert as_rows(suffix_dedup.remove_repeats(docs)) == repeats_slowly(range(len(texts)), texts)
 
 
+def windows_of(anchors, n=0, start=0, ends=None):
+    return {(int(w) - (int(ends[n - 1]) if n else 0) + start, int(a) - (int(ends[n - 1]) if n else 0) + start) for a, first, last, _ in zip(*anchors, strict=True) for w in range(first, last + 1)}
+
+
 def test_blocks_of_long_texts_share_windows(monkeypatch):
+    """Each window of each text has one anchor, in a block as in the whole text."""
     rng = np.random.default_rng(6)
-    texts = [bytes(rng.integers(97, 100, size=n, dtype=np.uint8)) for n in (0, 5, 199, 200, 900, 2500)]
-    whole = [suffix_dedup.anchors(np.frombuffer(t, dtype=np.uint8), np.array([len(t)]))[0].tolist() for t in texts]
+    texts = [bytes(rng.integers(97, 100, size=n, dtype=np.uint8)) for n in (0, 5, 199, 200, 900, 2500)] + [b"a" * 700]
+    whole = [windows_of(suffix_dedup.anchors(np.frombuffer(t, dtype=np.uint8), np.array([len(t)]))) for t in texts]
+    assert [sorted(w for w, _ in own) for own in whole] == [list(range(max(len(t) - 199, 0))) for t in texts]
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     found = [set() for _ in texts]
     for rows, starts, parts in suffix_dedup._blocks(texts):
         ends = np.cumsum([len(p) for p in parts])
-        for at in suffix_dedup.anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), ends)[0]:
-            n = int(np.searchsorted(ends, at, side="right"))
-            found[rows[n]].add(int(at) - (int(ends[n - 1]) if n else 0) + starts[n])
-    assert [sorted(f) for f in found] == whole
+        got = suffix_dedup.anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), ends)
+        for n, (row, start) in enumerate(zip(rows, starts, strict=True)):
+            own = [(0 if n == 0 else ends[n - 1]) <= a < ends[n] for a in got[0]]
+            found[row] |= windows_of([x[own] for x in got], n, start, ends)
+    assert found == whole

@@ -30,8 +30,10 @@ def _ends(text: np.ndarray, eight: np.ndarray, at: np.ndarray, step: int) -> np.
 
 def sorted_directly(text: np.ndarray, eight: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places ``at`` by the first ``depth`` bytes of their suffixes, eight bytes at a time; only ties are looked at again."""
+    if not len(at):
+        return at
     order = at[np.argsort(eight[at], kind="stable")]
-    where, group = np.arange(len(order)), np.cumsum(np.append(True, eight[order][1:] != eight[order][:-1])[: len(order)])
+    where, group = np.arange(len(order)), np.cumsum(np.append(True, eight[order][1:] != eight[order][:-1]))
     for step in range(8, depth, 8):
         tied = np.append(group[1:] == group[:-1], False)
         tied[1:] |= tied[:-1].copy()
@@ -46,16 +48,30 @@ def sorted_directly(text: np.ndarray, eight: np.ndarray, at: np.ndarray, depth:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All places of ``text`` (bytes, the last one 0) by the first ``depth`` bytes of their suffixes, at least.
+def _reached(small: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """``wanted`` places, and those behind them by way of which a wanted suffix is induced: up to the next one sorted directly."""
+    n = len(small)
+    behind = np.minimum.accumulate(np.where(small, np.arange(n), n - 1)[::-1])[::-1]
+    ends = np.flatnonzero(wanted & ~small & ~np.append(wanted[1:], True))
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, ends + 1, 1)
+    np.add.at(steps, behind[ends] + 1, -1)
+    return wanted | (np.cumsum(steps[:n]) > 0)
 
-    First stage: the suffixes that are smaller than their successors are sorted directly. Second stage: buckets of
-    first bytes are scanned in order; a suffix that is larger than its successor comes in the order in which its
-    successor is met, before the directly sorted ones of its bucket. Of a bucket, those whose successors are in smaller
-    buckets come first, then those whose successors are among them, and so on: each such step is one array operation.
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of ``text`` (bytes, the last one 0) by the first ``depth`` bytes of their suffixes, at least.
+
+    All places, or those of the mask ``wanted``. First stage: the suffixes that are smaller than their successors are
+    sorted directly. Second stage: buckets of first bytes are scanned in order; a suffix that is larger than its
+    successor comes in the order in which its successor is met, before the directly sorted ones of its bucket. Of a
+    bucket, those whose successors are in smaller buckets come first, then those whose successors are among them, and so
+    on: each such step is one array operation.
     """
     small = ascending(text)
-    direct = sorted_directly(text, words(text), np.flatnonzero(small), depth)
+    whole = np.ones(len(text), dtype=bool) if wanted is None else _reached(small, wanted)
+    induced = whole & ~small
+    direct = sorted_directly(text, words(text), np.flatnonzero(small & whole), depth)
     starts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
@@ -64,12 +80,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while len(level):
             bucket.append(level)
             level = level[level > 0] - 1
-            level = level[(text[level] == c) & ~small[level]]
+            level = level[(text[level] == c) & induced[level]]
         bucket.append(direct[starts[c] : starts[c + 1]])
-        whole = np.concatenate(bucket)
-        out.append(whole)
-        before = whole[whole > 0] - 1
-        before = before[text[before] > c]
+        found = np.concatenate(bucket)
+        out.append(found)
+        before = found[found > 0] - 1
+        before = before[(text[before] > c) & induced[before]]
         if len(before):
             first = text[before]
             by = np.argsort(first, kind="stable")
@@ -77,7 +93,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             cuts = np.flatnonzero(first[1:] != first[:-1]) + 1
             for part in np.split(before, cuts):
                 waiting[text[part[0]]].append(part)
-    return np.concatenate(out)
+    order = np.concatenate(out)
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:

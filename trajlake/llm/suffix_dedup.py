@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import cut, shared_folder, stored
+from trajlake.llm.common import shared_folder, stored
 from trajlake.llm.shingles import mix
 from trajlake.llm.suffix_array import common_prefixes, suffix_array
 
@@ -22,9 +22,12 @@ PLACES = WINDOW - CORE + 1
 #: Different contexts of a core from which on its places are split, and parts that they are split into.
 MANY, PARTS = 512, 4
 #: Bytes that are hashed at a time, and bytes of a suffix array, if a core's contexts have not more.
-CHUNK, ARRAY = 1 << 20, 1 << 20
+CHUNK, ARRAY = 1 << 16, 1 << 20
 
-PROBE = "struct<at:int,lo:int,hi:int,key:long,c1:long,c2:long>"
+#: A probe: the core's place in the text, the part of the core's places in a window that it belongs to (``lo`` to ``hi``),
+#: those that it stands for (``low`` to ``high``), and the hashes of what its windows share and of what they reach.
+PROBE = "struct<at:int,lo:int,hi:int,low:int,high:int,key:long,c1:long,c2:long>"
+_PROBE = pa.list_(pa.struct([(n, pa.int32()) for n in ("at", "lo", "hi", "low", "high")] + [(n, pa.int64()) for n in ("key", "c1", "c2")]))
 SPAN = "struct<start:int,stop:int>"
 _BYTES = np.random.default_rng(13).integers(1, 2**63, size=256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -48,20 +51,38 @@ def core_hashes(data: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the cores that have the least hash of a window; texts end at ``ends``, windows don't cross them.
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each run of ``width`` hashes, the first of equal ones, by doubling."""
+    place, least, done = np.arange(len(hashes), dtype=np.int32), hashes, 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = least[:-step], least[step:]
+        place = np.where(left <= right, place[:-step], place[step:])
+        least = np.minimum(left, right)
+        done += step
+    return place
 
-    Which places of a window are anchors depends on its bytes alone, so equal windows have them at equal places.
+
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, first, last, hashes): the core of least hash of each window, and the first and last window that it is that of.
+
+    Texts end at ``ends``, windows don't cross them. Which core of a window is its anchor depends on its bytes alone, so
+    equal windows have theirs at the same place.
     """
     if len(data) < WINDOW:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
     hashes = core_hashes(data)
-    least = _sliding(np.minimum, hashes, PLACES)
-    starts = np.arange(len(least))
-    least[starts + WINDOW > ends[np.searchsorted(ends, starts, side="right")]] = 0
-    around = np.concatenate((np.zeros(PLACES - 1, dtype=np.uint64), least, np.zeros(PLACES - 1, dtype=np.uint64)))
-    found = np.flatnonzero((_sliding(np.maximum, around, PLACES) == hashes) & (hashes > 0))
-    return found, hashes[found]
+    place = _least(hashes, PLACES)
+    inside = np.ones(len(place), dtype=bool)
+    for end in ends[:-1]:
+        inside[max(end - WINDOW + 1, 0) : end] = False
+    new = np.append(True, place[1:] != place[:-1])
+    new[1:] |= inside[1:] != inside[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place)) - 1
+    whole = inside[first]
+    first, last = first[whole], last[whole]
+    return place[first].astype(np.int64), first, last, hashes[place[first]]
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -82,84 +103,65 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: SHA-256, bytes, and the places and hashes of its anchors."""
+    """Per text: SHA-256, bytes, and its anchors: their places, least and largest place in a window (as one number), hashes."""
     for batch in batches:
         texts = [x.as_py() or b"" for x in batch.column("text")]
-        at: list[list[np.ndarray]] = [[] for _ in texts]
-        keys: list[list[np.ndarray]] = [[] for _ in texts]
+        found: list[list[tuple]] = [[] for _ in texts]
         for rows, starts, parts in _blocks(texts):
             ends = np.cumsum([len(p) for p in parts])
-            found, hashes = anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), ends)
-            cuts = np.searchsorted(found, ends)
+            at, first, last, hashes = anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), ends)
+            reach = (at - last) * 256 + at - first
+            cuts = np.searchsorted(at, ends)
             for n, (row, start) in enumerate(zip(rows, starts, strict=True)):
                 own = slice(cuts[n - 1] if n else 0, cuts[n])
-                at[row].append(found[own] - (ends[n - 1] if n else 0) + start)
-                keys[row].append(hashes[own].view(np.int64))
-        places, cores = [], []
-        for a, k in zip(at, keys, strict=True):
-            place, first = np.unique(np.concatenate(a), return_index=True) if a else (None, None)
-            places.append(place if a else [])
-            cores.append(np.concatenate(k)[first] if a else [])
-        columns = [batch.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(cores, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_bytes", "at", "keys"])
-
+                found[row].append((at[own] - (ends[n - 1] if n else 0) + start, reach[own], hashes[own].view(np.int64)))
+        lists = [[np.concatenate([f[i] for f in own]) if own else [] for own in found] for i in range(3)]
+        columns = [batch.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
+        columns += [pa.array(x, pa.list_(kind)) for x, kind in zip(lists, (pa.int32(), pa.int32(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_bytes", "at", "reach", "keys"])
 
-def _range(size: int, at: int, lo: int, hi: int) -> tuple[int, int]:
-    """Of the places ``lo`` to ``hi``, those for which the window around a core at ``at`` is inside a text of this size."""
-    return max(lo, at + WINDOW - size), min(hi, at)
 
+def _probe(text: bytes, at: int, lo: int, hi: int, low: int, high: int, key: int | None = None) -> dict:
+    """What windows with the core at ``at`` at one of the places ``low`` to ``high``, of ``lo`` to ``hi``, look for.
 
-def _probe(text: bytes, at: int, lo: int, hi: int, key: int | None = None) -> dict | None:
-    """What windows with the core at ``at`` at one of the places ``lo`` to ``hi`` look for; none if no window fits.
-
-    ``key`` is a hash of the bytes that all these windows have, ``c1`` and ``c2`` one of all bytes that they reach.
+    ``key`` is a hash of the bytes that all windows with the core at ``lo`` to ``hi`` have, ``c1`` and ``c2`` one of all
+    bytes that this probe's windows reach.
     """
-    low, high = _range(len(text), at, lo, hi)
-    if low > high:
-        return None
     if key is None:
         key = xxhash.xxh3_64_intdigest(text[at - lo : at - hi + WINDOW], seed=lo * 256 + hi)
-    whole = xxhash.xxh3_128_intdigest(text[at - high : at - low + WINDOW], seed=(high * 256 + low) * 65536 + lo * 256 + hi)
+    whole = xxhash.xxh3_128_intdigest(text[at - high : at - low + WINDOW], seed=low * 256 + high)
     signed = lambda x: (x & (2**64 - 1)) - ((x & 2**63) << 1)
-    return {"at": at, "lo": lo, "hi": hi, "key": signed(key), "c1": signed(whole >> 64), "c2": signed(whole)}
-
-
-def _first_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the probes of their anchors over all places."""
-    for batch in batches:
-        probes = []
-        for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
-            text = text.as_py()
-            probes.append([p for a in found.as_py() if (p := _probe(text, a["at"], 0, PLACES - 1, a["key"] & (2**64 - 1)))])
-        kept = [batch.column(c) for c in ("rid", "m", "text")]
-        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("at", "lo", "hi")] + [(n, pa.int64()) for n in ("key", "c1", "c2")]))
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(probes, kind)], ["rid", "m", "text", "probes"])
+    return {"at": at, "lo": lo, "hi": hi, "low": low, "high": high, "key": signed(key), "c1": signed(whole >> 64), "c2": signed(whole)}
 
 
-def _split_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes over parts of the places of given ones."""
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with probes: of anchors that are given, or over parts of the places of probes that are."""
     for batch in batches:
         probes = []
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
             text, own = text.as_py(), []
             for p in found.as_py():
+                if "reach" in p:
+                    own.append(_probe(text, p["at"], 0, PLACES - 1, *divmod(p["reach"], 256), p["key"]))
+                    continue
                 edges = [p["lo"] + (p["hi"] + 1 - p["lo"]) * i // PARTS for i in range(PARTS + 1)]
-                own += [q for lo, stop in zip(edges, edges[1:], strict=False) if lo < stop and (q := _probe(text, p["at"], lo, stop - 1))]
+                for lo, hi in zip(edges, (e - 1 for e in edges[1:]), strict=False):
+                    low, high = max(lo, p["low"]), min(hi, p["high"])
+                    if low <= high:
+                        own.append(_probe(text, p["at"], lo, hi, low, high))
             probes.append(own)
-        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("at", "lo", "hi")] + [(n, pa.int64()) for n in ("key", "c1", "c2")]))
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("m"), pa.array(probes, kind)], ["rid", "m", "probes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "m", "text")), pa.array(probes, _PROBE)], ["rid", "m", "text", "probes"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that probes reach, and the core's place in them."""
-    names = ("key", "c1", "c2", "m")
+    names = ("key", "c1", "c2", "m", "high")
     for batch in batches:
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
             text, probes = text.as_py(), found.as_py()
-            ranges = [_range(len(text), p["at"], p["lo"], p["hi"]) for p in probes]
-            context = [text[p["at"] - high : p["at"] - low + WINDOW] for p, (low, high) in zip(probes, ranges, strict=True)]
-            columns = [pa.array([p[n] for p in probes], pa.int64()) for n in names] + [pa.array([high for _, high in ranges], pa.int32()), pa.array(context, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lead", "context"])
+            context = [text[p["at"] - p["high"] : p["at"] - p["low"] + WINDOW] for p in probes]
+            columns = [pa.array([p[n] for p in probes], pa.int64()) for n in names] + [pa.array(context, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*names[:-1], "lead", "context"])
 
 
 def repeated_spans(keys: np.ndarray, weights: np.ndarray, leads: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -174,11 +176,9 @@ def repeated_spans(keys: np.ndarray, weights: np.ndarray, leads: np.ndarray, con
     text = np.frombuffer(b"".join(c + b"\xff" for c in contexts), dtype=np.uint8) + np.uint8(1)
     firsts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    order = suffix_array(text, WINDOW)
-    place = order - firsts[owner[order]]
-    whole = place + WINDOW <= sizes[owner[order]]
-    order, place = order[whole], place[whole]
-    own = owner[order]
+    places = np.arange(len(text)) - np.repeat(firsts, sizes + 1)
+    order = suffix_array(text, WINDOW, places + WINDOW <= np.repeat(sizes, sizes + 1))
+    own, place = owner[order], places[order]
     same = np.cumsum(common_prefixes(text, order, WINDOW) < WINDOW)
     _, core = np.unique(keys, return_inverse=True)
     occurrence = (same * len(keys) + core[own]) * PLACES + (leads[own] - place)
@@ -243,12 +243,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(spans, kind), pa.array(kept, pa.binary())], ["rid", "spans", "kept"])
 
 
+def _written(texts: DataFrame) -> DataFrame:
+    """``texts`` as a closely packed Parquet table in the shared folder."""
+    path = shared_folder(texts.sparkSession)
+    texts.write.option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.schema(texts.schema).parquet(path)
+
+
 def _spans_of(probes: DataFrame, texts: DataFrame, keys: DataFrame, contexts: DataFrame) -> DataFrame:
     """(rid, start, stop) of what repeats among the probes whose keys have few contexts."""
     few = contexts.join(keys.where(f"contexts <= {MANY}").select("key"), "key")
-    ask = F.struct(F.col("rep.at").alias("at"), F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), "key", "c1", "c2", "m")
+    ask = F.struct(*[F.col(f"rep.{c}").alias(c) for c in ("at", "low", "high")], "key", "c1", "c2", "m")
     asked = few.groupBy(F.col("rep.rid").alias("rid")).agg(F.collect_list(ask).alias("found")).join(texts.select("rid", "text"), "rid")
-    rows = asked.select("text", "found").mapInArrow(_contexts, "key long, c1 long, c2 long, m long, lead int, context binary")
+    rows = asked.select("text", "found").mapInArrow(_contexts, "key long, c1 long, c2 long, m long, lead long, context binary")
     rows = rows.repartition("key").sortWithinPartitions("key")
     spans = stored(rows.mapInArrow(_repeats, f"key long, c1 long, c2 long, spans array<{SPAN}>").where(F.size("spans") > 0))
     met = probes.join(spans, ["key", "c1", "c2"]).select("rid", "at", F.explode("spans").alias("s"))
@@ -258,43 +265,41 @@ def _spans_of(probes: DataFrame, texts: DataFrame, keys: DataFrame, contexts: Da
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): per row doc_id, sha, n_bytes; per different text with repeats sha, spans and the kept bytes.
 
-    1. One scan gives each text's anchors: about one core of 64 bytes in 69 bytes, at least one in each window of 200
-       bytes, at places that depend on the window's bytes alone. So equal windows share a core at the same place.
+    1. One scan gives each text's anchors: the cores of 64 bytes that have the least hash of a window of 200 bytes, one in
+       some 60 bytes. A window's anchor depends on its bytes alone, so equal windows have theirs at the same place.
     2. Copies of a text are one text with a weight. Cores that occur once go; texts with others are fetched once.
-    3. The bytes around a core that windows can reach are its context; equal contexts are one with a weight. The
-       different contexts of a core meet in a task, where a suffix array shows which windows are equal.
+    3. The bytes that a core's windows reach are its context; equal contexts are one with a weight. The different
+       contexts of a core meet in a task, where a suffix array shows which windows are equal.
     4. A core with more than ``MANY`` contexts is split by the place of the core in the window: windows with the core
        at different places are never the same. Each part has fewer bytes around it, so more contexts are equal, and a
        longer core, so others don't meet; with one place left, equal windows are one context. So no group that a task
        holds grows with the corpus, and nothing is left out.
     """
-    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     scanned = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = stored(scanned.mapInArrow(_anchored, f"doc_id {kind}, sha binary, n_bytes long, at array<int>, keys array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    rows = stored(scanned.mapInArrow(_anchored, f"doc_id {kind}, sha binary, n_bytes long, at array<int>, reach array<int>, keys array<long>").withColumn("rid", F.monotonically_increasing_id()))
     once = rows.where(f"n_bytes >= {WINDOW}").groupBy("sha").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("m"))
-    texts = stored(rows.select("rid", "at", "keys").join(once, "rid"))
+    texts = stored(rows.select("rid", "at", "reach", "keys").join(once, "rid"))
     shared = texts.select("m", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key")
-    found = texts.select("rid", F.explode(F.arrays_zip("at", "keys")).alias("a")).select("rid", "a.at", F.col("a.keys").alias("key")).join(shared, "key", "left_semi")
-    found = found.groupBy("rid").agg(F.collect_list(F.struct("at", "key")).alias("found")).join(texts.select("rid", "sha", "m"), "rid")
+    found = texts.select("rid", F.explode(F.arrays_zip("at", "reach", "keys")).alias("a")).select("rid", "a.at", "a.reach", F.col("a.keys").alias("key")).join(shared, "key", "left_semi")
+    found = found.groupBy("rid").agg(F.collect_list(F.struct("at", "reach", "key")).alias("found")).join(texts.select("rid", "sha", "m"), "rid")
     bodies = scanned.where(F.octet_length("text") >= WINDOW).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text").groupBy("sha").agg(F.first("text").alias("text"))
-    probed = bodies.join(found, "sha").select("rid", "m", "text", "found").mapInArrow(_first_probes, f"rid long, m long, text binary, probes array<{PROBE}>")
-    probed.write.option("compression", "zstd").parquet(f"{folder}/texts")
-    bodies = spark.read.schema(probed.schema).parquet(f"{folder}/texts")
-    own, spans = bodies.select("rid", "m", "probes"), None
+    asked, bodies, own, spans = bodies.join(found, "sha"), None, None, None
     while True:
+        # Each round's texts are those whose probes it has: all with a shared core at first, then few.
+        own = _written(asked.select("rid", "m", "text", "found").mapInArrow(_probed, f"rid long, m long, text binary, probes array<{PROBE}>"))
+        bodies = own if bodies is None else bodies
         probes = own.select("rid", "m", F.explode("probes").alias("p")).select("rid", "m", "p.*")
-        rep = F.min(F.struct("rid", "at", "lo", "hi")).alias("rep")
+        rep = F.min(F.struct("rid", "at", "low", "high")).alias("rep")
         contexts = stored(probes.groupBy("key", "c1", "c2").agg(F.sum("m").alias("m"), rep))
         keys = stored(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.sum("m").alias("n")).where("n > 1").select("key", "contexts"))
-        more = _spans_of(probes, bodies, keys, contexts)
+        more = _spans_of(probes, own, keys, contexts)
         spans = more if spans is None else spans.unionByName(more)
         hot = keys.where(f"contexts > {MANY}").select("key")
         if hot.isEmpty():
             break
-        split = probes.join(hot, "key", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
-        split = split.join(bodies.select("rid", "m", "text"), "rid").select("rid", "m", "text", "found")
-        own = stored(split.mapInArrow(_split_probes, f"rid long, m long, probes array<{PROBE}>"))
+        split = probes.join(hot, "key", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi", "low", "high")).alias("found"))
+        asked = own.select("rid", "m", "text").join(stored(split), "rid")
     covered = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(bodies.select("rid", "text"), "rid")
     kept = covered.select("rid", "text", "found").mapInArrow(_removed, f"rid long, spans array<{SPAN}>, kept binary")
     return rows.select("doc_id", "sha", "n_bytes"), kept.join(texts.select("rid", "sha"), "rid").drop("rid")
