@@ -59,6 +59,10 @@ def clip_observation(text: Column, limit: int = 100_000) -> Column:
     return F.concat(F.lit("Observation:\n"), F.when(F.length(text) > limit, clipped).otherwise(text))
 
 
+#: Characters that count as white space at the ends of a text, and texts that count as numbers.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NUMBER = r"^[+-]?(?:(?i:inf|infinity|nan)|(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?)\z"
+
 #: What a command's text says around its output.
 EXIT_HEAD, STDOUT_HEAD, STDERR_HEAD, NO_OUTPUT = "[exit code: ", "[stdout]\n", "[stderr]\n", "(empty)"
 PARTIAL_HEADS = ("[partial stdout]\n", "[partial stderr]\n")
@@ -70,7 +74,7 @@ TIMEOUT_TEXT = (
 
 def _clean_end(text: Column) -> Column:
     """Output without control sequences and white space at its end; null where nothing is left."""
-    return F.nullif(F.regexp_replace(strip_ansi(text), r"\s+$", ""), F.lit(""))
+    return F.nullif(rstrip(strip_ansi(text)), F.lit(""))
 
 
 def exit_block(code: Column, stdout: Column, stderr: Column) -> Column:
@@ -91,6 +95,27 @@ def failure_reason(error_class: Column, message: Column) -> Column:
     return F.left(F.concat(error_class, F.lit(":"), F.coalesce(F.nullif(message, F.lit("")), error_class)), F.lit(512))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends: of any kind, not only spaces."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def rstrip(text: Column) -> Column:
+    """Text without white space at its end."""
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether a text is null, empty or white space."""
+    return F.coalesce(strip(text), F.lit("")) == ""
+
+
+def number(text: Column) -> Column:
+    """Text that is a decimal number, with an exponent or not, as a double; null for anything else, as ``1.5d``."""
+    own = strip(text)
+    return F.when(own.rlike(NUMBER), F.replace(own, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def safe_filename(name: Column) -> Column:
     """Letters, digits, ``_`` and ``-``; ``default`` for nothing."""
     own = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_-]", "_"), "^_+|_+$", "")
@@ -123,31 +148,31 @@ def lenient_list(value: Column) -> Column:
     """A list given as JSON text; text that is none is a list of itself, blank text and null are empty."""
     parsed = F.try_parse_json(value)
     listed = F.try_variant_get(parsed, "$", "array<string>")
-    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(value)))
+    return F.when(is_blank(value), F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(value)))
 
 
 def decode_list(value: Column) -> Column:
     """A list given as JSON text; null and blank text are the empty list."""
-    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.from_json(value, "array<string>"))
+    return F.when(is_blank(value), F.array().cast("array<string>")).otherwise(F.from_json(value, "array<string>"))
 
 
 def issue_text(text: Column, open_tag: str, close_tag: str, marker: str) -> Column:
     """Text between tags, else before a marker, else all of it; trimmed."""
     start, end = F.locate(open_tag, text), F.locate(close_tag, text)
     tagged = F.when((start > 0) & (end > start), F.substr(text, start + len(open_tag), end - start - len(open_tag)))
-    return F.trim(F.coalesce(tagged, F.when(text.contains(marker), F.substring_index(text, marker, 1)), text))
+    return strip(F.coalesce(tagged, F.when(text.contains(marker), F.substring_index(text, marker, 1)), text))
 
 
 def tail(text: Column, n: int) -> Column:
     """The last ``n`` characters of trimmed text (SL4)."""
-    return F.right(F.trim(text), F.lit(n))
+    return F.right(strip(text), F.lit(n))
 
 
 def env_flag(value: Column) -> Column:
     """Whether a setting is switched on."""
-    return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "on"), F.lit(False))
+    return F.coalesce(F.lower(strip(value)).isin("1", "true", "yes", "on"), F.lit(False))
 
 
 def env_number(value: Column, default: float) -> Column:
     """A setting as a number; blank, missing and unreadable ones are the default."""
-    return F.coalesce(F.trim(value).try_cast("double"), F.lit(float(default)))
+    return F.coalesce(number(value), F.lit(float(default)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import number, rstrip, strip
+
 #: Fields of a message that are kept, in this order.
 MESSAGE_FIELDS = ("role", "content", "name", "tool_calls", "tool_call_id", "reasoning_content")
 #: Content types that count as media.
@@ -42,11 +44,14 @@ def set_default(fields: Column, name: str, value: Column) -> Column:
     return F.when(F.map_contains_key(fields, F.lit(name)), fields).otherwise(F.map_concat(fields, F.create_map(F.lit(name), value)))
 
 
-def chat_prompt(fields: dict[str, Column], millis: Column, content: Column) -> Column:
-    """A block of ``name: value`` lines, the time in UTC where it is known, and the trimmed content (PF19)."""
-    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in fields.items()]
-    at = F.date_format(F.to_utc_timestamp(F.timestamp_millis(millis.try_cast("bigint")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return F.concat(F.concat_ws("\n", *lines, F.concat(F.lit("create_time: "), at)), F.lit("\n\n"), F.trim(F.coalesce(content, F.lit(""))))
+def chat_prompt(title: str, fields: dict[str, Column], millis: Column, content: Column) -> Column:
+    """A chat event as a prompt (PF19): a title, a line per field, the time as it is given where it is, and the content.
+
+    Names are indented by two and values start in one column; the content loses white space at its end only.
+    """
+    line = lambda name, value: F.concat(F.lit(f"  {name}:".ljust(18)), value)
+    head = F.concat_ws("\n", F.lit(f"[{title}]"), *[line(*f) for f in fields.items()], line("create_time_ms", F.nullif(millis, F.lit(""))))
+    return F.concat(head, F.lit("\n\nContent:\n"), rstrip(F.coalesce(content, F.lit(""))), F.lit("\n"))
 
 
 def language_phrase(extension: Column) -> Column:
@@ -107,14 +112,14 @@ def first_content(messages: Column, role: str) -> Column:
 
 
 def prompt_fault(messages: Column) -> Column:
-    """Why a prompt is refused: over two messages, or nothing from the user; else null."""
+    """Why a prompt is refused: over two messages, or nothing from the user; else null (F45). White space is something."""
     user = F.coalesce(first_content(messages, "user"), F.lit(""))
-    return F.when(F.size(messages) > 2, "at most two messages").when(F.trim(user) == "", "no user message")
+    return F.when(F.size(messages) > 2, "at most two messages").when(user == "", "no user message")
 
 
 def comma_list(text: Column) -> Column:
     """Trimmed non-empty items of a comma list; null gives none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda x: x != "")
 
 
 def paired(left: Column, right: Column) -> Column:
@@ -204,13 +209,13 @@ def message_response(ident: Column, model: Column, content: Column, calls: Colum
 
 def coerced(value: Column, kind: Column) -> Column:
     """A tool argument (variant) as its declared type, null where it can't be (F39); unknown types take anything."""
-    own, text = F.schema_of_variant(value), F.trim(F.try_variant_get(value, "$", "string"))
-    number = (own == "BIGINT") | (own == "DOUBLE") | own.startswith("DECIMAL")
-    whole = F.when(number & (F.try_variant_get(value, "$", "double") % 1 == 0) | (own == "BOOLEAN") | ((own == "STRING") & text.rlike(r"^[+-]?\d+$")), F.coalesce(F.try_variant_get(value, "$", "bigint"), text.try_cast("bigint")))
-    real = F.when(number | (own == "BOOLEAN") | (own == "STRING"), F.coalesce(F.try_variant_get(value, "$", "double"), text.try_cast("double")))
+    own, text = F.schema_of_variant(value), strip(F.try_variant_get(value, "$", "string"))
+    is_number = (own == "BIGINT") | (own == "DOUBLE") | own.startswith("DECIMAL")
+    whole = F.when(is_number & (F.try_variant_get(value, "$", "double") % 1 == 0) | (own == "BOOLEAN") | ((own == "STRING") & text.rlike(r"^[+-]?\d+$")), F.coalesce(F.try_variant_get(value, "$", "bigint"), text.try_cast("bigint")))
+    real = F.when(is_number | (own == "BOOLEAN") | (own == "STRING"), F.when(own == "STRING", number(text)).otherwise(F.try_variant_get(value, "$", "double")))
     says = F.lower(text)
     truth = F.when((own == "BOOLEAN") | says.isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n"), says.isin("true", "1", "yes", "on", "t", "y"))
     return (
-        F.when(kind == "integer", whole.cast("variant")).when(kind == "number", F.when(number, value).otherwise(real.cast("variant"))).when(kind == "boolean", truth.cast("variant"))
+        F.when(kind == "integer", whole.cast("variant")).when(kind == "number", F.when(is_number, value).otherwise(real.cast("variant"))).when(kind == "boolean", truth.cast("variant"))
         .when(kind == "string", F.when(own == "STRING", value)).when(kind == "array", F.when(own.startswith("ARRAY"), value)).when(kind == "object", F.when(own.startswith("OBJECT"), value)).otherwise(value)
     )

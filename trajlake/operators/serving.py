@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.functions import wire
+from trajlake.functions import text, wire
 
 
 def call_status(attempted: DataFrame, executed: DataFrame, key: list[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def argument_faults(calls: DataFrame, tools: DataFrame) -> DataFrame:
     ``calls`` has tool and arguments (JSON text; null and blank are no arguments); ``tools`` has tool, known and
     required (arrays of names). The first fault in that order is reported, with the names sorted.
     """
-    blank = F.trim(F.coalesce("arguments", F.lit(""))) == ""
+    blank = text.is_blank(F.col("arguments"))
     parsed = F.try_parse_json(F.when(blank, "{}").otherwise(F.col("arguments")))
     given = F.map_keys(F.from_json(F.to_json(parsed), "map<string,string>"))
     rows = calls.join(tools.withColumn("_known_tool", F.lit(True)), "tool", "left")
@@ -75,7 +75,7 @@ def coerced_arguments(calls: DataFrame, types: DataFrame) -> DataFrame:
     ``calls`` has tool and arguments (JSON text of an object; null and blank are none); ``types`` has tool and types, a
     map from names to JSON schema types. Undeclared arguments pass.
     """
-    given = F.from_json(F.to_json(F.try_parse_json(F.coalesce(F.nullif(F.trim("arguments"), F.lit("")), F.lit("{}")))), "map<string,variant>")
+    given = F.from_json(F.to_json(F.try_parse_json(F.when(text.is_blank(F.col("arguments")), "{}").otherwise(F.col("arguments")))), "map<string,variant>")
     rows = calls.join(types, "tool", "left").withColumn("_given", given)
     own = F.transform_values("_given", lambda k, v: wire.coerced(v, F.coalesce(F.try_element_at("types", k), F.lit("any"))))
     rows = rows.withColumn("_own", own)

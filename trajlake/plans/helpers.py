@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions import messages, text, tokens, wire
 from trajlake.operators import evaluate, hooks, routing, serving, trajectories
+from trajlake.plans.shapes import pad, pad_sql, strip_sql
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -100,7 +101,7 @@ def marker_slices(spark, sf):
 def issue_texts(spark, sf):
     d = _t(spark, sf, "documents")
     own = F.coalesce("text", F.lit(""))
-    task = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("do <i>  "), own, F.lit("  </i> more"))).when(F.col("doc_id") % 3 == 1, F.concat(own, F.lit("\nFollow: x"))).otherwise(F.concat(F.lit(" "), own, F.lit(" ")))
+    task = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("do <i>"), pad(F.col("doc_id")), own, pad(F.col("doc_id") + 1), F.lit("</i> more"))).when(F.col("doc_id") % 3 == 1, F.concat(own, F.lit("\nFollow: x"))).otherwise(F.concat(pad(F.col("n_chars")), own, pad(F.col("doc_id"))))
     return d.select("doc_id", F.sha2(text.issue_text(task, "<i>", "</i>", "\nFollow:"), 256).alias("issue_hash"))
 
 
@@ -115,27 +116,30 @@ def eval_scripts(spark, sf):
     return p.select("p_partkey", wire.eval_script("#!/bin/bash", F.array(F.lit("cd /x"), F.concat(F.lit("run "), "p_name")), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("end"))).otherwise(F.array().cast("array<string>"))).alias("script"))
 
 
-#: Settings, as numbers (default 7) and as flags.
-SETTINGS = [("1.5", 1.5, False), (" 2 ", 2.0, False), ("x", 7.0, False), ("", 7.0, False), (None, 7.0, False), ("TRUE", 7.0, True), ("1", 1.0, True), (" on ", 7.0, True), ("no", 7.0, False)]
+#: Ends of settings; some make numbers of another kind of digits that come before them, some make them none.
+ENDS = ("", "d", "\n", "f", "e2", "_0", "\u00a0", ".")
 
 
 def env_settings(spark, sf):
-    s = _t(spark, sf, "supplier").withColumn("v", _of([v for v, *_ in SETTINGS], F.col("s_suppkey")))
-    return s.select("s_suppkey", text.env_number(F.col("v"), 7).alias("number"), text.env_flag(F.col("v")).alias("flag"))
-
-
-#: Lists as text, read strictly and leniently, joined by |.
-LISTS = [('["a","b"]', "a|b", "a|b"), ("bad", None, "bad"), ("", None, ""), (None, None, ""), ("[]", "", ""), ('{"a":1}', None, '{"a":1}')]
+    e = _t(spark, sf, "events")
+    end = F.element_at(F.array(*[F.lit(x) for x in ENDS]), (F.col("event_id") % len(ENDS) + 1).cast("int"))
+    v = F.when(F.col("event_id") % 3 == 0, F.concat(pad(F.col("user_id")), F.col("user_id").cast("string"), end)).when(F.col("event_id") % 3 == 1, F.concat(pad(F.col("event_id")), F.substring("event_type", 1, 1), end)).otherwise(F.concat(pad(F.col("user_id")), F.when(F.col("value") > 50, "On").otherwise("true"), end))
+    e = e.withColumn("v", F.when(F.col("event_id") % 11 > 0, v))
+    return e.select("event_id", text.env_number(F.col("v"), 7).alias("number"), text.env_flag(F.col("v")).alias("flag"))
 
 
 def list_decoding(spark, sf):
-    s = _t(spark, sf, "supplier").withColumn("v", _of([v for v, *_ in LISTS], F.col("s_suppkey")))
-    strict = F.when(F.col("v").startswith("["), text.strict_list(F.col("v")))
-    return s.select("s_suppkey", F.array_join(strict, "|").alias("strict"), F.array_join(text.lenient_list(F.col("v")), "|").alias("lenient"))
+    d = _t(spark, sf, "documents")
+    listed = F.to_json(F.array("lang", "source"))
+    v = F.when(F.col("doc_id") % 4 == 0, F.concat(pad(F.col("doc_id")), pad(F.col("n_chars")))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" "), listed, F.lit("\n"))).when(F.col("doc_id") % 4 == 2, F.concat(pad(F.col("n_chars")), "source"))
+    d = d.withColumn("v", v)
+    strict = text.decode_list(F.when(F.col("doc_id") % 4 != 2, F.col("v")))
+    return d.select("doc_id", F.array_join(strict, "|").alias("strict"), F.array_join(text.lenient_list(F.col("v")), "|").alias("lenient"))
 
 
 def first_messages(spark, sf):
-    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
+    own = F.when((F.col("turn") <= 1) & (F.col("conv_id") % 3 == 0), pad(F.col("conv_id"))).otherwise(F.col("text")).alias("text")
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", own))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
     return c.select("conv_id", F.sha2(wire.first_content(F.col("m"), "user"), 256).alias("user_hash"), F.sha2(wire.first_content(F.col("m"), "system"), 256).alias("system_hash"), wire.prompt_fault(F.col("m")).alias("fault"), wire.prompt_fault(F.slice("m", 1, 1)).alias("first_fault"))
 
 
@@ -281,16 +285,19 @@ def oracle_sql(trajectory_sql: str) -> dict[str, str]:
         "ansi_strip": "SELECT doc_id, sha256(replace(coalesce(text, ''), chr(13), '') || chr(10) || 'x') AS all_hash, sha256(replace(coalesce(text, ''), chr(13), '') || chr(10) || chr(27) || '[2Kx') AS colours_hash FROM documents",
         "log_dispatch": _TESTS,
         "marker_slices": f"SELECT p_partkey, {_sql([None if o is None else o.replace('STc', '<S>c') for _, o, _ in MARKED], 'p_partkey')} AS once, {_sql([s for *_, s in MARKED], 'p_partkey')} AS split FROM part",
-        "issue_texts": "SELECT doc_id, sha256(trim(coalesce(text, ''))) AS issue_hash FROM documents",
+        "issue_texts": f"""SELECT doc_id, sha256({strip_sql("coalesce(text, '')")}) AS issue_hash FROM documents""",
         "command_blocks": f"""SELECT event_id, '[exit code: ' || CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 5 AS VARCHAR) ELSE 'unknown' END || ']' || chr(10) || '[stdout]' || chr(10) || CASE WHEN {_OUT} = '' THEN '(empty)' ELSE {_OUT} END
           || CASE WHEN {_ERR} <> '' THEN chr(10) || '[stderr]' || chr(10) || {_ERR} ELSE '' END AS done,
           '{TIMEOUT_TEXT[0]}' || ['0', '1.5', '3', '4.5'][event_id % 4 + 1] || '{TIMEOUT_TEXT[1]}' || CASE WHEN {_OUT} <> '' THEN chr(10) || '[partial stdout]' || chr(10) || {_OUT} ELSE '' END || CASE WHEN {_ERR} <> '' THEN chr(10) || '[partial stderr]' || chr(10) || {_ERR} ELSE '' END AS late FROM events""",
         "eval_scripts": "SELECT p_partkey, '#!/bin/bash' || chr(10) || 'cd /x' || chr(10) || 'run ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'end' ELSE '' END AS script FROM part",
-        "env_settings": f"SELECT s_suppkey, CAST({_sql([n for _, n, _ in SETTINGS], 's_suppkey')} AS DOUBLE) AS number, {_sql([f for *_, f in SETTINGS], 's_suppkey')} AS flag FROM supplier",
-        "list_decoding": f"SELECT s_suppkey, {_sql([s for _, s, _ in LISTS], 's_suppkey')} AS strict, {_sql([x for *_, x in LISTS], 's_suppkey')} AS lenient FROM supplier",
+        "env_settings": rf"""WITH e AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN CASE event_id % 3 WHEN 0 THEN {pad_sql("user_id")} || user_id WHEN 1 THEN {pad_sql("event_id")} || left(event_type, 1) ELSE {pad_sql("user_id")} || CASE WHEN value > 50 THEN 'On' ELSE 'true' END END
+            || ['', 'd', chr(10), 'f', 'e2', '_0', chr(160), '.'][event_id % {len(ENDS)} + 1] END AS v FROM events), s AS (SELECT event_id, {strip_sql("v")} AS v FROM e)
+          SELECT event_id, CASE WHEN regexp_matches(v, '^\d+(_\d+)?[.]?(e\d+)?$') THEN CAST(replace(v, '_', '') AS DOUBLE) ELSE 7.0::DOUBLE END AS number, coalesce(lower(v) IN ('1', 'true', 'yes', 'on'), false) AS flag FROM s""",
+        "list_decoding": f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN array_to_string([lang, source], '|') WHEN 2 THEN {pad_sql("n_chars")} || source END AS l FROM documents)
+          SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN '' ELSE coalesce(l, '') END AS strict, CASE WHEN {strip_sql("coalesce(l, '')")} = '' THEN '' ELSE l END AS lenient FROM d""",
         "first_messages": """SELECT conv_id, sha256(arg_min(text, turn) FILTER (role = 'user')) AS user_hash, sha256(arg_min(text, turn) FILTER (role = 'system')) AS system_hash,
-          CASE WHEN count(*) > 2 THEN 'at most two messages' WHEN coalesce(trim(arg_min(text, turn) FILTER (role = 'user')), '') = '' THEN 'no user message' END AS fault,
-          CASE WHEN arg_min(role, turn) <> 'user' OR trim(arg_min(text, turn)) = '' THEN 'no user message' END AS first_fault FROM conversations GROUP BY 1""",
+          CASE WHEN count(*) > 2 THEN 'at most two messages' WHEN coalesce(arg_min(text, turn) FILTER (role = 'user'), '') = '' THEN 'no user message' END AS fault,
+          CASE WHEN arg_min(role, turn) <> 'user' OR arg_min(text, turn) = '' THEN 'no user message' END AS first_fault FROM (SELECT conv_id, turn, role, CASE WHEN turn <= 1 AND conv_id % 3 = 0 THEN """ + pad_sql("conv_id") + """ ELSE text END AS text FROM conversations) GROUP BY 1""",
         "media_parts": "SELECT p_partkey, p_partkey % 6 IN (0, 1, 2, 4) AS media, CASE WHEN p_partkey % 6 IN (0, 1) THEN p_brand ELSE '' END AS images, CASE WHEN p_partkey % 6 IN (2, 4) THEN p_brand ELSE '' END AS videos FROM part",
         "scoring_inputs": f"SELECT conv_id, CAST(length(prompt || response) AS BIGINT) AS n, CAST(length(prompt || response) AS BIGINT) AS ones, sha256(prompt || response) AS text_hash, num_turns FROM ({trajectory_sql})",
         "reward_overlay": "SELECT event_id, 'a=' || event_type || CASE WHEN event_id % 2 = 0 THEN ',b=new' ELSE ',b=old,c=1' END AS info FROM events",

@@ -66,7 +66,7 @@ ORACLE_SQL = {
     "image_name": "SELECT p_partkey, 'swebench/sweb.eval.x86_64.' || replace(lower(p_brand || '__Repo-' || p_partkey), '__', '_1776_') AS image, 'sweb.eval.x86_64.' || replace(replace(lower(p_brand || '__Repo-' || p_partkey), '__', '_1776_'), '_1776_', '__') || ':latest' AS local FROM part",
     "safe_filename": "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'default') AS name, regexp_replace(url, '/+$', '') AS base FROM pages",
     "clip_observation": f"""SELECT doc_id, sha256('Observation:' || chr(10) || CASE WHEN length(text) > 1000 THEN left(text, 1000) || {_CLIP} ELSE text END) AS observation_hash, left(lang || ':' || coalesce(nullif(text, ''), lang), 512) AS reason,
-      right(trim(text), 20) AS tail, CASE WHEN length(source || left(text, doc_id % 30)) > 22 THEN '…' || right(source || left(text, doc_id % 30), 21) ELSE source || left(text, doc_id % 30) END AS short FROM documents""",
+      right(regexp_replace(text, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g'), 20) AS tail, CASE WHEN length(source || left(text, doc_id % 30)) > 22 THEN '…' || right(source || left(text, doc_id % 30), 21) ELSE source || left(text, doc_id % 30) END AS short FROM documents""",
     "task_rows": """SELECT 'verified' AS data_source, 'swebench/sweb.eval.x86_64.' || replace(lower(source || '__' || doc_id), '__', '_1776_') AS image, CAST(to_json(struct_pack(instance_id := source || '__' || doc_id, lang := lang, n_chars := n_chars)) AS VARCHAR) AS metadata, sha256(text) AS prompt_hash FROM documents""",
     "config_route": "SELECT event_id, event_type, r AS runner, CASE WHEN r IS NULL THEN 'unknown agent: ' || event_type END AS error FROM events LEFT JOIN (VALUES ('click', 'react'), ('view', 'cli'), ('purchase', 'black_box')) v(k, r) ON k = event_type",
     "json_arguments": "SELECT event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'raw' END AS kind, CASE WHEN json_valid(props) THEN CAST(json(props) AS VARCHAR) ELSE props END AS value, '{}' AS object FROM events",

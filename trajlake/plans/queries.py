@@ -177,7 +177,7 @@ def safe_filename(spark, sf):
 
 def clip_observation(spark, sf):
     d = _t(spark, sf, "documents")
-    return d.select("doc_id", F.sha2(text.clip_observation(F.col("text"), 1000), 256).alias("observation_hash"), text.failure_reason(F.col("lang"), F.col("text")).alias("reason"), text.tail(F.col("text"), 20).alias("tail"), text.short_name(F.concat(F.lit("pkg."), F.col("source"), F.left("text", F.col("doc_id") % 30)), "pkg.").alias("short"))
+    return d.select("doc_id", F.sha2(text.clip_observation(F.col("text"), 1000), 256).alias("observation_hash"), text.failure_reason(F.col("lang"), F.col("text")).alias("reason"), text.tail(F.concat("text", F.lit("\t \u00a0\n")), 20).alias("tail"), text.short_name(F.concat(F.lit("pkg."), F.col("source"), F.left("text", F.col("doc_id") % 30)), "pkg.").alias("short"))
 
 
 def task_rows(spark, sf):

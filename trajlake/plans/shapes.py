@@ -7,6 +7,7 @@ messages; ``lineitem`` rows are attempted calls, those with discount 0 were not
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trajlake.functions import wire
@@ -29,8 +30,27 @@ def image_fields(spark, sf):
     return p.select("p_partkey", wire.first_filled(F.col("flat"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type"))).alias("image"), image.alias("provider"))
 
 
+#: White space of several kinds, and how it is spelled out in SQL patterns.
+PADS = ("\n", "\t ", "\u00a0", " \r\n", "", "\u2003\u000b")
+SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def pad(number: Column) -> Column:
+    """White space of a kind that depends on a number."""
+    return F.element_at(F.array(*[F.lit(p) for p in PADS]), (number % len(PADS) + 1).cast("int"))
+
+
+def pad_sql(number: str) -> str:
+    return "[" + ", ".join(" || ".join(["''", *[f"chr({ord(c)})" for c in p]]) for p in PADS) + f"][({number}) % {len(PADS)} + 1]"
+
+
+def strip_sql(text: str) -> str:
+    return f"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 def chat_prompts(spark, sf):
-    body = wire.chat_prompt({"chat_id": F.col("user_id").cast("string")}, F.when(F.col("event_id") % 2 == 0, (F.col("event_id") * 1000).cast("string")), F.concat(F.lit("  "), "props", F.lit(" ")))
+    fields = {"chat_id": F.col("user_id").cast("string"), "message_type": F.col("event_type")}
+    body = wire.chat_prompt("New message", fields, F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 0, ""), F.concat(F.lit(" \n"), "props", pad(F.col("event_id")), pad(F.col("user_id"))))
     return _t(spark, sf, "events").select("event_id", body.alias("prompt"))
 
 
@@ -50,7 +70,7 @@ def url_parts(spark, sf):
 
 
 def argument_faults(spark, sf):
-    args = F.when(F.col("event_id") % 4 == 0, " ").when(F.col("event_id") % 4 == 1, F.col("props")).when(F.col("event_id") % 4 == 2, '{"z":1,"k":2,"a":null}').otherwise("[1]")
+    args = F.when(F.col("event_id") % 4 == 0, pad(F.col("event_id"))).when(F.col("event_id") % 4 == 1, F.col("props")).when(F.col("event_id") % 4 == 2, '{"z":1,"k":2,"a":null}').otherwise("[1]")
     tools = spark.createDataFrame([("click", ["k"], ["k"]), ("view", ["k", "z"], [])], "tool string, known array<string>, required array<string>")
     calls = _t(spark, sf, "events").select("event_id", F.col("event_type").alias("tool"), args.alias("arguments"))
     return serving.argument_faults(calls, tools).select("event_id", "error")
@@ -59,7 +79,7 @@ def argument_faults(spark, sf):
 def list_functions(spark, sf):
     d = _t(spark, sf, "documents")
     own, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
-    items = wire.comma_list(F.concat(own, F.lit(" ,, "), lang, F.lit(",b")))
+    items = wire.comma_list(F.concat(own, pad(F.col("doc_id")), F.lit(",\t,"), pad(F.col("doc_id") + 1), lang, F.lit(",\u00a0b\n")))
     tests = wire.task_text(F.when(F.col("doc_id") % 3 == 0, F.array(own)).otherwise(F.array().cast("array<string>")), F.when(F.col("doc_id") % 3 == 1, items).otherwise(F.array().cast("array<string>")), "none")
     return d.select("doc_id", F.array_join(items, "|").alias("items"), tests.alias("tests"), F.array_join(wire.unknown_parameters(items, F.array(F.lit("b"))), "|").alias("unknown"))
 
@@ -110,14 +130,15 @@ ORACLE_SQL = {
       sha256('{"role":"' || role || '","content":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN role = 'assistant' THEN ',"tool_calls":"calls"' ELSE '' END
         || CASE WHEN role = 'tool' THEN ',"tool_call_id":"id"' || CASE WHEN turn % 2 = 0 THEN ',"name":"n"' ELSE '' END ELSE '' END || '}') AS sent FROM conversations""",
     "image_fields": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS image, 'own.example/' || p_name || ':v2' AS provider FROM part""",
-    "chat_prompts": """SELECT event_id, 'chat_id: ' || user_id || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'create_time: ' || strftime(make_timestamp(event_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') ELSE '' END || chr(10) || chr(10) || trim(props) AS prompt FROM events""",
+    "chat_prompts": """SELECT event_id, '[New message]' || chr(10) || '  chat_id:        ' || user_id || chr(10) || '  message_type:   ' || event_type || CASE WHEN event_id % 2 = 0 THEN chr(10) || '  create_time_ms: ' || event_id ELSE '' END || chr(10) || chr(10) || 'Content:' || chr(10)
+      || regexp_replace(' ' || chr(10) || props || """ + pad_sql("event_id") + " || " + pad_sql("user_id") + f""", '{SPACE}+$', '') || chr(10) AS prompt FROM events""",
     "language_phrases": "SELECT doc_id, ['Go', 'Rust', 'the project''s', 'JavaScript'][doc_id % 4 + 1] AS language FROM documents",
     "tool_conversion": """SELECT event_id, '{"type":"function","function":{"name":"' || event_type || '"' || CASE WHEN event_id % 2 = 0 THEN ',"description":"d"' ELSE '' END || ',"parameters":{"n":' || event_id || '}}}' AS tool FROM events""",
     "url_parts": r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(\w+)://', 1) AS s, regexp_extract(url, '^\w+://([^/?#]+)', 1) AS a FROM pages)
       SELECT page_id, a || CASE WHEN regexp_matches(a, ':\d+$') THEN '' WHEN s = 'https' THEN ':443' ELSE ':80' END AS authority, s || '://' || a || '/v1' AS rewritten, 'h:81' AS own_port FROM u""",
     "argument_faults": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'arguments must be a JSON object' WHEN event_type NOT IN ('click', 'view') THEN 'unknown tool: ' || event_type
       WHEN event_id % 4 = 2 THEN CASE event_type WHEN 'click' THEN 'unknown parameters: a, z' ELSE 'unknown parameters: a' END WHEN event_id % 4 = 0 AND event_type = 'click' THEN 'missing parameters: k' END AS error FROM events""",
-    "list_functions": """WITH d AS (SELECT doc_id, coalesce(source, '') AS s, list_filter([coalesce(source, ''), coalesce(lang, ''), 'b'], lambda x: x <> '') AS l FROM documents)
+    "list_functions": f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS s, list_filter(list_transform(string_split(coalesce(source, '') || {pad_sql("doc_id")} || ',' || chr(9) || ',' || {pad_sql("doc_id + 1")} || coalesce(lang, '') || ',' || chr(160) || 'b' || chr(10), ','), lambda x: {strip_sql("x")}), lambda x: x <> '') AS l FROM documents)
       SELECT doc_id, array_to_string(l, '|') AS items, CASE doc_id % 3 WHEN 0 THEN '- ' || s WHEN 1 THEN array_to_string(list_transform(l, lambda x: '- ' || x), chr(10)) ELSE 'none' END AS tests, array_to_string(list_sort(list_filter(l, lambda x: x <> 'b')), '|') AS unknown FROM d""",
     "reward_payloads": """SELECT event_id, '{"reward":' || coalesce(CAST(r AS VARCHAR), 'null') || CASE WHEN event_id % 2 = 0 THEN ',"acc":' || event_id ELSE '' END || CASE WHEN event_id % 5 = 0 THEN ',"finished":true' ELSE '' END || '}' AS payload,
       CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'unknown' END AS data_source, CAST(coalesce(r, 0) AS DOUBLE) AS score FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN event_id % 2 END AS r FROM events)""",
