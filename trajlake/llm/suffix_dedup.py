@@ -280,7 +280,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(scanned.mapInArrow(_anchored, f"doc_id {kind}, sha binary, n_bytes long, at array<int>, reach array<int>, keys array<long>").withColumn("rid", F.monotonically_increasing_id()))
     once = rows.where(f"n_bytes >= {WINDOW}").groupBy("sha").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("m"))
     texts = stored(rows.select("rid", "at", "reach", "keys").join(once, "rid"))
-    shared = texts.select("m", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key")
+    # Written, so that the join reads two plain shuffles and Spark may split a frequent core's side.
+    shared = stored(texts.select("m", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key"))
     found = texts.select("rid", F.explode(F.arrays_zip("at", "reach", "keys")).alias("a")).select("rid", "a.at", "a.reach", F.col("a.keys").alias("key")).join(shared, "key", "left_semi")
     found = found.groupBy("rid").agg(F.collect_list(F.struct("at", "reach", "key")).alias("found")).join(texts.select("rid", "sha", "m"), "rid")
     bodies = scanned.where(F.octet_length("text") >= WINDOW).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text").groupBy("sha").agg(F.first("text").alias("text"))
