@@ -21,8 +21,8 @@ WINDOW, CORE = 200, 64
 PLACES = WINDOW - CORE + 1
 #: Different contexts of a core from which on its places are split, and parts that they are split into.
 MANY, PARTS = 512, 4
-#: Bytes that are hashed at a time, and bytes of a suffix array, if a core's contexts have not more.
-CHUNK, ARRAY = 1 << 16, 1 << 20
+#: Texts at a time, bytes that are hashed at a time, and bytes of a suffix array, if a core's contexts have not more.
+ROWS, CHUNK, ARRAY = 256, 1 << 16, 1 << 20
 
 #: A probe: the core's place in the text, the part of the core's places in a window that it belongs to (``lo`` to ``hi``),
 #: those that it stands for (``low`` to ``high``), and the hashes of what its windows share and of what they reach.
@@ -102,9 +102,16 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
         yield rows, starts, parts
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what tasks make of a text may be many times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: SHA-256, bytes, and its anchors: their places, least and largest place in a window (as one number), hashes."""
-    for batch in batches:
+    for batch in _some(batches):
         texts = [x.as_py() or b"" for x in batch.column("text")]
         found: list[list[tuple]] = [[] for _ in texts]
         for rows, starts, parts in _blocks(texts):
@@ -136,7 +143,7 @@ def _probe(text: bytes, at: int, lo: int, hi: int, low: int, high: int, key: int
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with probes: of anchors that are given, or over parts of the places of probes that are."""
-    for batch in batches:
+    for batch in _some(batches):
         probes = []
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
             text, own = text.as_py(), []
@@ -156,7 +163,7 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that probes reach, and the core's place in them."""
     names = ("key", "c1", "c2", "m", "high")
-    for batch in batches:
+    for batch in _some(batches):
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
             text, probes = text.as_py(), found.as_py()
             context = [text[p["at"] - p["high"] : p["at"] - p["low"] + WINDOW] for p in probes]
@@ -232,7 +239,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's merged spans and what is left of it."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    for batch in batches:
+    for batch in _some(batches):
         spans, kept = [], []
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
             text = text.as_py()
