@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajlake.functions import messages, text, tokens
-from trajlake.operators import chains, evaluate, normalize, routing, trajectories
+from trajlake.operators import chains, configs, evaluate, normalize, routing, trajectories
 from trajlake.sources import io
 from trajlake.streaming import sessions
 
@@ -144,10 +144,31 @@ def test_bodies_that_are_no_objects(spark):
 
 
 def test_merges(spark):
-    one = lambda b, o, r=None: spark.range(1).select(normalize.merge_json(F.lit(b), F.lit(o), None if r is None else F.lit(r)).alias("x")).first()["x"]
+    def one(b, o, r=None):
+        rows = spark.createDataFrame([(1, b, o, r)], "k int, b string, o string, r string")
+        return configs.merge_configs(rows, "k", "b", "o", "r").first()["config"]
+
     assert one('{"a":{"b":1,"c":[1]},"d":1}', '{"a":{"c":[2]},"d":null}') == '{"a":{"b":1,"c":[2]},"d":null}'
     assert one('{"a":1}', None, '{"url":null}') == '{"a":1}' and one(None, '{"a":{"x":1}}') == '{"a":{"x":1}}'
     assert one('{"agent":{"model":{"url":"a","t":1}}}', "{}", '{"url":"b"}') == '{"agent":{"model":{"t":1,"url":"b"}}}'
+    assert one(None, None) == "{}" and one('{"a":{"b":1}}', '{"a":{}}') == '{"a":{"b":1}}' and one('{"a":1}', '{"a":{}}') == '{"a":{}}'
+
+
+def test_merges_of_random_configs(spark):
+    """Nested up to twelve levels, against a recursive merge."""
+    rng = random.Random(4)
+
+    def config(depth):
+        return {rng.choice('ab"é.'): config(depth - 1) if depth and rng.random() < 0.8 else rng.choice([1, None, [1, {"a": 2}], "x", True, {}]) for _ in range(rng.randrange(0, 4))}
+
+    def merge(b, o):
+        return {k: merge(b[k], o[k]) if k in b and k in o and isinstance(b[k], dict) and isinstance(o[k], dict) else o[k] if k in o else b[k] for k in {**b, **o}}
+
+    pairs = [(i, config(12), config(12)) for i in range(80)]
+    rows = spark.createDataFrame([(i, json.dumps(b), json.dumps(o)) for i, b, o in pairs], "k int, b string, o string")
+    got = {r["k"]: r["config"] for r in configs.merge_configs(rows, "k", "b", "o").collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {i: merge(b, o) for i, b, o in pairs}
+    assert all(v == json.dumps(json.loads(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in got.values())
 
 
 def test_text_functions(spark):

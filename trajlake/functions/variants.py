@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Levels of nesting that functions over JSON of any depth go down; deeper ones are an error, not a wrong result.
-DEPTH = 8
-
 
 def no_text() -> Column:
     return F.lit(None).cast("string")
@@ -56,12 +53,3 @@ def members(v: Column) -> Column:
 
 def is_object(v: Column) -> Column:
     return members(v).isNotNull()
-
-
-def merged(base: Column, over: Column, depth: int = DEPTH) -> Column:
-    """Two variants as one: objects merge key by key; anything else, lists and null too, is replaced by ``over``."""
-    if not depth:
-        return F.when(is_object(base) & is_object(over), F.raise_error(F.lit(f"objects nested deeper than {DEPTH}")).cast("variant")).otherwise(over)
-    inner = lambda _, b, o: F.when(o.isNull(), b).when(b.isNull(), o).otherwise(merged(b, o, depth - 1))
-    both = F.to_variant_object(F.map_zip_with(members(base), members(over), inner))
-    return F.when(is_object(base) & is_object(over), both).otherwise(over)

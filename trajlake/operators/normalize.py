@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.variants import field, is_null, is_object, is_string, items, let, members, merged, no_text, string
+from trajlake.functions.variants import field, is_null, is_object, is_string, items, let, members, no_text, string
 
 MESSAGE = "struct<role:string,content:string,parts:string,name:string,tool_call_id:string,tool_calls:string,reasoning_content:string>"
 #: Fixed value: the line that is cut from system text.
@@ -290,14 +290,3 @@ def normalize(requests: DataFrame, wire: str = "wire", body: str = "body") -> Da
     one = requests.where(~other).select(*kept, lower_anthropic(F.col(body)).alias("_n"))
     two = requests.where(other).select(*kept, lower_openai(F.col(body)).alias("_n"))
     return one.unionByName(two).select(*kept, "_n.messages", "_n.error")
-
-
-def merge_json(base: Column, over: Column, runtime: Column | None = None) -> Column:
-    """Merged configs (F8) as JSON text with sorted keys; what is not null of ``runtime`` wins under ``agent.model``."""
-    parsed = lambda c: F.coalesce(F.parse_json(c), F.parse_json(F.lit("{}")))
-    config = merged(parsed(base), parsed(over))
-    if runtime is None:
-        return F.to_json(config)
-    model = F.map_filter(members(parsed(runtime)), lambda _, v: ~is_null(v))
-    bound = F.to_variant_object(F.struct(F.struct(F.to_variant_object(model).alias("model")).alias("agent")))
-    return F.to_json(let(config, lambda c: F.when(F.size(model) > 0, merged(c, bound)).otherwise(c)))

@@ -78,7 +78,9 @@ ORACLE_SQL = {
       SELECT x.instance_id, count(*) AS expected, count(*) FILTER (status IN ('PASSED', 'XFAIL')) AS passed, bool_and(coalesce(status IN ('PASSED', 'XFAIL'), false)) AS resolved FROM x LEFT JOIN st ON st.instance_id = x.instance_id AND st.test = x.t GROUP BY 1""",
     "redact_secrets": "WITH r AS (SELECT doc_id, 'api_key=''<redacted>'' base_url=<redacted>, endpoint: <redacted> Authorization: Bearer <redacted> <redacted>' || chr(10) || coalesce(text, '') AS out FROM documents) SELECT doc_id, sha256(out) AS out_hash, CAST(length(out) AS BIGINT) AS n FROM r",
     "normalize_requests": "SELECT conv_id, turn, CAST(2 AS BIGINT) AS n_messages, 'be brief' AS system, text || chr(10) || role AS content, CAST(NULL AS VARCHAR) AS error FROM conversations",
-    "config_merge": """SELECT event_id, '{"agent":{"model":{"t":1,"url":"b"},"steps":[' || event_id || ']},"x":null}' AS config FROM events""",
+    "config_merge": """SELECT event_id, '{"agent":{"model":{"t":' || user_id || ',"url":"' || CASE WHEN event_id % 3 > 0 THEN 'b' || event_id % 5 ELSE event_type END || '"},"steps":[' || event_id || ']},"deep":' || repeat('{"k":', event_id % 9)
+      || CASE WHEN event_id % 14 > event_id % 9 THEN repeat('{"k":', event_id % 14 - event_id % 9) || event_id || repeat('}', event_id % 14 - event_id % 9 - 1) || ',"o":' || user_id || '}' ELSE '{"o":' || user_id || '}' END || repeat('}', event_id % 9)
+      || ',"x":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '{"y":' || CAST(to_json(props) AS VARCHAR) || '}' END || ',"z":{}}' AS config FROM events""",
     "request_gates": f"SELECT event_id, {_SEQ(['NULL' if e is None else repr(e) for _, e in GATES])}[event_id % {len(GATES)} + 1] AS error_reason FROM events",
     "ext_tumbling_counts": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "ext_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions import messages, text, tokens
-from trajlake.operators import chains, conversations, evaluate, normalize, routing, trajectories
+from trajlake.operators import chains, configs, conversations, evaluate, normalize, routing, trajectories
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -249,8 +249,14 @@ def normalize_requests(spark, sf):
 
 
 def config_merge(spark, sf):
-    e = _t(spark, sf, "events").select("event_id", F.lit('{"agent":{"model":{"url":"a","t":1},"steps":[1,2]},"x":{"y":1}}').alias("base"), F.concat(F.lit('{"agent":{"steps":['), F.col("event_id").cast("string"), F.lit(']},"x":null}')).alias("over"))
-    return e.select("event_id", normalize.merge_json(F.col("base"), F.col("over"), F.lit('{"url":"b","t":null}')).alias("config"))
+    """Configs and overrides whose objects are nested up to 14 levels deep; bindings for two rows of three."""
+    text = lambda name: F.regexp_extract(F.to_json(F.array(name)), r"(?s)^\[(.*)\]$", 1)
+    deep = lambda n, inner: F.concat(F.repeat(F.lit('{"k":'), n.cast("int")), inner, F.repeat(F.lit("}"), n.cast("int")))
+    e = _t(spark, sf, "events")
+    base = F.concat(F.lit('{"agent":{"model":{"url":'), text("event_type"), F.lit(',"t":'), F.col("user_id"), F.lit('},"steps":[1,2]},"deep":'), deep(F.col("event_id") % 14, F.col("event_id").cast("string")), F.lit(',"x":{"y":'), text("props"), F.lit('},"z":{}}'))
+    over = F.concat(F.lit('{"deep":'), deep(F.col("event_id") % 9, F.concat(F.lit('{"o":'), F.col("user_id"), F.lit("}"))), F.lit(',"agent":{"steps":['), F.col("event_id"), F.lit(']},"x":'), F.when(F.col("event_id") % 2 == 0, "null").otherwise("{}"), F.lit("}"))
+    runtime = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('{"url":"b'), F.col("event_id") % 5, F.lit('","t":null}')))
+    return configs.merge_configs(e.select("event_id", base.alias("base"), over.alias("over"), runtime.alias("runtime")), "event_id", "base", "over", "runtime")
 
 
 #: Request bodies and why they are refused.

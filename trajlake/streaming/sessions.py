@@ -279,7 +279,7 @@ def chat_turns(events: DataFrame, lateness: str | None = None) -> DataFrame:
     Order is by create_time (milliseconds) and message_id. With ``lateness`` events wait in keyed state until the
     watermark has passed them, so the order holds whichever triggers they come in, if none is later than that; later ones
     are dropped by the watermark, and the last ones wait for a later event of any chat or a heartbeat. Without it, each
-    trigger's events are ordered and told at once. Events whose time is no number don't wait. A chat's state is its next
+    trigger's events are ordered and told at once. Events whose time is no number don't wait; those of the epoch's first instant count as late. A chat's state is its next
     ordinal and what waits.
     """
     ms = F.expr("try_cast(create_time AS bigint)")
