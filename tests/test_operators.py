@@ -216,6 +216,7 @@ def test_records_longest_and_sinks(spark, tmp_path):
     io.write_trajectories(t, str(tmp_path / "j"))
     assert json.loads(spark.read.text(str(tmp_path / "j")).first()[0])["schema_version"] == 1
     io.dump(t, str(tmp_path / "d"))
+    assert io.dumped(spark, str(tmp_path / "d"), "session string, response_ids array<int>").first()["response_ids"] == [20, 21]
     assert spark.read.json(str(tmp_path / "d/summary")).first()["prompt_ids_len"] == 2
     (tmp_path / "cfg.json").write_text('[{"name": "a", "x": 1}, {"name": "b"}]')
     assert sorted(x["name"] for x in io.read_configs(spark, str(tmp_path / "cfg.json")).collect()) == ["a", "b"]
@@ -224,6 +225,32 @@ def test_records_longest_and_sinks(spark, tmp_path):
     assert [x["message"]["content"] for x in io.read_transcripts(spark, str(tmp_path / "t*.json")).collect()] == ["x"]
 
 
+def test_dump_goes_on_beside_bad_rows(spark, tmp_path):
+    n = 10_000
+    t = spark.range(n).select("id", F.array(F.lit(1)).alias("prompt_ids"), F.array(F.lit(2), F.lit(3)).alias("response_ids"), F.when(F.col("id") == 77, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0))).alias("response_mask"))
+    io.dump(t, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d/summary")).count() == n - 1
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "d/failed")).select("id", "failure").collect()] == [(77, "response_mask and response_ids differ in length")]
+
+
+def test_routed_lines_and_overflow_make_the_input(spark, tmp_path):
+    spark.range(500).select((F.col("id") % 3).cast("string").alias("log_id"), F.col("id").cast("string").alias("value")).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("log_id string, value string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    io.route_logs(stream, str(tmp_path / "out"), most=30).awaitTermination()
+    counts = io.overflow(spark, str(tmp_path / "out")).agg(F.sum("kept"), F.sum("dropped"), F.count("batch")).first()
+    assert io.routed_lines(spark, str(tmp_path / "out")).distinct().count() == counts[0] > 0
+    assert counts[0] + counts[1] == 500 and counts[1] > 0 and counts[2] == 2
+
+
+def test_gets_by_key_shuffle_nothing(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("uid"), F.lit("s").alias("session"), F.lit("0").alias("index"), F.when(F.col("id") % 2 == 0, "success").otherwise("failure").alias("status"), F.array(F.lit(0.5)).alias("rm_scores"))
+    keys = spark.range(0, 100, 10).select(F.col("id").cast("string").alias("uid"))
+    found = io.score_records(io.write_by_key(rows, str(tmp_path / "r"), "uid", 4), io.write_by_key(keys, str(tmp_path / "k"), "uid", 4))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "partition_id" not in plan
+    assert sorted(r["uid"] for r in found.collect()) == sorted(str(i) for i in range(0, 100, 10))
+
+
 def test_chat_events(spark):
     ok = '{"chat_id":"c","message_id":"m","sender_id":"u","message_type":"text","content":"hi"}'
     lines = spark.createDataFrame([(ok,), ("",), ("[1]",), ("{bad",), (ok.replace('"u"', '"bot"'),), (ok.replace('"m"', '""'),)], "value string")

@@ -74,10 +74,11 @@ def queue_records(spark, sf):
 
 
 def queue_scores(spark, sf):
+    """A get of keys from a table dealt by them: both sides lie in eight buckets, none is shuffled."""
     folder = scratch(spark)
-    io.write_records(_records(spark, sf), folder)
+    records = io.write_by_key(_records(spark, sf), f"{folder}/records", "uid", 8)
     uids = _t(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("uid"))
-    found = io.score_records(io.read_table(spark, folder), uids)
+    found = io.score_records(records, io.write_by_key(uids, f"{folder}/uids", "uid", 8))
     return found.select("uid", "session", "index", F.col("rm_scores")[1].alias("score"))
 
 
@@ -91,12 +92,25 @@ def _short(spark, sf):
     return t.select("conv_id", "prompt_ids", "response_ids", "response_mask", "num_turns", F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") * 0.5).alias("reward_score"), F.when(F.col("conv_id") % 3 == 0, "max_trajectory_length").alias("reason"))
 
 
+def _damaged(spark, sf):
+    """Trajectories of which one in eleven has a reward that is no number, and one in thirteen a mask that is too short."""
+    t = _short(spark, sf)
+    return t.withColumns({"reward_score": F.when(F.col("conv_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("reward_score")), "response_mask": F.when(F.col("conv_id") % 13 == 0, F.slice("response_mask", 2, F.size("response_mask"))).otherwise(F.col("response_mask"))})
+
+
 def trajectory_dump(spark, sf):
     folder = scratch(spark)
-    io.dump(_short(spark, sf), folder)
+    io.dump(_damaged(spark, sf), folder)
     return spark.read.schema("conv_id long, num_turns long, reason string, reward_score double, prompt_ids_len long, response_ids_len long").json(f"{folder}/summary")
 
 
+def trajectory_dump_failures(spark, sf):
+    """What the dump put aside, and why."""
+    folder = scratch(spark)
+    io.dump(_damaged(spark, sf), folder)
+    return spark.read.parquet(f"{folder}/failed").select("conv_id", "failure")
+
+
 def trajectory_summaries(spark, sf):
     return trajectories.summaries(_short(spark, sf), ["conv_id"])
 
@@ -121,6 +135,26 @@ def routed_logs(spark, sf):
     return spark.read.text(folder).select(F.col("value").alias("line"), "log_id")
 
 
+def routed_logs_stream(spark, sf):
+    """The same lines as a stream in three triggers, through buffers that hold them all."""
+    folder = scratch(spark)
+    e = _t(spark, sf, "events").select(F.when(F.col("user_id") % 7 > 0, F.col("event_type")).alias("log_id"), F.concat(F.col("event_id").cast("string"), F.lit(" "), "props").alias("value"))
+    e.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    io.route_logs(stream, folder, most=1 << 32).awaitTermination()
+    return io.routed_lines(spark, folder).select(F.col("value").alias("line"), "log_id")
+
+
+def routed_log_counts(spark, sf):
+    """Kept and dropped lines of such a stream whose buffers hold a hundred lines."""
+    folder = scratch(spark)
+    e = _t(spark, sf, "events").select(F.when(F.col("user_id") % 7 > 0, F.col("event_type")).alias("log_id"), F.col("props").alias("value"))
+    e.coalesce(1).write.parquet(f"{folder}/in")
+    io.route_logs(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), folder, most=100).awaitTermination()
+    n = io.overflow(spark, folder).agg(F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"))
+    return n.select((F.col("kept") + F.col("dropped")).alias("lines"), (F.col("kept") >= 100).alias("filled"), (F.col("dropped") > 0).alias("overflowed"))
+
+
 def transcripts(spark, sf):
     """One file per conversation: a JSON list of its messages."""
     folder = scratch(spark)
@@ -175,7 +209,7 @@ _CHAT_OK = "event_id % 13 > 2 AND event_id % 11 > 0 AND event_id % 5 > 0 AND eve
 QUERIES = {
     f.__name__: f
     for f in (
-        parquet_scan, first_rows, sample_read, split_read, parquet_sink, config_files, queue_records, queue_scores, queue_status, trajectory_dump, trajectory_summaries, trajectory_lines, session_snapshots, routed_logs,
+        parquet_scan, first_rows, sample_read, split_read, parquet_sink, config_files, queue_records, queue_scores, queue_status, trajectory_dump, trajectory_dump_failures, trajectory_summaries, trajectory_lines, session_snapshots, routed_logs, routed_logs_stream, routed_log_counts,
         transcripts, chat_stream, chat_turns_stream, running_outcomes_stream,
     )
 }
@@ -195,7 +229,10 @@ def oracle_sql(trajectory_sql: str) -> dict[str, str]:
         "queue_records": f"SELECT uid, session, index, status, partition_id FROM ({records})",
         "queue_scores": f"SELECT uid, session, index, score FROM ({records}) WHERE status = 'success' AND CAST(uid AS BIGINT) % 3 = 0 AND CAST(uid AS BIGINT) IN (SELECT c_custkey FROM customer)",
         "queue_status": "SELECT o_custkey AS uid, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'finished' ELSE 'failure' END AS status FROM orders GROUP BY 1",
-        "trajectory_dump": f"SELECT conv_id, num_turns, reason, reward_score, prompt_len AS prompt_ids_len, response_len AS response_ids_len FROM {shape}",
+        "trajectory_dump": f"SELECT conv_id, num_turns, reason, reward_score, prompt_len AS prompt_ids_len, response_len AS response_ids_len FROM {shape} WHERE conv_id % 11 > 0 AND (conv_id % 13 > 0 OR response_len = 0)",
+        "trajectory_dump_failures": f"SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'reward_score is no finite number' ELSE 'response_mask and response_ids differ in length' END AS failure FROM {shape} WHERE conv_id % 11 = 0 OR conv_id % 13 = 0 AND response_len > 0",
+        "routed_logs_stream": "SELECT event_id || ' ' || props AS line, event_type AS log_id FROM events WHERE user_id % 7 > 0",
+        "routed_log_counts": "SELECT count(*) AS lines, count(*) >= 100 AS filled, count(*) > 100 AS overflowed FROM events WHERE user_id % 7 > 0",
         "trajectory_summaries": f"SELECT conv_id, num_turns, reward_score, reason AS materialization_reason, prompt_len, response_len, model_tokens AS model_token_count FROM {shape}",
         "trajectory_lines": f"""SELECT '{{"conv_id":' || conv_id || ',"num_turns":' || num_turns || ',"reason":' || coalesce('"' || reason || '"', 'null') || ',"schema_version":1}}' AS line FROM {shape}""",
         "session_snapshots": """SELECT '{"o_orderkey":' || o_orderkey || ',"status":' || CASE WHEN o_orderstatus <> 'O' THEN '"' || o_orderstatus || '"' ELSE 'null' END || '}' AS line FROM orders""",
