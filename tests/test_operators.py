@@ -197,7 +197,29 @@ def test_pytest_logs_with_controls(spark):
     df = spark.createDataFrame([("i", "\x1b[32mPASSED\x1b[0m t::a\nt::b FAILED\nFAILED t::a - x\nPASSED\tt::c")], "instance_id string, log string")
     assert {r["test"]: r["status"] for r in evaluate.parse_pytest_log(df, controls=True).collect()} == {"t::a": "FAILED", "t::b": "FAILED"}
     empty = spark.createDataFrame([("i", [], [])], "instance_id string, fail_to_pass array<string>, pass_to_pass array<string>")
-    assert evaluate.grade(empty, evaluate.parse_pytest_log(df)).first()["resolved"]
+    assert evaluate.grade(empty, evaluate.parse_pytest_log(df, controls=True)).first()["resolved"] and not evaluate.grade(empty.withColumn("found", F.lit(False)), evaluate.parse_pytest_log(df)).first()["resolved"]
+
+
+def test_grades_of_random_reports(spark):
+    """Both rules, with and without markers, against plain Python."""
+    rng = random.Random(9)
+    names = [f"t{i}" for i in range(6)]
+    rows, statuses, want = [], [], {}
+    for i in range(120):
+        f2p, p2p = (rng.sample(names, rng.randrange(0, 4)) for _ in range(2))
+        status = {t: rng.choice([*evaluate.STATUSES, "PASSED", "PASSED", "PASSED"]) for t in rng.sample(names, rng.randrange(0, 7))}
+        repo, code, found = rng.choice(["a/lenient", "b/strict", None]), rng.choice([0, 1, -1, None]), rng.choice([True, True, False, None])
+        rows.append((str(i), repo, f2p, p2p, code, found))
+        statuses += [(str(i), t, s) for t, s in status.items()]
+        seen = bool(status) if found is None else found
+        good = {t: (status.get(t) != "FAILED") if repo == "a/lenient" else status.get(t) in ("PASSED", "XFAIL") for t in {*f2p, *p2p}}
+        want[str(i)] = (len(good), sum(good.values()) if seen else 0, sorted(t for t in good if not good[t]) if seen else [], seen and all(good.values()), seen, None if code is None else code == 0)
+    expected = spark.createDataFrame(rows, "instance_id string, repo string, fail_to_pass array<string>, pass_to_pass array<string>, exit_code int, found boolean")
+    got = evaluate.grade(expected, spark.createDataFrame(statuses, "instance_id string, test string, status string"), fail_only=["a/lenient"])
+    assert {r["instance_id"]: tuple(r)[1:] for r in got.collect()} == want
+    skipped = spark.createDataFrame([("i", "t", "SKIPPED")], "instance_id string, test string, status string")
+    one = spark.createDataFrame([("i", ["t"], [])], "instance_id string, fail_to_pass array<string>, pass_to_pass array<string>")
+    assert [evaluate.grade(one, skipped, neutral=n).first()["resolved"] for n in ((), ("SKIPPED",))] == [False, True]
 
 
 def test_routing(spark):

@@ -78,12 +78,36 @@ def parse_logs(logs: DataFrame, start: str, end: str) -> DataFrame:
     return reduce(DataFrame.unionByName, own).withColumn("error", F.lit(None).cast("string")).unionByName(unknown, allowMissingColumns=True)
 
 
-def grade(expected: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Resolved iff every expected test passed (JN7, AG10). ``expected`` has instance_id and the lists of tests."""
-    tests = expected.select("instance_id", F.explode_outer(F.array_union("fail_to_pass", "pass_to_pass")).alias("test"))
-    passed = F.coalesce(F.col("status").isin("PASSED", "XFAIL"), F.lit(False))
-    found = tests.join(statuses, ["instance_id", "test"], "left")
-    return found.groupBy("instance_id").agg(F.count("test").alias("expected"), F.count_if(F.col("test").isNotNull() & passed).alias("passed"), F.bool_and(F.col("test").isNull() | passed).alias("resolved"))
+#: Statuses of tests that passed; the one that fails a test of a fail-only repository.
+PASSES, FAILS = ("PASSED", "XFAIL"), "FAILED"
+
+
+def grade(expected: DataFrame, statuses: DataFrame, *, fail_only: list[str] | None = None, neutral: tuple[str, ...] = ()) -> DataFrame:
+    """Test reports (JN7, AG10): per instance what was expected, what passed, and whether it is resolved.
+
+    ``expected`` has instance_id and the lists fail_to_pass and pass_to_pass, and may have repo, exit_code and found
+    (whether the log had its markers). A test succeeds if its status is one of ``PASSES``; in a repository of
+    ``fail_only`` it does unless it is there and failed. An instance is resolved if its log was found and no expected test
+    did otherwise; statuses in ``neutral`` count neither way. ``found_eval_status`` is ``found``, or whether there is any
+    status where that isn't given; ``eval_completed`` says whether the exit code was 0, null without one. Both are
+    independent of ``resolved``, but that nothing is resolved whose status wasn't found. ``failed_tests`` are at most the
+    expected ones, sorted.
+    """
+    has = lambda c, kind: F.col(c) if c in expected.columns else F.lit(None).cast(kind)
+    lenient = F.coalesce(has("repo", "string").isin(*(fail_only or [])), F.lit(False)) if fail_only else F.lit(False)
+    own = expected.select("instance_id", has("found", "boolean").alias("found"), has("exit_code", "int").alias("exit_code"), lenient.alias("lenient"), F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("fail_to_pass", "pass_to_pass")])).alias("tests"))
+    any_ = statuses.select("instance_id").distinct().withColumn("any", F.lit(True))
+    tests = own.select("instance_id", "lenient", F.explode("tests").alias("test")).join(statuses.select("instance_id", "test", "status"), ["instance_id", "test"], "left")
+    good = F.when(F.col("lenient"), ~F.col("status").eqNullSafe(F.lit(FAILS))).otherwise(F.coalesce(F.col("status").isin(*PASSES), F.lit(False)))
+    bad = ~good & (~F.coalesce(F.col("status").isin(*neutral), F.lit(False)) if neutral else F.lit(True))
+    counts = tests.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("ok"), F.array_sort(F.collect_list(F.when(bad, F.col("test")))).alias("bad"))
+    rows = own.join(counts, "instance_id", "left").join(any_, "instance_id", "left")
+    found = F.coalesce("found", "any", F.lit(False))
+    failed = F.when(found, F.coalesce("bad", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(
+        "instance_id", F.coalesce("n", F.lit(0)).cast("long").alias("expected"), F.when(found, F.coalesce("ok", F.lit(0))).otherwise(0).cast("long").alias("passed"), failed.alias("failed_tests"),
+        (found & (F.coalesce(F.size("bad"), F.lit(0)) == 0)).alias("resolved"), found.alias("found_eval_status"), (F.col("exit_code") == 0).alias("eval_completed"),
+    )
 
 
 def wall_time(df: DataFrame) -> DataFrame:

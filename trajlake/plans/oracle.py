@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trajlake.plans import helpers, sinks
-from trajlake.plans.queries import GATES, LOG
+from trajlake.plans.queries import GATES
 
 _COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount"
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount"
@@ -21,10 +21,9 @@ t AS (SELECT conv_id, coalesce(string_agg(seg, '' ORDER BY turn) FILTER (turn <
 _TRAJECTORIES = f"""WITH {_SEGMENTS} SELECT conv_id, length(prompt) AS prompt_len, length(response) AS response_len, own AS model_tokens, num_turns,
   sha256({_IDS("prompt")}) AS prompt_hash, sha256({_IDS("response")}) AS response_hash FROM t"""
 _CLIP = "'\n<response clipped>\n<NOTE>The observation exceeded 1000 characters, so ' || (length(text) - 1000) || ' were elided. Retry with something that yields less output (e.g. head/tail/grep, or redirect to a file); do not use interactive pagers.</NOTE>'"
-_LOGS = f"""l AS (SELECT CAST(s_suppkey AS VARCHAR) AS instance_id, '{LOG}' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN 'FAILED t/a.py::x - late' ELSE 'SKIPPED t/c.py' END AS log FROM supplier),
-e AS (SELECT instance_id, unnest(string_split(log, chr(10))) AS line, generate_subscripts(string_split(log, chr(10)), 1) AS pos FROM l),
-w AS (SELECT instance_id, pos, list_filter(string_split(CASE WHEN starts_with(line, 'FAILED') THEN replace(line, ' - ', ' ') ELSE line END, ' '), lambda x: x <> '') AS words FROM e WHERE regexp_matches(line, '^(FAILED|PASSED|SKIPPED|ERROR|XFAIL)')),
-st AS (SELECT instance_id, words[2] AS test, arg_max(words[1], pos) AS status FROM w WHERE len(words) >= 2 GROUP BY 1, 2)"""
+_LOGS = """r AS (SELECT CAST(l_orderkey AS VARCHAR) AS instance_id, l_linenumber, 't/m' || l_partkey % 5 || '.py::p' || l_partkey AS test,
+  CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'XFAIL' ELSE 'PASSED' END ELSE ['SKIPPED', 'PASSED', 'ERROR'][l_linenumber % 3 + 1] END AS status FROM lineitem),
+st AS (SELECT instance_id, test, arg_max(status, (l_linenumber, status)) AS status FROM r GROUP BY 1, 2)"""
 _SEQ = lambda values: "[" + ", ".join(values) + "]"
 
 ORACLE_SQL = {
@@ -74,8 +73,13 @@ ORACLE_SQL = {
       SELECT event_id, CASE WHEN stop IN ('eos', 'abort') THEN 'stop' ELSE stop END AS finish, CASE stop WHEN 'length' THEN 'max_tokens' WHEN 'tool_calls' THEN 'tool_use' ELSE 'end_turn' END AS stop_reason,
       CASE WHEN status = 409 THEN 'conflict_error' WHEN status < 500 THEN 'invalid_request_error' ELSE 'internal_server_error' END AS error, CASE WHEN status IN (400, 409) THEN 'invalid_request_error' ELSE 'api_error' END AS error_other FROM e""",
     "pytest_log_parse": f"WITH {_LOGS} SELECT * FROM st",
-    "grade": f"""WITH {_LOGS}, x AS (SELECT DISTINCT instance_id, t FROM st, (VALUES ('t/a.py::x'), ('t/a.py::y'), ('t/b.py::w')) v(t))
-      SELECT x.instance_id, count(*) AS expected, count(*) FILTER (status IN ('PASSED', 'XFAIL')) AS passed, bool_and(coalesce(status IN ('PASSED', 'XFAIL'), false)) AS resolved FROM x LEFT JOIN st ON st.instance_id = x.instance_id AND st.test = x.t GROUP BY 1""",
+    "grade": f"""WITH {_LOGS}, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS instance_id, o_orderpriority IN ('1-URGENT', '2-HIGH') AS lenient, o_orderkey % 3 = 1 AS done, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus <> 'P' END AS marked, o_custkey % 4 = 0 AS more FROM orders),
+f AS (SELECT *, coalesce(marked, EXISTS (SELECT 1 FROM st WHERE st.instance_id = o.instance_id)) AS found FROM o),
+x AS (SELECT DISTINCT instance_id, test FROM r UNION SELECT instance_id, 't/none.py::x' FROM o WHERE more),
+g AS (SELECT f.instance_id, x.test, CASE WHEN lenient THEN coalesce(status, '') <> 'FAILED' ELSE coalesce(status IN ('PASSED', 'XFAIL'), false) END AS good FROM f JOIN x USING (instance_id) LEFT JOIN st ON st.instance_id = x.instance_id AND st.test = x.test),
+c AS (SELECT instance_id, count(*) AS n, count(*) FILTER (good) AS ok, string_agg(test, ',' ORDER BY test) FILTER (NOT good) AS bad FROM g GROUP BY 1)
+      SELECT instance_id, coalesce(n, 0) AS expected, CASE WHEN found THEN coalesce(ok, 0) ELSE 0 END AS passed, CASE WHEN found THEN coalesce(bad, '') ELSE '' END AS failed_tests, found AND bad IS NULL AS resolved, found AS found_eval_status, done AS eval_completed FROM f LEFT JOIN c USING (instance_id)""",
+
     "redact_secrets": "WITH r AS (SELECT doc_id, 'api_key=''<redacted>'' base_url=<redacted>, endpoint: <redacted> Authorization: Bearer <redacted> <redacted>' || chr(10) || coalesce(text, '') AS out FROM documents) SELECT doc_id, sha256(out) AS out_hash, CAST(length(out) AS BIGINT) AS n FROM r",
     "normalize_requests": "SELECT conv_id, turn, CAST(2 AS BIGINT) AS n_messages, 'be brief' AS system, text || chr(10) || role AS content, CAST(NULL AS VARCHAR) AS error FROM conversations",
     "config_merge": """SELECT event_id, '{"agent":{"model":{"t":' || user_id || ',"url":"' || CASE WHEN event_id % 3 > 0 THEN 'b' || event_id % 5 ELSE event_type END || '"},"steps":[' || event_id || ']},"deep":' || repeat('{"k":', event_id % 9)

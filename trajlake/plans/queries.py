@@ -202,18 +202,31 @@ def reason_maps(spark, sf):
     return e.select("event_id", messages.finish_reason(F.col("stop")).alias("finish"), messages.stop_reason(F.col("stop")).alias("stop_reason"), messages.error_type(F.col("status")).alias("error"), messages.error_type(F.col("status"), "anthropic").alias("error_other"))
 
 
-LOG = "PASSED t/a.py::x\nFAILED t/a.py::y - assert 1 == 2\nnoise\nERROR\nPASSED t/a.py::y\nt/a.py::z PASSED\nXFAIL t/b.py::w reason"
+def _runs(spark, sf):
+    """Each order is a test run, each line of it a test: its status by flag and number, its place in the log by number."""
+    status = F.when(F.col("l_returnflag") == "R", "FAILED").when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 2 == 0), "XFAIL").when(F.col("l_returnflag") == "A", "PASSED").when(F.col("l_linenumber") % 3 == 0, "SKIPPED").when(F.col("l_linenumber") % 3 == 1, "PASSED").otherwise("ERROR")
+    return _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("instance_id"), "l_linenumber", "l_quantity", status.alias("status"), F.concat(F.lit("t/m"), F.col("l_partkey") % 5, F.lit(".py::p"), F.col("l_partkey")).alias("test"))
+
+
+def _logs(spark, sf):
+    """Log texts of the runs, noise and lines of a bare status between the tests."""
+    line = F.concat(F.col("status"), F.when(F.col("l_quantity") > 25, "  ").otherwise("\t"), F.col("test"), F.when(F.col("status") == "FAILED", " - assert 1 == 2").otherwise(""))
+    more = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("\nnoise "), "test")).otherwise("\nPASSED")
+    return _runs(spark, sf).groupBy("instance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "test", "status", F.concat(line, more).alias("line")))), lambda x: x["line"]), "\n").alias("log"))
 
 
 def pytest_log_parse(spark, sf):
-    logs = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("instance_id"), F.concat(F.lit(LOG), F.lit("\n"), F.when(F.col("s_suppkey") % 2 == 0, "FAILED t/a.py::x - late").otherwise("SKIPPED t/c.py")).alias("log"))
-    return evaluate.parse_pytest_log(logs)
+    return evaluate.parse_pytest_log(_logs(spark, sf))
 
 
 def grade(spark, sf):
-    statuses = pytest_log_parse(spark, sf)
-    expected = statuses.select("instance_id").distinct().select("instance_id", text.decode_list(F.lit('["t/a.py::x"]')).alias("fail_to_pass"), text.decode_list(F.lit('["t/a.py::y","t/b.py::w"]')).alias("pass_to_pass"))
-    return evaluate.grade(expected, statuses)
+    """Runs against the tests of their own lines and one that no log has; some logs have no markers."""
+    runs = _runs(spark, sf)
+    tests = runs.groupBy("instance_id").agg(F.collect_set(F.when(F.col("l_linenumber") % 2 == 1, F.col("test"))).alias("fail_to_pass"), F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, F.col("test"))).alias("pass_to_pass"))
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("instance_id"), F.col("o_orderpriority").alias("repo"), (F.col("o_orderkey") % 3 - 1).cast("int").alias("exit_code"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus") != "P").alias("found"), (F.col("o_custkey") % 4 == 0).alias("more"))
+    expected = orders.join(tests, "instance_id", "left").withColumn("pass_to_pass", F.when(F.col("more"), F.concat(F.coalesce("pass_to_pass", F.array().cast("array<string>")), F.array(F.lit("t/none.py::x")))).otherwise(F.col("pass_to_pass")))
+    out = evaluate.grade(expected, pytest_log_parse(spark, sf), fail_only=["1-URGENT", "2-HIGH"])
+    return out.withColumn("failed_tests", F.array_join("failed_tests", ","))
 
 
 def redact_secrets(spark, sf):
