@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import SF
+
 from trajlake.functions import messages, text, tokens
-from trajlake.operators import chains, configs, evaluate, normalize, routing, trajectories
+from trajlake.operators import chains, configs, encoding, evaluate, normalize, routing, trajectories
 from trajlake.sources import io
 from trajlake.streaming import sessions
 
@@ -200,6 +202,29 @@ def test_pytest_logs_with_controls(spark):
     assert evaluate.grade(empty, evaluate.parse_pytest_log(df, controls=True)).first()["resolved"] and not evaluate.grade(empty.withColumn("found", F.lit(False)), evaluate.parse_pytest_log(df)).first()["resolved"]
 
 
+def test_incremental_ids_are_those_of_the_whole_text(spark):
+    """All conversations, and segments that end within words, runs of white space, contractions and special names."""
+    vocabulary = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    bits = ["don", "'", "t", " ", "  ", "\n", "word", "12", "3,", "é", "日本", "\u00a0", "\t ", "!?", " x", "<|endof", "text|>", "'s we", "e\u0301", ""]
+    odd = [(i, j, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 5)))) for i in range(150) for j in range(6)] + [(999, 0, None), (999, 1, "end")]
+    rows = spark.createDataFrame(odd, "conv_id long, turn long, text string").unionByName(spark.read.parquet(f"{SF}/conversations.parquet").select((F.col("conv_id") + 10_000).alias("conv_id"), "turn", "text"))
+    codec = encoding.byte_bpe(vocabulary)
+    got = collections.defaultdict(list)
+    for r in encoding.incremental_ids(rows, "conv_id", "turn", "text", codec).orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]].append((list(r["ids"]), list(r["open_ids"])))
+    texts = collections.defaultdict(list)
+    for r in rows.orderBy("conv_id", "turn").collect():
+        texts[r["conv_id"]].append(r["text"] or "")
+    whole = codec()
+    for conv, parts in texts.items():
+        settled = []
+        for n, (ids, left) in enumerate(got[conv]):
+            settled += ids
+            assert settled + left == whole(["".join(parts[: n + 1])])[0]
+    assert any(ids for _, *rest in got.values() for ids, _ in rest)
+
+
 def test_grades_of_random_reports(spark):
     """Both rules, with and without markers, against plain Python."""
     rng = random.Random(9)

@@ -81,6 +81,13 @@ c AS (SELECT instance_id, count(*) AS n, count(*) FILTER (good) AS ok, string_ag
       SELECT instance_id, coalesce(n, 0) AS expected, CASE WHEN found THEN coalesce(ok, 0) ELSE 0 END AS passed, CASE WHEN found THEN coalesce(bad, '') ELSE '' END AS failed_tests, found AND bad IS NULL AS resolved, found AS found_eval_status, done AS eval_completed FROM f LEFT JOIN c USING (instance_id)""",
 
     "redact_secrets": "WITH r AS (SELECT doc_id, 'api_key=''<redacted>'' base_url=<redacted>, endpoint: <redacted> Authorization: Bearer <redacted> <redacted>' || chr(10) || coalesce(text, '') AS out FROM documents) SELECT doc_id, sha256(out) AS out_hash, CAST(length(out) AS BIGINT) AS n FROM r",
+    "incremental_texts": """WITH c AS (SELECT conv_id, turn, role || ':' || text || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END AS s FROM conversations), b AS (SELECT *, regexp_extract(s, '(?s)^(.*\\S) \\S', 1) AS h FROM c),
+w AS (SELECT *, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY turn) AS whole, length(s) - length(h) AS l FROM b),
+e AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run, length(whole) - CASE WHEN h <> '' THEN l ELSE 0 END AS cut FROM w),
+x AS (SELECT *, coalesce(max(CASE WHEN h <> '' THEN cut END) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS upto FROM e), y AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS since FROM x)
+SELECT conv_id, turn, sha256(substr(whole, since + 1, upto - since)) AS settled_hash, substr(whole, upto + 1) AS open FROM y""",
+    "incremental_ids": """WITH c AS (SELECT conv_id, string_agg(role || ':' || text, '' ORDER BY turn) AS w, arg_max(role || ':' || text, turn) AS last FROM conversations GROUP BY 1), l AS (SELECT *, regexp_extract(last, '(?s)^(.*\\S) \\S', 1) AS h FROM c)
+      SELECT conv_id, length(w) - (length(last) - length(h)) AS settled, length(last) - length(h) AS open FROM l""",
     "normalize_requests": "SELECT conv_id, turn, CAST(2 AS BIGINT) AS n_messages, 'be brief' AS system, text || chr(10) || role AS content, CAST(NULL AS VARCHAR) AS error FROM conversations",
     "config_merge": """SELECT event_id, '{"agent":{"model":{"t":' || user_id || ',"url":"' || CASE WHEN event_id % 3 > 0 THEN 'b' || event_id % 5 ELSE event_type END || '"},"steps":[' || event_id || ']},"deep":' || repeat('{"k":', event_id % 9)
       || CASE WHEN event_id % 14 > event_id % 9 THEN repeat('{"k":', event_id % 14 - event_id % 9) || event_id || repeat('}', event_id % 14 - event_id % 9 - 1) || ',"o":' || user_id || '}' ELSE '{"o":' || user_id || '}' END || repeat('}', event_id % 9)

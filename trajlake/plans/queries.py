@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions import messages, text, tokens
-from trajlake.operators import chains, configs, conversations, evaluate, normalize, routing, trajectories
+from trajlake.operators import chains, configs, conversations, encoding, evaluate, normalize, routing, trajectories
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -254,6 +254,20 @@ def chain_stitch(spark, sf):
     return t.select(F.col("session_id").cast("long").alias("conv_id"), F.size("prompt_ids").cast("long").alias("prompt_len"), F.size("response_ids").cast("long").alias("response_len"), tokens.total("response_mask").cast("long").alias("model_tokens"), F.col("num_turns").cast("long").alias("num_turns"), ids("prompt_ids").alias("prompt_hash"), ids("response_ids").alias("response_hash"))
 
 
+def incremental_texts(spark, sf):
+    """What each turn settles of its conversation's text for an encoder, and what it leaves open."""
+    c = _t(spark, sf, "conversations").withColumn("segment", F.concat("role", F.lit(":"), "text", F.when(F.col("turn") % 2 == 0, "\n").otherwise("")))
+    own = encoding.settled(c, "conv_id", "turn", "segment")
+    return own.select("conv_id", "turn", F.sha2("settled", 256).alias("settled_hash"), "open")
+
+
+def incremental_ids(spark, sf):
+    """The same by ids, of the code-point codec."""
+    c = _t(spark, sf, "conversations").withColumn("segment", F.concat("role", F.lit(":"), "text"))
+    own = encoding.settled(c, "conv_id", "turn", "segment").select("conv_id", "turn", tokens.code_points(F.col("settled")).alias("ids"), tokens.code_points(F.col("open")).alias("open_ids"))
+    return own.groupBy("conv_id").agg(F.sum(F.size("ids")).alias("settled"), F.max_by(F.size("open_ids"), "turn").cast("long").alias("open"))
+
+
 def normalize_requests(spark, sf):
     body = F.to_json(F.struct(F.lit("be brief").alias("system"), F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("text").alias("type"), F.col("role").alias("text"))).alias("content"))).alias("messages")))
     out = normalize.normalize(_t(spark, sf, "conversations").select("conv_id", "turn", F.lit("anthropic").alias("wire"), body.alias("body")))
@@ -311,7 +325,7 @@ QUERIES = {
         prompt_stats, batch_stats, mean_score_vs_prompt_mean, recipe_score, score_map, outcome_buckets, bucket_names, key_parse, rollout_expand_assign,
         budget_split, episode_counters, version_span, message_hashes, prefix_hashes, turn_counts, message_tokens, compact_history, codepoint_tokens,
         terminal_reward, align_pad_truncate, image_name, safe_filename, clip_observation, task_rows, config_route, json_arguments, reason_maps,
-        pytest_log_parse, grade, redact_secrets, chain_stitch, normalize_requests, config_merge, request_gates,
+        pytest_log_parse, grade, redact_secrets, chain_stitch, incremental_texts, incremental_ids, normalize_requests, config_merge, request_gates,
         ext_tumbling_counts, ext_grouping_sets, ext_group_relative,
     )
 }
