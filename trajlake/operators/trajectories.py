@@ -106,8 +106,12 @@ def prompt_stats(sessions: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(F.col("success") > 0, "finished").otherwise("failure"))
 
 
-def batch_stats(prompts: DataFrame) -> DataFrame:
-    """Sums over prompts (AG1)."""
+def batch_stats(prompts: DataFrame, raised: DataFrame | None = None) -> DataFrame:
+    """Sums over prompts (AG1). ``raised`` has uid and n of prompts that ended in an error: all their n sessions failed."""
+    if raised is not None:
+        none = lambda c: F.lit(0).cast("long").alias(c)
+        lost = raised.select("uid", none("success"), F.col("n").cast("long").alias("failed"), none("outputs"), none("unfinished"), F.lit("failure").alias("status"))
+        prompts = prompts.select("uid", "success", "failed", "outputs", "unfinished", "status").unionByName(lost)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return prompts.agg(total("success"), total("failed"), total("outputs"), total("unfinished"), F.count_if(F.col("status") == "failure").alias("failed_uids"))
 
@@ -128,3 +132,28 @@ def recipe_scores(inputs: DataFrame, scores: DataFrame) -> DataFrame:
 def score_map(scores: DataFrame) -> DataFrame:
     """uid with its scores in session order (AG17, IO12)."""
     return scores.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("session", "score"))), lambda x: x["score"]).alias("scores"))
+
+
+def result_summary(scores: DataFrame, inputs: DataFrame, statuses: DataFrame, settings: dict[str, str | int], n: int) -> DataFrame:
+    """One row ``document``: the head of a run's result (IO12) as JSON: settings, counts and means (eight digits).
+
+    ``scores`` has uid and score of each scored session, ``inputs`` the uid of each prompt, of which ``n`` sessions each
+    were asked for, ``statuses`` uid and status. Without scores the means are 0. The scores themselves are rows of their
+    own (``score_map``), since they grow with the run.
+    """
+    own = mean_scores(scores)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    failed = statuses.agg(F.count_if(~F.col("status").eqNullSafe(F.lit("finished"))).alias("failed"))
+    rows = own
+    for more in (count(inputs, "prompts_in"), count(scores, "sessions"), failed):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    head = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    mean = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 8)
+    fields = [F.lit(v).alias(k) for k, v in settings.items()] + [F.lit(n).alias("n"), F.col("prompts_in").alias("num_prompts"), F.col("sessions").alias("num_scored_sessions"), (F.col("prompts_in") * n).alias("num_expected_sessions"), F.col("failed").alias("num_failed_prompts"), mean("mean_score").alias("mean_rm_score"), mean("mean_of_prompt_means").alias("mean_rm_score_over_prompts")]
+    return head.select(F.to_json(F.struct(*fields)).alias("document"))
+
+
+def write_result(scores: DataFrame, inputs: DataFrame, statuses: DataFrame, path: str, settings: dict[str, str | int], n: int) -> None:
+    """A run's result (IO12): ``summary``, one JSON document, and ``scores``, a JSON line per uid."""
+    result_summary(scores, inputs, statuses, settings, n).coalesce(1).write.text(f"{path}/summary")
+    score_map(scores).write.json(f"{path}/scores")

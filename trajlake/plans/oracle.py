@@ -36,7 +36,11 @@ ORACLE_SQL = {
     "broadcast_last_score": f"SELECT {_COLUMNS}, last_value(l_discount) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS session_score FROM lineitem",
     "trajectory_index_assignment": f"SELECT {_COLUMNS}, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1 AS trajectory_index FROM lineitem",
     "prompt_stats": f"WITH {_SESSIONS} SELECT *, CASE WHEN success > 0 THEN 'finished' ELSE 'failure' END AS status FROM p",
-    "batch_stats": f"WITH {_SESSIONS} SELECT CAST(sum(success) AS BIGINT) AS success, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(outputs) AS BIGINT) AS outputs, CAST(sum(unfinished) AS BIGINT) AS unfinished, count(*) FILTER (success = 0) AS failed_uids FROM p",
+    "batch_stats": f"WITH {_SESSIONS} SELECT CAST(sum(success) AS BIGINT) AS success, CAST(sum(failed) AS BIGINT) + 3 * any_value(r) AS failed, CAST(sum(outputs) AS BIGINT) AS outputs, CAST(sum(unfinished) AS BIGINT) AS unfinished, count(*) FILTER (success = 0) + any_value(r) AS failed_uids FROM p, (SELECT count(*) AS r FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))",
+    "result_document": f"""WITH {_SESSIONS}, {_SCORES}, g AS (SELECT uid, avg(score) AS m, list(score ORDER BY session, score) AS l FROM x GROUP BY uid)
+      SELECT '{{"uid":' || uid || ',"scores":[' || array_to_string(list_transform(l, lambda v: CAST(v AS VARCHAR)), ',') || ']}}' AS line FROM g
+      UNION ALL SELECT '{{"model_path":"m","data_path":"d","n":2,"num_prompts":' || c || ',"num_scored_sessions":' || s || ',"num_expected_sessions":' || 2 * c || ',"num_failed_prompts":' || f || ',"mean_rm_score":' || m || ',"mean_rm_score_over_prompts":' || o || '}}'
+      FROM (SELECT count(*) AS c FROM customer), (SELECT count(*) AS s, round(avg(score), 8) AS m FROM x), (SELECT round(avg(m), 8) AS o FROM g), (SELECT count(*) FILTER (success = 0) AS f FROM p)""",
     "mean_score_vs_prompt_mean": f"WITH {_SCORES}, g AS (SELECT uid, avg(score) AS m FROM x GROUP BY uid) SELECT round((SELECT avg(score) FROM x), 8) AS mean_score, round(avg(m), 8) AS mean_of_prompt_means, count(*) AS prompts FROM g",
     "recipe_score": f"WITH {_SCORES}, g AS (SELECT uid, avg(score) AS m FROM x GROUP BY uid) SELECT c_custkey AS uid, round(coalesce(m, 0), 8) AS score, coalesce(m, 0) > 0 AS resolved FROM customer LEFT JOIN g ON uid = c_custkey",
     "score_map": "WITH f AS (SELECT l_orderkey, l_discount FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC) = 1) SELECT o_custkey AS uid, list(l_discount ORDER BY o_orderkey, l_discount) AS scores FROM f JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",

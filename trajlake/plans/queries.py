@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions import messages, text, tokens
 from trajlake.operators import chains, configs, conversations, encoding, evaluate, normalize, routing, trajectories
+from trajlake.session import scratch
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,7 +67,9 @@ def prompt_stats(spark, sf):
 
 
 def batch_stats(spark, sf):
-    return trajectories.batch_stats(trajectories.prompt_stats(_sessions(spark, sf)))
+    """Customers without orders are prompts that raised, of three sessions each."""
+    raised = _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("uid"), F.lit(3).alias("n"))
+    return trajectories.batch_stats(trajectories.prompt_stats(_sessions(spark, sf)), raised)
 
 
 def _scores(spark, sf):
@@ -90,6 +93,15 @@ def score_map(spark, sf):
     return trajectories.score_map(final.join(orders, "l_orderkey").select("uid", F.col("l_orderkey").alias("session"), F.col("l_discount").alias("score")))
 
 
+def result_document(spark, sf):
+    """A run's result as it is written: its head, and a line of scores per customer."""
+    folder = scratch(spark)
+    scores = _scores(spark, sf).select("uid", "session", "score")
+    inputs = _t(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
+    trajectories.write_result(scores, inputs, trajectories.prompt_stats(_sessions(spark, sf)), folder, {"model_path": "m", "data_path": "d"}, 2)
+    return spark.read.text([f"{folder}/summary", f"{folder}/scores"]).select(F.col("value").alias("line"))
+
+
 def _outcomes(spark, sf):
     return _t(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("resolved"), (F.col("toxic") == 0).alias("eval_completed"), F.when(F.col("toxic") == 0, (F.col("doc_id") % 100).cast("double")).alias("eval_execution_time"))
 
@@ -322,7 +334,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         conversation_trajectories, training_record, final_trajectory_per_session, longest_trajectory, broadcast_last_score, trajectory_index_assignment,
-        prompt_stats, batch_stats, mean_score_vs_prompt_mean, recipe_score, score_map, outcome_buckets, bucket_names, key_parse, rollout_expand_assign,
+        prompt_stats, batch_stats, result_document, mean_score_vs_prompt_mean, recipe_score, score_map, outcome_buckets, bucket_names, key_parse, rollout_expand_assign,
         budget_split, episode_counters, version_span, message_hashes, prefix_hashes, turn_counts, message_tokens, compact_history, codepoint_tokens,
         terminal_reward, align_pad_truncate, image_name, safe_filename, clip_observation, task_rows, config_route, json_arguments, reason_maps,
         pytest_log_parse, grade, redact_secrets, chain_stitch, incremental_texts, incremental_ids, normalize_requests, config_merge, request_gates,
