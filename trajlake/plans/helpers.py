@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions import messages, text, tokens, wire
 from trajlake.operators import evaluate, hooks, routing, serving, trajectories
+from trajlake.plans import queries
 from trajlake.plans.shapes import pad, pad_sql, strip_sql
 
 
@@ -71,31 +72,19 @@ def ansi_strip(spark, sf):
     return d.select("doc_id", F.sha2(text.strip_ansi(wrapped), 256).alias("all_hash"), F.sha2(text.strip_ansi(wrapped, colours_only=True), 256).alias("colours_hash"))
 
 
-#: Logs by number, the parser that their rows name, and (test, status) of each.
-LOGS = [
-    ("noise\n>>>\nPASSED t::a\nFAILED t::b - assert\nt::c PASSED\n<<<\nPASSED t::x", "parse_log_pytest", {"t::a": "PASSED", "t::b": "FAILED"}),
-    (">>>\n\x1b[32mPASSED\x1b[0m t::a\nt::b FAILED\nFAILED t::a - x\nPASSED\tt::c\nt::d SKIPPED\n<<<", "parse_log_pytest_v2", {"t::a": "FAILED", "t::b": "FAILED", "t::d": "SKIPPED"}),
-    ("PASSED t::a", "parse_log_pytest", {}),
-    (">>>\nPASSED t::a\n>>>\nPASSED t::b\n<<<", "parse_log_pytest", {"t::a": "PASSED"}),
-    (">>>\nPASSED t::a\n<<<", "other", None), (">>>\nPASSED t::a\n<<<", None, None),
-    (">>>\nERROR t::e\nXFAIL t::w why\nXFAIL\n<<<", "parse_log_pytest_v2", {"t::e": "ERROR", "t::w": "XFAIL"}),
-]
-
-
 def log_dispatch(spark, sf):
-    s = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("instance_id"), _of([x for x, *_ in LOGS], F.col("s_suppkey")).alias("log"), _of([p for _, p, _ in LOGS], F.col("s_suppkey")).alias("log_parser"))
-    return evaluate.parse_logs(s, ">>>", "<<<")
-
-
-#: Texts with markers and what is between them: from the first start on, and by splitting at every start.
-MARKED = [("aSb STcEd", "b STc", "b "), ("no markers", None, None), ("aSTb", None, None), ("E STmE", "m", "m"), ("STx E STyE", "x ", "x ")]
+    """Logs of test runs between markers, or without an end, or with two starts; parsers by order, unknown ones too."""
+    n = F.col("instance_id").cast("long")
+    parser = F.when(n % 4 == 0, "parse_log_pytest").when(n % 4 == 1, "parse_log_pytest_v2").when(n % 4 == 2, "other")
+    log = F.concat(F.lit("noise\nPASSED t::before\n>>>\n"), "log", F.when(n % 5 == 0, "").when(n % 3 == 0, "\n>>>\nPASSED t::second\n<<<").otherwise("\n<<<\nPASSED t::behind"))
+    return evaluate.parse_logs(queries.run_logs(spark, sf).select("instance_id", log.alias("log"), parser.alias("log_parser")), ">>>", "<<<")
 
 
 def marker_slices(spark, sf):
-    p = _t(spark, sf, "part")
-    raw = F.replace(_of([m for m, *_ in MARKED], F.col("p_partkey")), F.lit("S"), F.lit("<S>"))
-    raw = F.replace(raw, F.lit("<S>T"), F.lit("<S>"))
-    return p.select("p_partkey", text.between_markers(raw, "<S>", "E").alias("once"), text.between_split(raw, "<S>", "E").alias("split"))
+    """Whole texts with markers around them, before them, twice, or without an end."""
+    t, n = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
+    raw = F.when(n == 0, F.concat(F.left(t, F.lit(10)), F.lit("<S>"), t, F.lit("<E>x"))).when(n == 1, t).when(n == 2, F.concat(t, F.lit("<S>"), t)).when(n == 3, F.concat(F.lit("<E><S>"), t, F.lit("<E>"))).otherwise(F.concat(F.lit("<S>"), F.left(t, F.lit(5)), F.lit("<S>"), t, F.lit("<E>")))
+    return _t(spark, sf, "documents").select("doc_id", F.sha2(text.between_markers(raw, "<S>", "<E>"), 256).alias("once_hash"), F.sha2(text.between_split(raw, "<S>", "<E>"), 256).alias("split_hash"))
 
 
 def issue_texts(spark, sf):
@@ -260,9 +249,12 @@ QUERIES = {
     )
 }
 
-_TESTS = " UNION ALL ".join(
-    f"SELECT CAST(s_suppkey AS VARCHAR) AS instance_id, '{t}' AS test, '{s}' AS status, CAST(NULL AS VARCHAR) AS error FROM supplier WHERE s_suppkey % {len(LOGS)} = {i}" for i, (*_, tests) in enumerate(LOGS) for t, s in (tests or {}).items()
-) + "".join(f" UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, NULL, 'unknown log parser: {p or 'null'}' FROM supplier WHERE s_suppkey % {len(LOGS)} = {i}" for i, (_, p, tests) in enumerate(LOGS) if tests is None)
+_TESTS = """WITH r AS (SELECT l_orderkey AS o, l_linenumber, l_quantity <= 25 AS tab, 't/m' || l_partkey % 5 || '.py::p' || l_partkey AS test,
+    CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'XFAIL' ELSE 'PASSED' END ELSE ['SKIPPED', 'PASSED', 'ERROR'][l_linenumber % 3 + 1] END AS status FROM lineitem),
+  v AS (SELECT o, l_linenumber, test AS t, status AS s, test, status FROM r WHERE o % 4 = 0 OR o % 4 = 1 AND NOT tab
+    UNION ALL SELECT o, l_linenumber, test, status, 'assert', 'FAILED' || test FROM r WHERE o % 4 = 1 AND tab AND status = 'FAILED')
+SELECT CAST(o AS VARCHAR) AS instance_id, test, arg_max(status, (l_linenumber, t, s)) AS status, CAST(NULL AS VARCHAR) AS error FROM v WHERE o % 5 > 0 GROUP BY o, test
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), NULL, NULL, 'unknown log parser: ' || CASE WHEN l_orderkey % 4 = 2 THEN 'other' ELSE 'null' END FROM lineitem WHERE l_orderkey % 4 > 1 GROUP BY l_orderkey"""
 _KINDS = "(VALUES ('task'), ('agent'), ('tool'), ('sandbox'), ('framework')) k(kind)"
 _PAIRS = ", ".join(f"('{k}', '{n}', '{t}')" for k, n, t in REGISTRY)
 _OUT = "CASE WHEN event_id % 2 = 0 THEN rtrim(props) ELSE '' END"
@@ -284,7 +276,9 @@ def oracle_sql(trajectory_sql: str) -> dict[str, str]:
         "wall_times": "SELECT event_type AS name, CAST(sum(event_id % 10) AS BIGINT) AS elapsed FROM events GROUP BY 1",
         "ansi_strip": "SELECT doc_id, sha256(replace(coalesce(text, ''), chr(13), '') || chr(10) || 'x') AS all_hash, sha256(replace(coalesce(text, ''), chr(13), '') || chr(10) || chr(27) || '[2Kx') AS colours_hash FROM documents",
         "log_dispatch": _TESTS,
-        "marker_slices": f"SELECT p_partkey, {_sql([None if o is None else o.replace('STc', '<S>c') for _, o, _ in MARKED], 'p_partkey')} AS once, {_sql([s for *_, s in MARKED], 'p_partkey')} AS split FROM part",
+        "marker_slices": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN left(t, 10) || '<S>' || t || '<E>x' WHEN 1 THEN t WHEN 2 THEN t || '<S>' || t WHEN 3 THEN '<E><S>' || t || '<E>' ELSE '<S>' || left(t, 5) || '<S>' || t || '<E>' END AS raw FROM d),
+          x AS (SELECT doc_id, raw, contains(raw, '<S>') AS s, contains(raw, '<E>') AS e, substr(raw, strpos(raw, '<S>') + 3) AS rest FROM m)
+          SELECT doc_id, CASE WHEN s AND contains(rest, '<E>') THEN sha256(split_part(rest, '<E>', 1)) END AS once_hash, CASE WHEN s AND e THEN sha256(split_part(split_part(raw, '<S>', 2), '<E>', 1)) END AS split_hash FROM x""",
         "issue_texts": f"""SELECT doc_id, sha256({strip_sql("coalesce(text, '')")}) AS issue_hash FROM documents""",
         "command_blocks": f"""SELECT event_id, '[exit code: ' || CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 5 AS VARCHAR) ELSE 'unknown' END || ']' || chr(10) || '[stdout]' || chr(10) || CASE WHEN {_OUT} = '' THEN '(empty)' ELSE {_OUT} END
           || CASE WHEN {_ERR} <> '' THEN chr(10) || '[stderr]' || chr(10) || {_ERR} ELSE '' END AS done,

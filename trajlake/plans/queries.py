@@ -220,7 +220,7 @@ def _runs(spark, sf):
     return _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("instance_id"), "l_linenumber", "l_quantity", status.alias("status"), F.concat(F.lit("t/m"), F.col("l_partkey") % 5, F.lit(".py::p"), F.col("l_partkey")).alias("test"))
 
 
-def _logs(spark, sf):
+def run_logs(spark, sf):
     """Log texts of the runs, noise and lines of a bare status between the tests."""
     line = F.concat(F.col("status"), F.when(F.col("l_quantity") > 25, "  ").otherwise("\t"), F.col("test"), F.when(F.col("status") == "FAILED", " - assert 1 == 2").otherwise(""))
     more = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("\nnoise "), "test")).otherwise("\nPASSED")
@@ -228,7 +228,7 @@ def _logs(spark, sf):
 
 
 def pytest_log_parse(spark, sf):
-    return evaluate.parse_pytest_log(_logs(spark, sf))
+    return evaluate.parse_pytest_log(run_logs(spark, sf))
 
 
 def grade(spark, sf):
