@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from fractions import Fraction
 
@@ -41,6 +42,11 @@ TEMPLATES = {
     "Apache-2.0 (notice)": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "GPL-3.0 (notice)": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
     "GPL-2.0 (notice)": 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.',
+    "GPL-2.0 (short)": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 (short)": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    "CC-BY-3.0 (unported)": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
     "LGPL-2.1": 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.',
     "AGPL-3.0 (notice)": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
     "Unlicense": 'This is free and unencumbered software released into the public domain.',
@@ -53,6 +59,18 @@ def _python_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def versions(name: str, grams: list[str]) -> list[str]:
+    """Bigrams of which a match must have one to be of the version that a template's name ends in; none needs no such.
+
+    The version's two numbers side by side where the template has them so, else what it has before the first.
+    """
+    found = re.search(r"-(\d+)\.(\d+)", name)
+    if not found:
+        return []
+    both = " ".join(found.groups())
+    return [both] if both in grams else [g for g in grams if g.endswith(f" {found[1]}")]
+
+
 def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
@@ -130,7 +148,7 @@ def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[
     matched = F.transform("_lines", lambda x: F.coalesce(best(_bigrams(x["words"]))["dice"] >= threshold, F.lit(False)))
     docs = _once(_once(_once(docs, "_spans", spans), "_pairs", _pairs(F.col("_words"))), "_matched", matched)
     docs = docs.withColumn("_taken", F.filter("_spans", lambda _, i: F.get("_matched", i)))
-    table = F.create_map(*[x for k, own in grams.items() for x in (F.lit(k), F.struct(_literals(own).alias("grams"), F.lit(lengths[k] * (2 * b - a) // a + 1).alias("most")))])
+    table = F.create_map(*[x for k, own in grams.items() for x in (F.lit(k), F.struct(_literals(own).alias("grams"), _literals(versions(k, own)).alias("versions"), F.lit(lengths[k] * (2 * b - a) // a + 1).alias("most")))])
 
     def at(k: Column) -> Column:
         own = table[k]
@@ -147,7 +165,8 @@ def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[
         zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("hits"), F.lit(0).alias("length"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"), F.lit(0).alias("n"))
         grown = lambda i: F.aggregate(F.slice("_pairs", i + 1, own["most"]), zero, grow)
         found = F.transform(starts, lambda i: F.transform(F.array(grown(i)), lambda x: F.struct((-x["dice"]).alias("order"), i.alias("a"), (i + x["end"] + 1).alias("b"), k.alias("license_id"), x["n"].alias("n")))[0])
-        return F.filter(found, lambda x: -x["order"] >= threshold)
+        named = lambda x: (own["versions"][0] == "") | F.arrays_overlap(F.slice("_pairs", x["a"] + 1, x["b"] - x["a"] - 1), own["versions"])
+        return F.filter(found, lambda x: (-x["order"] >= threshold) & named(x))
 
     docs = _once(docs, "_found", F.array_sort(F.flatten(F.transform("_near", at))))
     apart = lambda x, y: (x["b"] <= y["a"]) | (x["a"] >= y["b"])
@@ -159,7 +178,7 @@ def _windows(lines: DataFrame, grams: Mapping[str, list[str]], lengths: Mapping[
 
 
 def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """Licence matches of whole texts: doc_id, unit, license_id, n_bigrams, dice.
+    """Licence matches of whole texts: doc_id, unit, license_id, wording, n_bigrams, dice.
 
     Normalised: lower case, everything but letters and digits is space. Compared are every line (``unit`` 0, 1, ...)
     and the whole text (-1, if it has several lines with words), and, where the whole text matches nothing, windows of
@@ -169,6 +188,9 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
     whole numbers. Before that, texts and lines without any of a few words and bigrams that every match has (see
     ``_markers``) are left out by a search. No shuffle.
 
+    A template's name is an SPDX id (``license_id``), with a further wording in brackets. A template whose id ends in a
+    version matches only text that names this version (``versions``): other versions' notices are nearly the same.
+
     Defined results: null and empty texts and lines of one word match nothing; texts of any length are compared whole;
     of several templates that match, the most similar one counts, then the last by name; repeated rows give repeated
     matches; an empty table gives an empty result; other columns, whatever their names, are ignored.
@@ -197,10 +219,13 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
             m = len(template)
             near = ((2 * b - a) * n >= a * m) & (a * n <= (2 * b - a) * m)
             dice = F.lit(2.0) * F.size(F.array_intersect(own, _literals(template))) / (n + m)
+            if needed := versions(name, template):
+                near &= F.arrays_overlap(own, _literals(needed))
             scores.append(F.when(near, F.struct(dice.alias("dice"), F.lit(name).alias("license_id"))))
         return F.array_max(F.array(*scores))
 
     units = _once(units, "_hit", best(F.col("_b"))).where(F.col("_hit.dice") >= threshold)
     units = units.select("doc_id", F.col("unit").cast("long").alias("unit"), "_hit.license_id", F.col("_n").cast("long").alias("n_bigrams"), "_hit.dice")
     lengths = {k: len("".join(c if c.isalnum() else " " for c in v.lower()).split()) for k, v in (templates or TEMPLATES).items()}
-    return units.unionByName(_windows(_once(norm, "_lines", lines).drop("_norm"), grams, lengths, threshold, best))
+    found = units.unionByName(_windows(_once(norm, "_lines", lines).drop("_norm"), grams, lengths, threshold, best)).withColumnRenamed("license_id", "wording")
+    return found.select("doc_id", "unit", F.regexp_replace("wording", r" \(.*\)$", "").alias("license_id"), "wording", "n_bigrams", "dice")

@@ -83,12 +83,13 @@ def op9() -> str:
     grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     words = lambda s: rf"list_filter(regexp_split_to_array(lower({s}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return rf"""
-WITH tpl AS (SELECT license_id, {grams("w")} AS g FROM (SELECT license_id, {words("t")} AS w FROM (VALUES {templates}) v(license_id, t))),
+WITH tpl AS (SELECT *, CASE WHEN m[1] IS NULL THEN [] WHEN list_contains(g, m[1] || ' ' || m[2]) THEN [m[1] || ' ' || m[2]] ELSE list_filter(g, lambda x: ends_with(x, ' ' || m[1])) END AS versions
+  FROM (SELECT license_id, {grams("w")} AS g, string_split(nullif(regexp_extract(license_id, '-(\d+[.]\d+)', 1), ''), '.') AS m FROM (SELECT license_id, {words("t")} AS w FROM (VALUES {templates}) v(license_id, t)))),
 lines AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda l, i: struct_pack(unit := i - 1, w := {words("l")})), lambda x: len(x.w) > 0) AS ls FROM documents WHERE text IS NOT NULL),
 units AS (SELECT doc_id, x.unit AS unit, x.w AS w FROM (SELECT doc_id, unnest(ls) AS x FROM lines) UNION ALL SELECT doc_id, -1, {words("text")} FROM lines WHERE len(ls) > 1),
 scored AS (SELECT doc_id, unit, license_id, len(u.g) AS n, 2.0::DOUBLE * len(list_intersect(u.g, tpl.g)) / (len(u.g) + len(tpl.g)) AS dice
-  FROM (SELECT doc_id, unit, {grams("w")} AS g FROM units WHERE len(w) > 1) u, tpl)
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, max_by(license_id, (dice, license_id)) AS license_id, any_value(n) AS n_bigrams, max(dice) AS dice
+  FROM (SELECT doc_id, unit, {grams("w")} AS g FROM units WHERE len(w) > 1) u, tpl WHERE len(versions) = 0 OR len(list_intersect(u.g, versions)) > 0)
+SELECT doc_id, CAST(unit AS BIGINT) AS unit, regexp_replace(max_by(license_id, (dice, license_id)), ' \(.*\)$', '') AS license_id, max_by(license_id, (dice, license_id)) AS wording, any_value(n) AS n_bigrams, max(dice) AS dice
 FROM scored WHERE dice >= 0.8 GROUP BY doc_id, unit"""
 
 
