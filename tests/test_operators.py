@@ -247,6 +247,22 @@ def test_grades_of_random_reports(spark):
     assert [evaluate.grade(one, skipped, neutral=n).first()["resolved"] for n in ((), ("SKIPPED",))] == [False, True]
 
 
+#: Request bodies and why they are refused.
+GATES = (
+    ('{"messages":[{"role":"user"}],"n":2}', "n must be 1"), ('{"messages":[]}', "messages must be a non-empty list"), ('{"messages":[{"role":"user"}],"max_tokens":true}', "max_tokens must be a positive integer"),
+    ('{"messages":[{"role":"user"}],"max_tokens":5}', None), ("oops", "malformed json"), ('{"messages":[{"role":"user"}],"tool_choice":"required"}', "tool_choice must be auto or none"),
+    ('{"messages":[{"role":"user"}],"n":null}', "n must be 1"), ('{"messages":[{"role":"user"}],"tool_choice":null}', "tool_choice must be auto or none"), ('{"messages":[{"role":"user"}],"tool_choice":"AUTO"}', None),
+    ('{"messages":[{"role":"user"}],"n":1.0,"response_format":null,"tools":null,"tool_choice":"None"}', None), ('{"messages":[{"role":"user"}],"n":"1"}', "n must be 1"), ('{"messages":[{"role":"user"}],"tools":{}}', "tools must be a list"),
+    ('{"messages":[{"role":"user"}],"tool_choice":{"type":"auto"}}', "tool_choice must be auto or none"), ('{"messages":[{"role":"user"}],"response_format":{}}', "response_format is not supported"), ("[1]", "malformed json"),
+    ('{"messages":[{"role":"user"}],"max_tokens":null}', "max_tokens must be a positive integer"), ('{"messages":[{"role":"user"}],"max_tokens":0}', "max_tokens must be a positive integer"), ('{"messages":[{"role":"user"}],"max_tokens":1.5}', "max_tokens must be a positive integer"),
+)
+
+
+def test_request_gates(spark):
+    rows = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(GATES)], "i int, body string")
+    assert {r["i"]: r["error_reason"] for r in routing.reject_requests(rows).collect()} == {i: why for i, (_, why) in enumerate(GATES)}
+
+
 def test_routing(spark):
     samples = spark.createDataFrame([("a",), ("z",), (None,)], "agent_name string")
     one = spark.createDataFrame([("a", "r")], "agent_name string, runner string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from trajlake.plans import helpers, sinks
-from trajlake.plans.queries import GATES
 
 _COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount"
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount"
@@ -96,7 +95,8 @@ SELECT conv_id, turn, sha256(substr(whole, since + 1, upto - since)) AS settled_
     "config_merge": """SELECT event_id, '{"agent":{"model":{"t":' || user_id || ',"url":"' || CASE WHEN event_id % 3 > 0 THEN 'b' || event_id % 5 ELSE event_type END || '"},"steps":[' || event_id || ']},"deep":' || repeat('{"k":', event_id % 9)
       || CASE WHEN event_id % 14 > event_id % 9 THEN repeat('{"k":', event_id % 14 - event_id % 9) || event_id || repeat('}', event_id % 14 - event_id % 9 - 1) || ',"o":' || user_id || '}' ELSE '{"o":' || user_id || '}' END || repeat('}', event_id % 9)
       || ',"x":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '{"y":' || CAST(to_json(props) AS VARCHAR) || '}' END || ',"z":{}}' AS config FROM events""",
-    "request_gates": f"SELECT event_id, {_SEQ(['NULL' if e is None else repr(e) for _, e in GATES])}[event_id % {len(GATES)} + 1] AS error_reason FROM events",
+    "request_gates": """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'malformed json' WHEN event_id % 4 = 0 AND event_id % 3 <> 1 THEN 'n must be 1' WHEN event_id % 5 = 0 AND user_id % 2 <> 0 THEN 'tool_choice must be auto or none'
+      WHEN user_id % 6 = 0 THEN 'messages must be a non-empty list' WHEN event_id % 3 = 0 AND floor(value) <= 50 THEN 'max_tokens must be a positive integer' END AS error_reason FROM events""",
     "ext_tumbling_counts": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "ext_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "ext_group_relative": f"WITH {_SCORES} SELECT uid, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS dev FROM x GROUP BY uid",

@@ -298,20 +298,16 @@ def config_merge(spark, sf):
     return configs.merge_configs(e.select("event_id", base.alias("base"), over.alias("over"), runtime.alias("runtime")), "event_id", "base", "over", "runtime")
 
 
-#: Request bodies and why they are refused.
-GATES = (
-    ('{"messages":[{"role":"user"}],"n":2}', "n must be 1"), ('{"messages":[]}', "messages must be a non-empty list"), ('{"messages":[{"role":"user"}],"max_tokens":true}', "max_tokens must be a positive integer"),
-    ('{"messages":[{"role":"user"}],"max_tokens":5}', None), ("oops", "malformed json"), ('{"messages":[{"role":"user"}],"tool_choice":"required"}', "tool_choice must be auto or none"),
-    ('{"messages":[{"role":"user"}],"n":null}', "n must be 1"), ('{"messages":[{"role":"user"}],"tool_choice":null}', "tool_choice must be auto or none"), ('{"messages":[{"role":"user"}],"tool_choice":"AUTO"}', None),
-    ('{"messages":[{"role":"user"}],"n":1.0,"response_format":null,"tools":null,"tool_choice":"None"}', None), ('{"messages":[{"role":"user"}],"n":"1"}', "n must be 1"), ('{"messages":[{"role":"user"}],"tools":{}}', "tools must be a list"),
-    ('{"messages":[{"role":"user"}],"tool_choice":{"type":"auto"}}', "tool_choice must be auto or none"), ('{"messages":[{"role":"user"}],"response_format":{}}', "response_format is not supported"), ("[1]", "malformed json"),
-    ('{"messages":[{"role":"user"}],"max_tokens":null}', "max_tokens must be a positive integer"), ('{"messages":[{"role":"user"}],"max_tokens":0}', "max_tokens must be a positive integer"), ('{"messages":[{"role":"user"}],"max_tokens":1.5}', "max_tokens must be a positive integer"),
-)
-
-
 def request_gates(spark, sf):
-    e = _t(spark, sf, "events").select("event_id", F.element_at(F.array(*[F.lit(k) for k, _ in GATES]), (F.col("event_id") % len(GATES) + 1).cast("int")).alias("body"))
-    return routing.reject_requests(e).select("event_id", "error_reason")
+    """Requests whose fields, where they have them, come from the columns; some bodies break off."""
+    text = lambda name: F.regexp_extract(F.to_json(F.array(name)), r"(?s)^\[(.*)\]$", 1)
+    n = F.col("event_id")
+    said = F.when(F.col("user_id") % 6 == 0, "[]").otherwise(F.concat(F.lit('[{"role":"user","content":'), text("props"), F.lit("}]")))
+    choice = F.when(n % 5 == 0, F.concat(F.lit(',"tool_choice":"'), F.when(F.col("user_id") % 2 == 0, "AUTO").otherwise(F.col("event_type")), F.lit('"'))).otherwise("")
+    own = F.when(n % 4 == 0, F.concat(F.lit(',"n":'), n % 3)).otherwise("")
+    most = F.when(n % 3 == 0, F.concat(F.lit(',"max_tokens":'), F.floor("value") - 50)).otherwise("")
+    body = F.concat(F.lit('{"messages":'), said, own, choice, most, F.when(n % 17 > 0, "}").otherwise(""))
+    return routing.reject_requests(_t(spark, sf, "events").select("event_id", body.alias("body"))).select("event_id", "error_reason")
 
 
 def ext_tumbling_counts(spark, sf):
