@@ -216,7 +216,11 @@ def test_incremental_ids_are_those_of_the_whole_text(spark):
     texts = collections.defaultdict(list)
     for r in rows.orderBy("conv_id", "turn").collect():
         texts[r["conv_id"]].append(r["text"] or "")
+    count = lambda c: F.size(encoding.encoded(c, codec))
+    costs = rows.limit(50).select("text", messages.message_cost(F.col("text"), F.lit("tool"), count=count).alias("cost"), messages.message_cost(F.col("text")).alias("guess")).collect()
     whole = codec()
+    assert all(r["cost"] == 4 + (len(whole([r["text"]])[0]) if r["text"] is not None else 0) + len(whole(["tool"])[0]) for r in costs)
+    assert all(r["guess"] == 4 + (max(1, len(r["text"]) // 4) if r["text"] is not None else 0) for r in costs)
     for conv, parts in texts.items():
         settled = []
         for n, (ids, left) in enumerate(got[conv]):

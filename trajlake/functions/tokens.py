@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,19 @@ def align(values: Column, length: Column, pad: Column) -> Column:
     return F.concat(kept, F.array_repeat(pad, F.greatest(length - F.size(values), F.lit(0))))
 
 
+def align_experts(rows: DataFrame, column: str, length: Column) -> DataFrame:
+    """Rows with expert choices (token, layer, choice) cut or padded to ``length`` tokens (A6): zeros of a token's shape.
+
+    A column of any other depth is dropped, as nothing says along which axis it would be aligned.
+    """
+    kind = dict(rows.dtypes)[column]
+    if kind.count("array<") != 3:
+        return rows.drop(column)
+    inner = kind.removeprefix("array<").removesuffix(">")
+    zero = F.coalesce(F.transform(F.get(F.col(column), 0), lambda layer: F.transform(layer, lambda x: F.lit(0).cast(inner.removeprefix("array<array<").removesuffix(">>")))), F.array().cast(inner))
+    return rows.withColumn(column, align(F.col(column), length, zero))
+
+
 def mask_unfinished(mask: Column, finished: Column, enabled: bool = True) -> Column:
     """Zero where the episode is known to be unfinished; unknown stays trainable (A10)."""
     return F.when(F.lit(enabled) & finished.eqNullSafe(F.lit(False)), constant_like(mask, 0)).otherwise(mask)

@@ -92,6 +92,7 @@ SELECT conv_id, turn, sha256(substr(whole, since + 1, upto - since)) AS settled_
     "incremental_ids": """WITH c AS (SELECT conv_id, string_agg(role || ':' || text, '' ORDER BY turn) AS w, arg_max(role || ':' || text, turn) AS last FROM conversations GROUP BY 1), l AS (SELECT *, regexp_extract(last, '(?s)^(.*\\S) \\S', 1) AS h FROM c)
       SELECT conv_id, length(w) - (length(last) - length(h)) AS settled, length(last) - length(h) AS open FROM l""",
     "normalize_requests": "SELECT conv_id, turn, CAST(2 AS BIGINT) AS n_messages, 'be brief' AS system, text || chr(10) || role AS content, CAST(NULL AS VARCHAR) AS error FROM conversations",
+    "aligned_experts": """SELECT vec_id, array_to_string(list_transform(range(4), lambda i: CASE WHEN i <= coalesce(label, 0) THEN concat_ws(',', i + vec_id % 7, i, coalesce(label, 0), i * 2) ELSE '0,0,0,0' END), ',') AS experts FROM embeddings""",
     "config_merge": """SELECT event_id, '{"agent":{"model":{"t":' || user_id || ',"url":"' || CASE WHEN event_id % 3 > 0 THEN 'b' || event_id % 5 ELSE event_type END || '"},"steps":[' || event_id || ']},"deep":' || repeat('{"k":', event_id % 9)
       || CASE WHEN event_id % 14 > event_id % 9 THEN repeat('{"k":', event_id % 14 - event_id % 9) || event_id || repeat('}', event_id % 14 - event_id % 9 - 1) || ',"o":' || user_id || '}' ELSE '{"o":' || user_id || '}' END || repeat('}', event_id % 9)
       || ',"x":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '{"y":' || CAST(to_json(props) AS VARCHAR) || '}' END || ',"z":{}}' AS config FROM events""",

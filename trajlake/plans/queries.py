@@ -172,6 +172,15 @@ def terminal_reward(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", F.array_join(scores.cast("array<int>"), ",").alias("scores"), tokens.total(scores).alias("total"), tokens.last_or_zero(scores).alias("last"))
 
 
+def aligned_experts(spark, sf):
+    """Choices of two layers per token, one token more than the label says, aligned to four tokens."""
+    label = F.coalesce("label", F.lit(0))
+    own = F.transform(F.sequence(F.lit(0), label), lambda i: F.array(F.array(i + F.col("vec_id").cast("int") % 7, i), F.array(label, i * 2)))
+    e = _t(spark, sf, "embeddings").select("vec_id", own.alias("experts"), F.col("embedding").alias("flat"))
+    e = tokens.align_experts(tokens.align_experts(e, "experts", F.lit(4)), "flat", F.lit(4))
+    return e.select("vec_id", *[F.array_join(F.flatten(F.flatten(c)), ",").alias(c) for c in e.columns if c != "vec_id"])
+
+
 def align_pad_truncate(spark, sf):
     a = tokens.align(F.transform("embedding", lambda x: F.floor(x * 100).cast("int")), F.lit(56) + F.col("label") * 2, F.lit(0))
     return _t(spark, sf, "embeddings").select("vec_id", F.size(a).cast("long").alias("n"), F.array_join(a, ",").alias("aligned"))
@@ -332,7 +341,7 @@ QUERIES = {
         conversation_trajectories, training_record, final_trajectory_per_session, longest_trajectory, broadcast_last_score, trajectory_index_assignment,
         prompt_stats, batch_stats, result_document, mean_score_vs_prompt_mean, recipe_score, score_map, outcome_buckets, bucket_names, key_parse, rollout_expand_assign,
         budget_split, episode_counters, version_span, message_hashes, prefix_hashes, turn_counts, message_tokens, compact_history, codepoint_tokens,
-        terminal_reward, align_pad_truncate, image_name, safe_filename, clip_observation, task_rows, config_route, json_arguments, reason_maps,
+        terminal_reward, align_pad_truncate, aligned_experts, image_name, safe_filename, clip_observation, task_rows, config_route, json_arguments, reason_maps,
         pytest_log_parse, grade, redact_secrets, chain_stitch, incremental_texts, incremental_ids, normalize_requests, config_merge, request_gates,
         ext_tumbling_counts, ext_grouping_sets, ext_group_relative,
     )
