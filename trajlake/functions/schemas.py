@@ -25,13 +25,13 @@ def _object(fields: list[tuple[str, object]]) -> dict:
             real = [c for c in choices if c != {"type": "null"}]
             if len(real) == 1 and isinstance(real[0], dict):
                 kept = list((real[0] | {k: v for k, v in kept if k != "anyOf"}).items())
-    return dict(sorted(kept, key=lambda field: (_PLACE.get(field[0], len(_PLACE)), field[0])))
+    return dict(sorted(kept, key=lambda field: _PLACE.get(field[0], len(_PLACE))))
 
 
 def normalize_schema(schema: Column) -> Column:
     """JSON text of a schema (JSON text) without titles and null defaults, a choice of one type or null as that type.
 
-    Known keys come first, the others by name. Text that is no JSON, and null, give null.
+    Known keys come first, the others as they come. Text that is no JSON, and null, give null.
     """
 
     @F.pandas_udf("string")

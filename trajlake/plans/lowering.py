@@ -159,7 +159,7 @@ SCHEMAS = [
     ('{"title":"T","type":"object","properties":{"a":{"anyOf":[{"type":"integer"},{"type":"null"}],"default":null,"title":"A"}}}', '{"type":"object","properties":{"a":{"type":"integer"}}}'),
     ('{"required":["b"],"type":"object","additionalProperties":false,"description":"d"}', '{"type":"object","description":"d","required":["b"],"additionalProperties":false}'),
     ('{"anyOf":[{"type":"string"},{"type":"integer"}],"default":0}', '{"default":0,"anyOf":[{"type":"string"},{"type":"integer"}]}'), ('{"items":{"title":"x","type":"number"},"type":"array"}', '{"type":"array","items":{"type":"number"}}'),
-    ("5", "5"), ('["a",{"title":"q"}]', '["a",{}]'), ('{"anyOf":[{"enum":["b","a"]},{"type":"null"}],"description":"own"}', '{"description":"own","enum":["b","a"]}'),
+    ('{"zeta":1,"minimum":2,"type":"string","alpha":{"y":1,"title":"t","x":2}}', '{"type":"string","zeta":1,"minimum":2,"alpha":{"y":1,"x":2}}'), ("5", "5"), ('["a",{"title":"q"}]', '["a",{}]'), ('{"anyOf":[{"enum":["b","a"]},{"type":"null"}],"description":"own"}', '{"description":"own","enum":["b","a"]}'),
 ]
 
 
