@@ -300,7 +300,7 @@ def config_merge(spark, sf):
     """Configs and overrides whose objects are nested up to 14 levels deep; bindings for two rows of three."""
     text = lambda name: F.regexp_extract(F.to_json(F.array(name)), r"(?s)^\[(.*)\]$", 1)
     deep = lambda n, inner: F.concat(F.repeat(F.lit('{"k":'), n.cast("int")), inner, F.repeat(F.lit("}"), n.cast("int")))
-    e = _t(spark, sf, "events")
+    e = _t(spark, sf, "events").repartition("event_id")  # a few files' rows, dealt out to all cores before they grow
     base = F.concat(F.lit('{"agent":{"model":{"url":'), text("event_type"), F.lit(',"t":'), F.col("user_id"), F.lit('},"steps":[1,2]},"deep":'), deep(F.col("event_id") % 14, F.col("event_id").cast("string")), F.lit(',"x":{"y":'), text("props"), F.lit('},"z":{}}'))
     over = F.concat(F.lit('{"deep":'), deep(F.col("event_id") % 9, F.concat(F.lit('{"o":'), F.col("user_id"), F.lit("}"))), F.lit(',"agent":{"steps":['), F.col("event_id"), F.lit(']},"x":'), F.when(F.col("event_id") % 2 == 0, "null").otherwise("{}"), F.lit("}"))
     runtime = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('{"url":"b'), F.col("event_id") % 5, F.lit('","t":null}')))
