@@ -182,7 +182,8 @@ def aligned_experts(spark, sf):
 
 
 def align_pad_truncate(spark, sf):
-    a = tokens.align(F.transform("embedding", lambda x: F.floor(x * 100).cast("int")), F.lit(56) + F.col("label") * 2, F.lit(0))
+    # In single precision, as the components are: with an integer, Spark would multiply in double precision.
+    a = tokens.align(F.transform("embedding", lambda x: F.floor(x * F.lit(100).cast("float")).cast("int")), F.lit(56) + F.col("label") * 2, F.lit(0))
     return _t(spark, sf, "embeddings").select("vec_id", F.size(a).cast("long").alias("n"), F.array_join(a, ",").alias("aligned"))
 
 
