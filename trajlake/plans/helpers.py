@@ -127,9 +127,10 @@ def list_decoding(spark, sf):
 
 
 def first_messages(spark, sf):
-    own = F.when((F.col("turn") <= 1) & (F.col("conv_id") % 3 == 0), pad(F.col("conv_id"))).otherwise(F.col("text")).alias("text")
-    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", own))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
-    return c.select("conv_id", F.sha2(wire.first_content(F.col("m"), "user"), 256).alias("user_hash"), F.sha2(wire.first_content(F.col("m"), "system"), 256).alias("system_hash"), wire.prompt_fault(F.col("m")).alias("fault"), wire.prompt_fault(F.slice("m", 1, 1)).alias("first_fault"))
+    """First messages and faults of conversations as they are; ``blank_fault``: with white space as their first message."""
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
+    blank = F.transform(F.slice("m", 1, 1), lambda x: F.struct(x["role"].alias("role"), pad(F.col("conv_id")).alias("content")))
+    return c.select("conv_id", F.sha2(wire.first_content(F.col("m"), "user"), 256).alias("user_hash"), F.sha2(wire.first_content(F.col("m"), "system"), 256).alias("system_hash"), wire.prompt_fault(F.col("m")).alias("fault"), wire.prompt_fault(F.slice("m", 1, 1)).alias("first_fault"), wire.prompt_fault(blank).alias("blank_fault"))
 
 
 def media_parts(spark, sf):
@@ -291,7 +292,8 @@ def oracle_sql(trajectory_sql: str) -> dict[str, str]:
           SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN '' ELSE coalesce(l, '') END AS strict, CASE WHEN {strip_sql("coalesce(l, '')")} = '' THEN '' ELSE l END AS lenient FROM d""",
         "first_messages": """SELECT conv_id, sha256(arg_min(text, turn) FILTER (role = 'user')) AS user_hash, sha256(arg_min(text, turn) FILTER (role = 'system')) AS system_hash,
           CASE WHEN count(*) > 2 THEN 'at most two messages' WHEN coalesce(arg_min(text, turn) FILTER (role = 'user'), '') = '' THEN 'no user message' END AS fault,
-          CASE WHEN arg_min(role, turn) <> 'user' OR arg_min(text, turn) = '' THEN 'no user message' END AS first_fault FROM (SELECT conv_id, turn, role, CASE WHEN turn <= 1 AND conv_id % 3 = 0 THEN """ + pad_sql("conv_id") + """ ELSE text END AS text FROM conversations) GROUP BY 1""",
+          CASE WHEN arg_min(role, turn) <> 'user' OR arg_min(text, turn) = '' THEN 'no user message' END AS first_fault,
+          CASE WHEN arg_min(role, turn) <> 'user' OR """ + pad_sql("conv_id") + """ = '' THEN 'no user message' END AS blank_fault FROM conversations GROUP BY 1""",
         "media_parts": "SELECT p_partkey, p_partkey % 6 IN (0, 1, 2, 4) AS media, CASE WHEN p_partkey % 6 IN (0, 1) THEN p_brand ELSE '' END AS images, CASE WHEN p_partkey % 6 IN (2, 4) THEN p_brand ELSE '' END AS videos FROM part",
         "scoring_inputs": f"SELECT conv_id, CAST(length(prompt || response) AS BIGINT) AS n, CAST(length(prompt || response) AS BIGINT) AS ones, sha256(prompt || response) AS text_hash, num_turns FROM ({trajectory_sql})",
         "reward_overlay": "SELECT event_id, 'a=' || event_type || CASE WHEN event_id % 2 = 0 THEN ',b=new' ELSE ',b=old,c=1' END AS info FROM events",
