@@ -59,8 +59,21 @@ def config_files(spark, sf):
     return io.read_configs(spark, f"{folder}/json").unionByName(io.read_configs(spark, f"{folder}/yaml", "yaml"))
 
 
+#: Rows of a table that one task takes, so that its share doesn't grow with the table.
+ROWS = 250_000
+
+
+def _parts(table: DataFrame) -> int:
+    """So many parts that each has about ``ROWS`` rows of a table."""
+    return table.count() // ROWS + 1
+
+
 def _records(spark, sf):
-    lines = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    """Lines as records, in parts of one size: what a task joins and sorts for a sink is of that size too."""
+    lines = _t(spark, sf, "lineitem")
+    n = _parts(lines)
+    orders = _t(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey").repartition(n, "l_orderkey")
+    lines = lines.repartition(n, "l_orderkey").join(orders, "l_orderkey")
     return lines.select(
         F.col("o_custkey").cast("string").alias("uid"), F.col("l_orderkey").cast("string").alias("session"), F.col("l_linenumber").cast("string").alias("index"), F.array(F.lit(0.0), F.col("l_discount").cast("double")).alias("rm_scores"),
         F.when(F.col("l_returnflag") == "R", "failure").otherwise("success").alias("status"), F.col("l_linestatus").alias("partition_id"), F.lit("x").alias("unread"),
@@ -74,11 +87,12 @@ def queue_records(spark, sf):
 
 
 def queue_scores(spark, sf):
-    """A get of keys from a table dealt by them: both sides lie in eight buckets, none is shuffled."""
+    """A get of keys from a table dealt by them: both sides lie in as many buckets, none is shuffled."""
     folder = scratch(spark)
-    records = io.write_by_key(_records(spark, sf), f"{folder}/records", "uid", 8)
+    buckets = max(8, _parts(_t(spark, sf, "lineitem")))
+    records = io.write_by_key(_records(spark, sf), f"{folder}/records", "uid", buckets)
     uids = _t(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("uid"))
-    found = io.score_records(records, io.write_by_key(uids, f"{folder}/uids", "uid", 8))
+    found = io.score_records(records, io.write_by_key(uids, f"{folder}/uids", "uid", buckets))
     return found.select("uid", "session", "index", F.col("rm_scores")[1].alias("score"))
 
 
