@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions import text
 from trajlake.operators import serving, trajectories
-from trajlake.session import scratch
+from trajlake.session import scratch, stored
 from trajlake.sources import io
 from trajlake.streaming import sessions
 
@@ -201,12 +201,12 @@ def chat_stream(spark, sf):
 def chat_turns_stream(spark, sf):
     """The lines in three triggers, dealt out so that no trigger's events are behind another's; a heartbeat at the end."""
     folder = scratch(spark)
-    lines = _chat(spark, sf)
-    part = F.pmod(F.xxhash64("value"), F.lit(3))
+    n = _parts(_t(spark, sf, "events"))
+    lines = stored(_chat(spark, sf).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(3))))
     for i in range(3):
-        lines.where(part == i).coalesce(1).write.mode("append").text(f"{folder}/lines")
+        lines.where(F.col("part") == i).select("value").repartition(n).write.mode("append").text(f"{folder}/lines")
     spark.range(1).select(F.lit('{"heartbeat":"4102444800000"}').alias("value")).coalesce(1).write.mode("append").text(f"{folder}/lines")
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{folder}/lines")
+    stream = spark.readStream.option("maxFilesPerTrigger", n).text(f"{folder}/lines")
     turns = sessions.chat_turns(sessions.chat_events(stream, "bot", heartbeats=True), "1 day")
     return sessions.run_available(turns, folder).select("chat_id", "ordinal", "message_id")
 

@@ -147,16 +147,22 @@ def run_available(stream: DataFrame, folder: str, *, clock: str = "none") -> Dat
     """All that a stream gives for the input that is there now, as a table in ``folder``, which executors share.
 
     ``clock`` says by which time the stream's operators act: those that go by processing time could always act once
-    more, so only batches with input are run for them.
+    more, so only batches with input are run for them. Each trigger opens and commits every part of the state, so there
+    are no more parts than the cores can take in two rounds.
     """
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name)
-    conf.set(name, "false" if clock == "processing" else before)
+    spark = stream.sparkSession
+    own = {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))}
+    if clock == "processing":
+        own["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -230,7 +236,11 @@ def chat_events(lines: DataFrame, bot: str, *, heartbeats: bool = False) -> Data
 
 
 class _Turns(StatefulProcessor):
-    """A chat's next ordinal, and its events that wait for the watermark, as a map by time and id."""
+    """A chat's next ordinal, and its events that wait for the watermark, as a list with one timer, for the earliest.
+
+    A trigger's events are appended at once, and those that are due are taken at once: state is asked per chat and
+    trigger, not per event.
+    """
 
     def __init__(self, wait: bool) -> None:
         self.wait = wait
@@ -238,7 +248,8 @@ class _Turns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next = handle.getValueState("next", "next long")
-        self.waiting = handle.getMapState("waiting", "at long, message_id string", "create_time string, content string, n int")
+        self.waiting = handle.getListState("waiting", "at long, message_id string, create_time string, content string")
+        self.first = handle.getValueState("first", "at long")
 
     def _turns(self, chat: str, events: list[tuple[str, str, str]]) -> Iterator[Row]:
         start = self.next.get()[0] if self.next.exists() else 0
@@ -253,21 +264,33 @@ class _Turns(StatefulProcessor):
         rows = sorted(rows, key=lambda r: (r["at_ms"] is not None, r["at_ms"] or 0, r["create_time"] or "", r["message_id"] or ""))
         at_once = [r for r in rows if not self.wait or r["at_ms"] is None]
         yield from self._turns(key[0], [(r["message_id"], r["create_time"], r["content"]) for r in at_once])
-        for r in rows[len(at_once) :]:
-            place = (r["at_ms"], r["message_id"] or "")
-            n = self.waiting.getValue(place)[2] if self.waiting.containsKey(place) else 0
-            self.waiting.updateValue(place, (r["create_time"], r["content"], n + 1))
-            self.handle.registerTimer(r["at_ms"])
+        later = [(r["at_ms"], r["message_id"], r["create_time"], r["content"]) for r in rows[len(at_once) :]]
+        if later:
+            self.waiting.appendList(later)
+            self._wake(later[0][0])
+
+    def _wake(self, at: int) -> None:
+        """See to a timer for ``at``, or for an earlier time that is set already."""
+        first = self.first.get()[0] if self.first.exists() else None
+        if first is not None and first <= at:
+            return
+        if first is not None:
+            self.handle.deleteTimer(first)
+        self.first.update((at,))
+        self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        due = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= passed)
-        events = []
-        for place in due:
-            create_time, content, n = self.waiting.getValue(place)
-            events += [(place[1], create_time, content)] * n
-            self.waiting.removeKey(place)
-        yield from self._turns(key[0], events)
+        waiting = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: (x[0], x[1] or "", x[2] or "", x[3] or ""))
+        due = [x for x in waiting if x[0] <= passed]
+        left = waiting[len(due) :]
+        self.first.clear()
+        if left:
+            self.waiting.put(left)
+            self._wake(left[0][0])
+        else:
+            self.waiting.clear()
+        yield from self._turns(key[0], [x[1:] for x in due])
 
     def close(self) -> None:
         pass
