@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions import tokens
 from trajlake.operators import chains
-from trajlake.session import scratch
+from trajlake.session import scratch, stored
 from trajlake.streaming import sessions
 
 _U, _V = '{"role":"user","content":@A}', '{"role":"user","content":"second"}'
@@ -52,6 +52,8 @@ SCRIPTS = [
     ("the first answer is never replaced", [_ask(0, _U), _answer(0, "@B"), _ask(1, _U, _AGAIN), _answer(1, "new"), _END], [(_P, "@B", "B", 3), ("user:@A\nuser:again\nassistant:", "new", "3", 4)], {}, []),
     ("other tools", [_ask(0, _U), _answer(0, "@B"), _ask(1, _U, _B, _V) | {"tools": "t"}, _answer(1, "X"), _END], [(_P, "@B", "B", 3), ("user:@A\nassistant:@B\nuser:second\nassistant:", "X", "1", 5)], {}, []),
 ]
+#: Rows of conversations whose events lie in one file of a stream's log.
+ROWS = 5_000
 #: A session whose chain is closed for its length; A is one character, and the chain holds 23 tokens.
 CAPACITY = 23
 FULL = [_ask(0, _U), _answer(0, "MAIN1"), _ask(1, '{"role":"user","content":"q"}'), _answer(1, "SUB"), _ask(2, _U, '{"role":"assistant","content":"MAIN1"}', '{"role":"user","content":"far too long"}'), _answer(2, "never"), _END]
@@ -83,10 +85,12 @@ def chain_branches(spark, sf):
 def chain_branches_stream(spark, sf):
     """The same log as a stream, each session's first half a trigger before the second; state is each session's chains."""
     folder = scratch(spark)
-    log = _log(spark, sf, [s for _, s, *_ in SCRIPTS])
-    for half in ("seq < 3", "seq >= 3"):
-        log.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    stream = sessions.stitch_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"))
+    log = stored(_log(spark, sf, [s for _, s, *_ in SCRIPTS]))
+    n = spark.read.parquet(f"{sf}/conversations.parquet").count() // ROWS + 1
+    log.where("seq < 3").repartition(n, "session_id").write.parquet(f"{folder}/log")
+    files = len(spark.read.schema(log.schema).parquet(f"{folder}/log").inputFiles())
+    log.where("seq >= 3").repartition(n, "session_id").write.mode("append").parquet(f"{folder}/log")
+    stream = sessions.stitch_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/log"))
     return _result(sessions.run_available(stream, folder, clock="processing"))
 
 
