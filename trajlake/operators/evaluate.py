@@ -85,6 +85,7 @@ PASSES, FAILS = ("PASSED", "XFAIL"), "FAILED"
 def grade(expected: DataFrame, statuses: DataFrame, *, fail_only: list[str] | None = None, neutral: tuple[str, ...] = ()) -> DataFrame:
     """Test reports (JN7, AG10): per instance what was expected, what passed, and whether it is resolved.
 
+    ``statuses`` has a status for each instance_id and test, at most one.
     ``expected`` has instance_id and the lists fail_to_pass and pass_to_pass, and may have repo, exit_code and found
     (whether the log had its markers). A test succeeds if its status is one of ``PASSES``; in a repository of
     ``fail_only`` it does unless it is there and failed. An instance is resolved if its log was found and no expected test
@@ -96,12 +97,15 @@ def grade(expected: DataFrame, statuses: DataFrame, *, fail_only: list[str] | No
     has = lambda c, kind: F.col(c) if c in expected.columns else F.lit(None).cast(kind)
     lenient = F.coalesce(has("repo", "string").isin(*(fail_only or [])), F.lit(False)) if fail_only else F.lit(False)
     own = expected.select("instance_id", has("found", "boolean").alias("found"), has("exit_code", "int").alias("exit_code"), lenient.alias("lenient"), F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("fail_to_pass", "pass_to_pass")])).alias("tests"))
-    any_ = statuses.select("instance_id").distinct().withColumn("any", F.lit(True))
-    tests = own.select("instance_id", "lenient", F.explode("tests").alias("test")).join(statuses.select("instance_id", "test", "status"), ["instance_id", "test"], "left")
+    # Expected tests and statuses meet in one grouping by instance, so statuses, however costly, are asked for once.
+    wanted = own.select("instance_id", F.explode("tests").alias("test"), "lenient", F.lit(True).alias("wanted"))
+    seen = statuses.select("instance_id", "test", "status", F.lit(True).alias("any"))
+    met = wanted.unionByName(seen, allowMissingColumns=True).repartition("instance_id")
+    tests = met.groupBy("instance_id", "test").agg(*[F.max(c).alias(c) for c in ("lenient", "wanted", "status", "any")])
     good = F.when(F.col("lenient"), ~F.col("status").eqNullSafe(F.lit(FAILS))).otherwise(F.coalesce(F.col("status").isin(*PASSES), F.lit(False)))
     bad = ~good & (~F.coalesce(F.col("status").isin(*neutral), F.lit(False)) if neutral else F.lit(True))
-    counts = tests.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("ok"), F.array_sort(F.collect_list(F.when(bad, F.col("test")))).alias("bad"))
-    rows = own.join(counts, "instance_id", "left").join(any_, "instance_id", "left")
+    counts = tests.groupBy("instance_id").agg(F.count_if("wanted").alias("n"), F.count_if(F.col("wanted") & good).alias("ok"), F.array_sort(F.collect_list(F.when(F.col("wanted") & bad, F.col("test")))).alias("bad"), F.max("any").alias("any"))
+    rows = own.join(counts, "instance_id", "left")
     found = F.coalesce("found", "any", F.lit(False))
     failed = F.when(found, F.coalesce("bad", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     return rows.select(
