@@ -69,8 +69,18 @@ def read_configs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, message) of files with one JSON list each; unreadable files have no rows (IO14)."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", MESSAGES).alias("m"))
+    """(file, ordinal, message) of files with one JSON list each; unreadable files have no rows (IO14).
+
+    Folders are listed by a few tasks for each core, not by a task each.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.text(path, wholetext=True)
+    finally:
+        spark.conf.set(name, before)
+    raw = files.select(F.input_file_name().alias("file"), F.from_json("value", MESSAGES).alias("m"))
     return raw.select("file", F.posexplode("m").alias("ordinal", "message"))
 
 
